@@ -132,7 +132,8 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
     start = F.col("_plan.before") + F.col("_pass") * F.col("_plan.shard_size")
     whole = F.col("_plan.shard_quota") >= F.col("_plan.n_blocks")
     kept = F.filter("_words", lambda x, i: whole | (F.coalesce(F.get(F.col("_plan.picked"), F.floor((start + i) / block_words).cast("int")), F.lit(0)) == 1))
-    out = work.withColumn("_kept", kept).where(F.size("_kept") > 0)
+    # rand() keeps the filter above the words, which would be listed twice below
+    out = work.withColumn("_kept", kept).withColumn("_some", F.when(F.rand(0) < 2, F.size("_kept") > 0)).where("_some")
     text = F.when(F.size("_kept") == F.size("_words"), F.col("text")).otherwise(F.concat_ws("", "_kept"))
     out = out.withColumn("text", text)
     return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
