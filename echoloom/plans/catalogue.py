@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import wave
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (wave,):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)
