@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import wave
+from . import stats, tables, wave
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (wave,):
+for _part in (wave, tables, stats):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
