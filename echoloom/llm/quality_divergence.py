@@ -24,7 +24,7 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "est", "que", "pour"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "con"],
 }
-CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "rest")
+CLASSES = ("small letters and the rest", "capitals", "digits", "space", "stops", "symbols")
 #: Jensen-Shannon distances from which a document is rejected, and the least counts for a comparison to hold.
 MAX_CHAR_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.3
@@ -38,46 +38,46 @@ def _length_without(text: Column, pattern: str) -> Column:
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of the base rules and of both histograms, one narrow pass over the texts."""
+    """doc_id, lang and the counts of the base rules and of both histograms, one narrow pass over the texts.
+
+    Windows of three words are compared by 64-bit hashes. Texts whose hashes are all different, most of them, stop there;
+    the others sort (hash, position) so that equal windows are neighbours.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     t = docs.select("doc_id", "lang", text.alias("t")).select("doc_id", "lang", "t", words(F.col("t")).alias("w"))
     n = F.size("w")
-    # 64-bit hashes of the 3-word windows with their positions, sorted so that equal windows are neighbours
-    grams = F.when(
-        n >= 3,
-        F.array_sort(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)).alias("h"), i.alias("i")))),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     vocabulary = F.coalesce(F.element_at(lists, F.col("lang")), F.array(*map(F.lit, COMMON_WORDS["en"])))
-    t = t.select("doc_id", "lang", "t", n.cast("long").alias("n_words"), "w", grams.alias("g"), lines.alias("lines"), vocabulary.alias("v"))
-    repeated = F.array_sort(F.transform(
-        F.filter("g", lambda x, k: ((k > 0) & (F.get("g", k - 1)["h"] == x["h"])) | (F.get("g", k + 1)["h"] == x["h"])),
-        lambda x: x["i"],
-    ))
-    bare = F.split(F.regexp_replace(F.lower("t"), r"[.,;:!?()\"']", ""), f"[{SPACE}]+")
+    every = sorted({x for v in COMMON_WORDS.values() for x in v})
+    bare = F.split(F.lower("t"), f"[{SPACE}.,;:!?()\"']+")
     t = t.select(
-        "doc_id", "lang", "n_words", "v", "w",
-        F.char_length("t").cast("long").alias("n_all"),
-        _length_without(F.col("t"), f"[{SPACE}]+").cast("long").alias("word_chars"),
-        (F.char_length("t") - F.char_length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated.alias("r"),
-        (F.char_length("t") - _length_without(F.col("t"), r"\p{Ll}+")).alias("n_lower"),
+        "doc_id", "lang", n.cast("long").alias("n_words"), grams.alias("g"), lines.alias("lines"), vocabulary.alias("v"),
+        F.char_length("t").alias("n_all"),
+        _length_without(F.col("t"), f"[{SPACE}]+").alias("word_chars"),
+        (F.char_length("t") - _length_without(F.col("t"), "[#*$%&|<>]+")).alias("n_symbols"),
         (F.char_length("t") - _length_without(F.col("t"), r"\p{Lu}+")).alias("n_upper"),
-        (F.char_length("t") - F.char_length(F.translate("t", "0123456789", ""))).alias("n_digit"),
-        (F.char_length("t") - F.char_length(F.translate("t", ".,;:!?'\"()-", ""))).alias("n_stop"),
-        F.filter(bare, lambda x: F.array_contains("v", x)).alias("c"),
+        (F.char_length("t") - _length_without(F.col("t"), "[0-9]+")).alias("n_digit"),
+        (F.char_length("t") - _length_without(F.col("t"), "[.,;:!?'\"()-]+")).alias("n_stop"),
+        F.filter(bare, lambda x: x.isin(every)).alias("c"),
     )
+    t = t.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), F.array_sort(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    repeated = F.array_sort(F.transform(F.filter("s", lambda x, k: ((k > 0) & (F.get("s", k - 1)["h"] == x["h"])) | (F.get("s", k + 1)["h"] == x["h"])), lambda x: x["i"]))
+    t = t.withColumn("r", repeated)
     # a window covers three words; where windows overlap, count up to the next window's start only
     covered = F.aggregate("r", F.struct(F.lit(0).alias("sum"), F.lit(-9).alias("last")), lambda a, i: F.struct((a["sum"] + F.least(F.lit(3), i - a["last"])).alias("sum"), i.alias("last")), lambda a: a["sum"])
     counts = F.transform("v", lambda x: F.size(F.filter("c", lambda y: y == x)).cast("long"))
-    rest = F.col("n_all") - F.col("n_lower") - F.col("n_upper") - F.col("n_digit") - F.col("n_stop") - F.col("n_symbols") - (F.col("n_all") - F.col("word_chars"))
+    n_space = F.col("n_all") - F.col("word_chars")
+    letters = F.col("word_chars") - F.col("n_upper") - F.col("n_digit") - F.col("n_stop") - F.col("n_symbols")
     t = t.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.cast("long").alias("n_repeat_words"),
-        F.array(*[x.cast("long") for x in (F.col("n_lower"), F.col("n_upper"), F.col("n_digit"), F.col("n_all") - F.col("word_chars"), F.col("n_stop"), F.col("n_symbols"), rest)]).alias("chars"),
-        F.concat(counts, F.array(F.greatest(F.lit(0), F.col("n_words") - F.size("c")).cast("long"))).alias("commons"),
+        "doc_id", "lang", "n_words", F.col("word_chars").cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"),
+        F.array(*[x.cast("long") for x in (letters, F.col("n_upper"), F.col("n_digit"), n_space, F.col("n_stop"), F.col("n_symbols"))]).alias("chars"), counts.alias("counts"),
     )
+    # what is no common word of the language is one more place of the histogram
+    common = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    t = t.withColumn("commons", F.concat("counts", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - common)))).drop("counts")
     return t.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -95,7 +95,8 @@ def references(measures: DataFrame) -> DataFrame:
 
 def _share(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(counts, lambda x: x / F.greatest(total, F.lit(1).cast("long")))
+    # the total once, not again for every member
+    return F.get(F.transform(F.array(F.greatest(total, F.lit(1).cast("long"))), lambda n: F.transform(counts, lambda x: x / n)), F.lit(0))
 
 
 def js_distance(p: Column, q: Column) -> Column:
