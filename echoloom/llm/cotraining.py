@@ -50,21 +50,18 @@ def with_views(docs: DataFrame) -> DataFrame:
     def count(pattern: str) -> Column:
         return n - F.char_length(F.regexp_replace("_t", pattern, ""))
 
-    def chars(listed: str) -> Column:
-        return n - F.char_length(F.translate("_t", listed, ""))
-
-    t = t.withColumns({"_upper": count(r"\p{Lu}+"), "_letter": count(r"\p{L}+"), "_plain": F.split(F.regexp_replace(F.lower("_t"), r"[.,;:!?()\"']", ""), f"[{SPACE}]+")})
+    t = t.withColumns({"_upper": count(r"\p{Lu}+"), "_letter": count(r"\p{L}+"), "_plain": F.split(F.lower("_t"), f"[{SPACE}.,;:!?()\"']+")})
     text = [
         _share(F.size(F.filter("_plain", lambda x: x.isin(ANCHORS))), n_words),
-        _share(F.aggregate("_w", F.lit(0), lambda a, x: a + F.char_length(x)), n_words),
+        _share(n - F.char_length(F.regexp_replace("_t", f"[^{SPACE}]+", "")), n_words),
         _share(F.size(F.array_distinct("_w")), n_words),
         _share(F.size(F.filter("_w", lambda x, i: x == F.get("_w", i + 1))), n_words),
         _share(F.col("_upper"), F.col("_letter")),
-        _share(chars("#*$%&<>"), n),
-        _share(chars("!"), n),
-        _share(chars("0123456789"), n),
-        _share(chars("|"), n),
-        _share(chars(".,;:?"), n),
+        _share(count("[#*$%&<>]+"), n),
+        _share(count("!+"), n),
+        _share(count("[0-9]+"), n),
+        _share(count("[|]+"), n),
+        _share(count("[.,;:?]+"), n),
         _share(F.col("_letter"), n),
     ]
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
