@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize, small
 from .ffd_packing import encode_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -151,7 +152,8 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
     before = ranges.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("first", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = keys.withColumn("_in", inside).join(before.select("part", "base"), "part").select("part", "block", (F.col("base") + F.col("_in")).alias("base_ids"))
-    return blocks.join(base, ["part", "block"])
+    # the blocks themselves aren't shuffled while their list, counted, is small
+    return blocks.join(small(materialize(base, "token-bases"), 200_000), ["part", "block"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

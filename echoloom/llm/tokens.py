@@ -40,6 +40,15 @@ def library(name: str):
     return Tokenizer.from_file(path(name))
 
 
+@lru_cache(maxsize=4)
+def word_ends(name: str) -> np.ndarray:
+    """Which ids end a word, by the vocabulary's own mark."""
+    vocabulary = library(name).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+    return out
+
+
 def _bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u2").tobytes()
 
@@ -52,9 +61,19 @@ class WordTable:
         self.pattern, self.lower = _WORDS[name]
 
     def _learn(self, missing: list[str]) -> None:
+        """Words of a tokenizer that drops white space are encoded as one text, whose ids part after each word's last piece."""
         known, tokenizer = self.known, library(self.name)
         for k in range(0, len(missing), 4096):
             some = missing[k : k + 4096]
+            if self.lower:
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
+                ends = np.flatnonzero(word_ends(self.name)[ids]) + 1
+                if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
+                    data, a = ids.tobytes(), 0
+                    for w, b in zip(some, (ends * 2).tolist(), strict=True):
+                        known[w] = data[a:b]
+                        a = b
+                    continue
             for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[w] = _bytes(e.ids)
 
