@@ -54,3 +54,22 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 def words(text: Column) -> Column:
     """Maximal runs of characters outside SPACE; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns and the whole row as one struct `_row`, so that no column of the table can clash with a step's own."""
+    return docs.select(*[docs[c] for c in columns if c in docs.columns], F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], text: Column | None = None, changed: Column | None = None) -> DataFrame:
+    """The rows of packed() again; with another text, and n_chars to match, where `changed` holds."""
+    kinds = {f.name: f.dataType for f in df.schema["_row"].dataType.fields}
+
+    def column(c: str) -> Column:
+        old = F.col("_row").getField(c)
+        if text is None or c not in ("text", "n_chars"):
+            return old.alias(c)
+        new = text if c == "text" else F.char_length(text).cast(kinds[c])
+        return (new if changed is None else F.when(changed, new).otherwise(old)).alias(c)
+
+    return df.select(*[column(c) for c in columns])

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words
+from .common import SPACE, packed, unpacked, words
 from .spot_signatures import ANCHORS
 
 MAX_LABELLED = 20_000
@@ -238,5 +238,4 @@ def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of documents that the classifier keeps, with their own columns."""
     plain = docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns])
     model = train(plain, labels, **options)
-    packed = docs.select(*[docs[c] for c in ("doc_id", "text", "lang", "source") if c in docs.columns], F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    return scored(packed, model).where("kept").select("_row.*")
+    return unpacked(scored(packed(docs, "doc_id", "text", "lang", "source"), model).where("kept"), docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, small, words
+from .common import SPACE, materialize, packed, small, unpacked, words
 
 #: Weights by place of the source in code point order, repeating, and the mix's size as a share of all words.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -126,14 +126,14 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
     plan = mix(sized, block_words, shard_words, seed)
     columns = ("before", "size", "shard_size", "shard_quota", "n_blocks", "picked")
     plan = plan.where(F.col("taken") > 0).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_plan"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(*[docs[c] for c in docs.columns], "_plan")
+    keyed = packed(docs, "doc_id", "text")
+    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["doc_id"])).select(keyed["text"], "_row", "_plan")
     piece = F.split("text", f"(?<=[{SPACE}])(?=[^{SPACE}])")  # words with the white space after them
-    work = joined.select(*docs.columns, F.filter(piece, lambda x: x.rlike(f"[^{SPACE}]")).alias("_words"), "_plan", F.explode(F.array(*[F.lit(k) for k in range(MAX_REPEATS)])).alias("_pass"))
+    work = joined.select("text", "_row", F.filter(piece, lambda x: x.rlike(f"[^{SPACE}]")).alias("_words"), "_plan", F.explode(F.array(*[F.lit(k) for k in range(MAX_REPEATS)])).alias("_pass"))
     start = F.col("_plan.before") + F.col("_pass") * F.col("_plan.shard_size")
     whole = F.col("_plan.shard_quota") >= F.col("_plan.n_blocks")
     kept = F.filter("_words", lambda x, i: whole | (F.coalesce(F.get(F.col("_plan.picked"), F.floor((start + i) / block_words).cast("int")), F.lit(0)) == 1))
     # rand() keeps the filter above the words, which would be listed twice below
     out = work.withColumn("_kept", kept).withColumn("_some", F.when(F.rand(0) < 2, F.size("_kept") > 0)).where("_some")
-    text = F.when(F.size("_kept") == F.size("_words"), F.col("text")).otherwise(F.concat_ws("", "_kept"))
-    out = out.withColumn("text", text)
-    return out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    cut = F.size("_kept") < F.size("_words")
+    return unpacked(out, docs.columns, F.concat_ws("", "_kept"), cut)

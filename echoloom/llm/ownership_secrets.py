@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, packed, small, unpacked
 
 #: Base rules: fixed values of the contract (pattern, group whose length counts, least length).
 BASE = {
@@ -113,8 +113,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     found = find_secrets(docs, **options).where(F.size("spans") > 0)
     found = found.groupBy("doc_id", "text_key").agg(F.first(F.transform("spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))).alias("_spans"))
     found = small(materialize(found, "secret-redactions"), 20_000)
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_text_key"] == found["text_key"]), "left").select(*[docs[c] for c in docs.columns], "_spans")
+    keyed = packed(docs, "doc_id", "text").withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["_text_key"] == found["text_key"]), "left").select(keyed["text"], "_row", "_spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     done = F.aggregate(
         "_spans", zero,
@@ -124,7 +124,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.char_length("text"))),
     )
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(done))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    out = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), done))
+    return unpacked(out, docs.columns, F.col("_new"), F.col("_new").isNotNull())
