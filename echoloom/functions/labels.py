@@ -100,7 +100,8 @@ def first_property(properties: Column, *names: str) -> Column:
 def output_name(stem: Column, rate_khz: int, w1: Column, w2: Column, shift: Column, suffix: Column) -> Column:
     """<stem with its first rate token replaced>-w1_w2_t-suffix.npz"""
     renamed = F.regexp_replace(stem, r"^(.*?)-\d+K-", f"$1-{rate_khz}K-")
-    return F.concat(renamed, F.lit("-"), F.format_number(w1, "0.00"), F.lit("_"), F.format_number(w2, "0.00"), F.lit("_"), F.format_number(shift, "0.000"), F.lit("-"), suffix, F.lit(".npz"))
+    # format_string, not format_number, which would put commas in
+    return F.format_string("%s-%.2f_%.2f_%.3f-%s.npz", renamed, w1.cast("double"), w2.cast("double"), shift.cast("double"), suffix)
 
 
 def split_feature(name: Column) -> tuple[Column, Column]:

@@ -13,7 +13,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,26 +179,42 @@ def read_tdms(data: bytes, path: str, channel: str | None = None, fallback_rate:
 
 
 READERS: dict[str, Callable[[bytes, str], list[dict]]] = {".npz": read_npz, ".tdms": read_tdms, ".bin": read_bin}
-_COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+_SCHEMA = pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in RECORD.split(", "))])
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Rows as Arrow; signals go over as one flat array with offsets."""
+    signals = [r.get("signal") for r in rows]
+    sizes = [None if x is None else len(x) for x in signals]
+    ends = np.cumsum([n or 0 for n in sizes])
+    offsets = pa.array([None if n is None else int(e - n) for n, e in zip(sizes, ends, strict=True)] + [int(ends[-1])], pa.int32())
+    flat = np.concatenate([np.asarray(x, float) for x in signals if x is not None]) if any(n is not None for n in sizes) else np.zeros(0)
+    columns = [
+        pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64())) if f.name == "signal"
+        else pa.array([list((r.get("metadata") or {}).items()) for r in rows], f.type) if f.name == "metadata"
+        else pa.array([r.get(f.name) for r in rows], f.type)
+        for f in _SCHEMA
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
 
 def decode(files: DataFrame) -> DataFrame:
     """path, content -> records by suffix. A failure is a row with status failed, not an exception."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
                     reader = READERS.get("." + path.rsplit(".", 1)[-1].lower())
                     if reader is None:
                         raise ValueError("no reader for this suffix")
-                    rows = [r | {"path": path, "status": "ok", "message": None} for r in reader(bytes(content), path)]
+                    rows = [r | {"path": path, "status": "ok"} for r in reader(content, path)]
                 except Exception as e:  # the row carries it
-                    rows = [{"path": path, "metadata": {}, "status": "failed", "message": f"{type(e).__name__}: {e}"}]
-                out = pd.DataFrame(rows).reindex(columns=_COLUMNS)
-                yield out.astype({"channel_index": "Int32"}).astype({c: object for c in ("signal", "metadata")}).where(out.notna(), None)
+                    rows = [{"path": path, "status": "failed", "message": f"{type(e).__name__}: {e}"}]
+                yield _batch(rows)
 
-    return files.select("path", "content").mapInPandas(run, RECORD)
+    return files.select("path", "content").mapInArrow(run, RECORD)
 
 
 def dead_letters(records: DataFrame) -> DataFrame:
