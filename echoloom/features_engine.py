@@ -33,10 +33,12 @@ def record_features(records: DataFrame, plans: dict[str, K.BandPlan], key: str,
     return records.select(key, signal, rate).mapInPandas(run, schema_of(plans, f"{key} {dict(records.dtypes)[key]}"))
 
 
-def recording_features(records: DataFrame, bands: dict[str, tuple[float, float]], rate: float, seconds: float, overlap: float, key: str = "path", signal: str = "signal", families: dict | None = None, target_rate: float | None = None) -> DataFrame:
+def recording_features(records: DataFrame, bands: dict[str, tuple[float, float]], rate: float, seconds: float, overlap: float, key: str = "path", signal: str = "signal", families: dict | None = None, target_rate: float | None = None, chunks: int = 1) -> DataFrame:
     """One row per window of each recording: key, window geometry, features, status and message.
 
     A recording that fails gives one failed row. A row's memory is one recording, its bands and one window at a time.
+    With chunks, a recording goes to that many tasks, each of which repeats the band filters (a twentieth of the work) and
+    takes its run of windows: the values are the same, the latency of a single long recording is shared.
     """
     effective = target_rate if target_rate and target_rate > rate else rate
     plans = K.plan_bands(bands, effective, families)
@@ -46,20 +48,25 @@ def recording_features(records: DataFrame, bands: dict[str, tuple[float, float]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, x in zip(f[key], f[signal], strict=True):
+            for name, x, part in zip(f[key], f[signal], f["_chunk"], strict=True):
                 try:
                     wave, r = filters.upsample_to(x, rate, effective) if effective > rate else (x, rate)
-                    geometry = window_ranges(len(wave), r, seconds, overlap)
+                    every = window_ranges(len(wave), r, seconds, overlap)
+                    geometry = every[len(every) * part // chunks : len(every) * (part + 1) // chunks]
                     rows = [
                         {key: name, "window_id": g[0], "window_start_index": g[1], "window_end_index": g[2], "sample_rate_hz": r, "status": "ok", "message": None, **row}
                         for g, row in zip(geometry, K.recording_windows(wave, r, plans, [(g[1], g[2]) for g in geometry]), strict=True)
                     ]
                 except Exception as e:  # the row carries it
-                    rows = [{key: name, "status": "failed", "message": f"{type(e).__name__}: {e}"}]
+                    rows = [{key: name, "status": "failed", "message": f"{type(e).__name__}: {e}"}] if part == 0 else []
                 if rows:
                     yield pd.DataFrame(rows).reindex(columns=[*fixed, *columns]).astype({"window_id": "Int64", "window_start_index": "Int64", "window_end_index": "Int64"})
 
-    return records.select(key, signal).mapInPandas(run, schema_of(plans, head))
+    if chunks > 1:
+        parts = records.select(key, signal, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk")).repartition(key, "_chunk")
+    else:
+        parts = records.select(key, signal, F.lit(0).alias("_chunk"))
+    return parts.mapInPandas(run, schema_of(plans, head))
 
 
 def with_window_time(rows: DataFrame, start: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -142,8 +142,8 @@ def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Adjusted skewness and non-excess kurtosis along the last axis."""
     n = x.shape[-1]
     c = x - x.mean(axis=-1, keepdims=True)
-    m2, m3, m4 = (c**k for k in (2, 3, 4))
-    m2, m3, m4 = m2.mean(-1), m3.mean(-1), m4.mean(-1)
+    square = c * c
+    m2, m3, m4 = square.mean(-1), (square * c).mean(-1), (square * square).mean(-1)
     with np.errstate(divide="ignore", invalid="ignore"):
         skew = m3 / m2**1.5 * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else np.zeros_like(m2)
         kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / m2**2 - 3) + 6) + 3 if n > 3 else np.zeros_like(m2)
@@ -190,7 +190,7 @@ def singular_entropy(x: np.ndarray) -> float:
     if len(view) <= 1:
         return 0.0
     rank = min(view.shape)
-    p = np.sort(np.maximum(np.linalg.eigvalsh(view.T @ view), 0))[::-1][:rank]
+    p = np.sort(np.maximum(np.linalg.eigvalsh(embedding_gram(s, rows)), 0))[::-1][:rank]
     p = p / (p.sum() + EPS)
     return float(-(p * np.log(p + EPS)).sum() / math.log(rank))
 
@@ -221,17 +221,57 @@ def mel_cepstrum(freqs: np.ndarray, power: np.ndarray, band: tuple[float, float]
     return math.sqrt(2 / 26) * (np.cos(math.pi * k * (2 * np.arange(26) + 1) / 52) @ logs)
 
 
+def embedding_gram(x: np.ndarray, rows: int) -> np.ndarray:
+    """Products of all pairs of `rows` shifted copies of x: the first row directly, each diagonal by what enters and leaves."""
+    length = len(x) - rows + 1
+    first = np.array([x[:length] @ x[k : k + length] for k in range(rows)])
+    pad = np.concatenate([x, np.zeros(rows)])
+    m, k = np.arange(rows - 1)[:, None], np.arange(rows)[None, :]
+    change = np.cumsum(pad[length + m] * pad[length + m + k] - pad[m] * pad[m + k], axis=0)
+    diagonals = np.vstack([first, first + change])
+    i, j = np.triu_indices(rows)
+    out = np.zeros((rows, rows))
+    out[i, j] = out[j, i] = diagonals[i, j - i]
+    return out
+
+
 def hankel_quality(x: np.ndarray, most: int = 128) -> float:
     """How much of the embedding matrix two components hold, from the eigenvalues of its Gram matrix."""
     cols = max(4, min(len(x) // 3, most))
-    view = np.lib.stride_tricks.sliding_window_view(x, len(x) - cols + 1) if len(x) - cols + 1 >= 4 else None
-    if view is None:
+    if len(x) - cols + 1 < 4:
         return 0.0
-    e = np.maximum(np.linalg.eigvalsh(view @ view.T), 0)
+    e = np.maximum(np.linalg.eigvalsh(embedding_gram(x, cols)), 0)
     total = e.sum()
     return float(1 - math.sqrt(max(total - np.sort(e)[-2:].sum(), 0.0)) / (math.sqrt(total) + EPS))
 
 
+def largest_local_kurtosis(x: np.ndarray, width: int) -> float:
+    """Largest non-excess kurtosis over windows of `width` samples, in blocks of windows that bound memory."""
+    n, best = width, -math.inf
+    for k in range(0, len(x) - width + 1, 2048):
+        c = np.lib.stride_tricks.sliding_window_view(x[k : k + 2047 + width], width)
+        c = c - c.mean(axis=1, keepdims=True)
+        c *= c
+        m2 = c.mean(axis=1)
+        c *= c
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (c.mean(axis=1) / (m2 * m2) - 3) + 6) + 3
+        v = v[~np.isnan(v)]
+        best = max(best, float(v.max())) if len(v) else best
+    return best if math.isfinite(best) else 0.0
+
+
+@lru_cache(maxsize=4)
+def _atoms(n: int, rate: float, freqs: tuple[float, ...], decays_ms: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """Cosine and sine halves of all atoms from time 0 and the running sums of their products: an atom that starts later
+    is the beginning of the same row."""
+    t = np.arange(n) / rate
+    f, tau = (np.array(v)[:, None] for v in zip(*[(f, d / 1000) for f in freqs for d in decays_ms], strict=True))
+    fall = np.exp(-t / np.maximum(tau, EPS))
+    c, q = fall * np.cos(2 * math.pi * f * t), fall * np.sin(2 * math.pi * f * t)
+    return c, q, np.cumsum(c * c, axis=1), np.cumsum(q * q, axis=1), np.cumsum(c * q, axis=1)
+
+
 def damped_match(x: np.ndarray, rate: float, freqs: tuple[float, ...], decays_ms: tuple[float, ...], starts: tuple[int, ...] = (0,)) -> tuple[float, np.ndarray]:
     """Best share of the norm that a causal damped sinusoid of free phase explains, and that unit atom.
 
@@ -239,14 +279,12 @@ def damped_match(x: np.ndarray, rate: float, freqs: tuple[float, ...], decays_ms
     """
     n, norm = len(x), float(np.linalg.norm(x)) + EPS
     best, atom = 0.0, np.zeros(n)
-    t = np.arange(n) / rate
-    grid = [(f, d / 1000) for f in freqs for d in decays_ms]
-    for s in sorted({max(0, min(int(i), n - 1)) for i in starts}) if n else ():
-        rel, seg = t[: n - s], x[s:]
-        f, tau = np.array([g[0] for g in grid])[:, None], np.array([g[1] for g in grid])[:, None]
-        fall = np.exp(-rel / np.maximum(tau, EPS))
-        c, q = fall * np.cos(2 * math.pi * f * rel), fall * np.sin(2 * math.pi * f * rel)
-        cc, qq, cq, xc, xq = (c * c).sum(1), (q * q).sum(1), (c * q).sum(1), c @ seg, q @ seg
+    if not n:
+        return best, atom
+    c, q, ccs, qqs, cqs = _atoms(n, float(rate), tuple(freqs), tuple(decays_ms))
+    for s in sorted({max(0, min(int(i), n - 1)) for i in starts}):
+        m, seg = n - s, x[s:]
+        cc, qq, cq, xc, xq = ccs[:, m - 1], qqs[:, m - 1], cqs[:, m - 1], c[:, :m] @ seg, q[:, :m] @ seg
         det = cc * qq - cq * cq
         flat = det <= 1e-12 * cc * np.maximum(qq, EPS)
         safe = np.where(flat, 1.0, det)
@@ -256,7 +294,7 @@ def damped_match(x: np.ndarray, rate: float, freqs: tuple[float, ...], decays_ms
         if size[k] / norm > best and size[k] > EPS:
             best = float(size[k] / norm)
             atom = np.zeros(n)
-            atom[s:] = (a[k] * c[k] + b[k] * q[k]) / size[k]
+            atom[s:] = (a[k] * c[k, :m] + b[k] * q[k, :m]) / size[k]
     return best, atom
 
 
@@ -503,9 +541,7 @@ def _residual(a: Analysis) -> dict:
     if len(r) < width:
         local = float(moments(r)[1]) if len(r) >= 4 else 0.0
     else:
-        ks = moments(np.lib.stride_tricks.sliding_window_view(r, width))[1]
-        local = float(np.nanmax(ks)) if np.isfinite(ks).any() else 0.0
-        local = local if math.isfinite(local) else 0.0
+        local = largest_local_kurtosis(r, width)
     sc = _centroid(f, rp)
     ratio = rp[a.rows(a.plan.high)].sum(axis=0) / (rp[a.rows(a.plan.low)].sum(axis=0) + EPS)
     reach = max(1, int(round(rate * a.plan.asymmetry_ms / 1000)))

@@ -1,7 +1,7 @@
 """Butterworth design, zero-phase filtering and resampling.
 
-A second-order section runs as a block state-space system: the samples of a block come from two matrix products and only
-the two-number state passes from block to block, so long recordings need no loop over samples.
+A second-order section runs as a block state-space system: the samples of a block come from two matrix products, the
+states of a group of blocks from two more, and only the two-number state passes from group to group.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK = 256
+BLOCK = 64
 
 
 def butterworth_sos(order: int, edges: tuple[float, ...], kind: str) -> np.ndarray:
@@ -56,35 +56,44 @@ def _sections(zeros: np.ndarray, poles: np.ndarray, gain: float) -> np.ndarray:
 
 
 @lru_cache(maxsize=256)
-def _block_system(section: tuple[float, ...], block: int) -> tuple[np.ndarray, ...]:
-    """Matrices of one section over a block: state -> output, input -> output (Toeplitz), state -> state, input -> state."""
+def _block_system(section: tuple[float, ...]) -> tuple[np.ndarray, ...]:
+    """Matrices of one section over a block: state -> output, input -> output (Toeplitz), input -> next state; and over
+    BLOCK blocks: first state -> all states, what the blocks push -> all states. The last states belong to the next group."""
     b0, b1, b2, _, a1, a2 = section
-    step = np.array([[-a1, 1.0], [-a2, 0.0]])
-    drive = np.array([b1 - a1 * b0, b2 - a2 * b0])
+    step, drive = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
     powers = [np.eye(2)]
-    for _ in range(block):
+    for _ in range(BLOCK):
         powers.append(step @ powers[-1])
-    see = np.array([p[0] for p in powers[:block]])
-    impulse = np.concatenate([[b0], [p[0] @ drive for p in powers[: block - 1]]])
-    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    see = np.array([p[0] for p in powers[:BLOCK]])
+    impulse = np.concatenate([[b0], [p[0] @ drive for p in powers[: BLOCK - 1]]])
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
     toeplitz = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
-    reach = np.stack([powers[block - 1 - i] @ drive for i in range(block)], axis=1)
-    return see, toeplitz, powers[block], reach
+    reach = np.stack([powers[BLOCK - 1 - i] @ drive for i in range(BLOCK)], axis=1)
+    hops = [np.eye(2)]
+    for _ in range(BLOCK):
+        hops.append(powers[BLOCK] @ hops[-1])
+    carry = np.concatenate(hops)
+    spread = np.zeros((2 * (BLOCK + 1), 2 * BLOCK))
+    for k in range(1, BLOCK + 1):
+        for j in range(k):
+            spread[2 * k : 2 * k + 2, 2 * j : 2 * j + 2] = hops[k - 1 - j]
+    return see, toeplitz, reach, carry, spread
 
 
 def _run_section(section: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     """x (rows, n), state (rows, 2) -> filtered rows."""
     rows, n = x.shape
-    block = min(BLOCK, max(8, 1 << max(3, (n - 1).bit_length())))
-    see, toeplitz, hop, reach = _block_system(tuple(section), block)
-    count = -(-n // block)
-    blocks = np.pad(x, ((0, 0), (0, count * block - n))).reshape(rows, count, block)
-    forced, pushed = blocks @ toeplitz.T, blocks @ reach.T
-    states = np.empty((rows, count, 2))
-    for k in range(count):
-        states[:, k] = state
-        state = state @ hop.T + pushed[:, k]
-    return (forced + states @ see.T).reshape(rows, -1)[:, :n]
+    see, toeplitz, reach, carry, spread = _block_system(tuple(section))
+    groups = -(-n // (BLOCK * BLOCK))
+    blocks = np.pad(x, ((0, 0), (0, groups * BLOCK * BLOCK - n))).reshape(rows, groups * BLOCK, BLOCK)
+    pushed = (blocks @ reach.T).reshape(rows, groups, 2 * BLOCK)
+    own = pushed @ spread.T
+    states = np.empty((rows, groups, 2 * (BLOCK + 1)))
+    for k in range(groups):
+        states[:, k] = own[:, k] + state @ carry.T
+        state = states[:, k, -2:]
+    before = states[:, :, :-2].reshape(rows, groups * BLOCK, 2)
+    return (blocks @ toeplitz.T + before @ see.T).reshape(rows, -1)[:, :n]
 
 
 def _steady_state(sos: np.ndarray) -> np.ndarray:

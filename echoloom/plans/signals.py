@@ -56,7 +56,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def window_feature_rows(spark, sf_dir):
     """#93, #103-#108, F1-F43: sliding windows of every recording, all families in the widest band."""
-    return E.recording_features(recordings(spark, sf_dir), BANDS, RATE, 0.008, 0.5)
+    return E.recording_features(recordings(spark, sf_dir), BANDS, RATE, 0.008, 0.5, chunks=4)
 
 
 @query()

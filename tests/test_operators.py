@@ -112,6 +112,8 @@ def test_engine_rows_do_not_depend_on_partitions(spark, sf):
     a = E.recording_features(r.repartition(1), {"b": (100.0, 20_000.0)}, RATE, 0.008, 0.5, families={"b": ("classic", "spectral")}).orderBy("path", "window_id").toPandas()
     b = E.recording_features(r.repartition(5), {"b": (100.0, 20_000.0)}, RATE, 0.008, 0.5, families={"b": ("classic", "spectral")}).orderBy("path", "window_id").toPandas()
     pd.testing.assert_frame_equal(a, b)
+    c = E.recording_features(r, {"b": (100.0, 20_000.0)}, RATE, 0.008, 0.5, families={"b": ("classic", "spectral")}, chunks=3).orderBy("path", "window_id").toPandas()
+    pd.testing.assert_frame_equal(a, c)
     short = spark.createDataFrame([("s", [1.0] * 10), ("t", None)], "path string, signal array<double>")
     out = E.recording_features(short, {"b": (100.0, 20_000.0)}, RATE, 0.008, 0.5, families={"b": ("classic",)}).collect()
     assert [(r["path"], r["status"]) for r in out] == [("t", "failed")]
