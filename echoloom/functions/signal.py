@@ -214,3 +214,23 @@ def windows(a: Column, length: Column | int, step: Column | int) -> Column:
     length, step = (F.lit(x) if isinstance(x, int) else x for x in (length, step))
     starts = F.when(n >= length, F.sequence(F.lit(0), n - length, step)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(a, s + 1, length).alias("samples")))
+
+
+def with_noise(a: Column, snr_db: float | Column, *key: Column, seed: int = 42) -> Column:
+    """a plus Gaussian noise at a signal-to-noise ratio. The draws come from a hash of the key and the sample's number, so
+    they don't depend on partitions (two uniform hashes make one normal)."""
+    power = total(F.transform(a, lambda x: x * x)) / size(a)
+    sigma = F.sqrt(power / F.pow(F.lit(10.0), snr_db / 10 if isinstance(snr_db, Column) else F.lit(snr_db / 10)))
+
+    def uniform(i: Column, part: int) -> Column:
+        return (F.pmod(F.xxhash64(*key, i, F.lit(seed), F.lit(part)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+
+    return let(sigma, lambda s: F.transform(a, lambda x, i: x + s * F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1))))
+
+
+def moving_average_edges(a: Column, width: int) -> Column:
+    """Centred mean over `width` samples, the first and last sample repeated beyond the ends."""
+    left = width // 2
+    right = width - 1 - left
+    padded = F.concat(F.array_repeat(F.get(a, F.lit(0)), left), a, F.array_repeat(F.element_at(a, -1), right))
+    return let(padded, lambda p: F.transform(a, lambda _, i: total(F.slice(p, i + 1, width)) / width))

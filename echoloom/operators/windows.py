@@ -119,3 +119,31 @@ def decay_ends(df: DataFrame, key: str, x: str) -> DataFrame:
     t = t.withColumn("_limit", F.array_max("e") / math.e)
     after = F.array_min(F.filter(F.transform("e", lambda v, i: F.when((i > F.col("peak")) & (v <= F.col("_limit")), i)), lambda i: i.isNotNull()))
     return t.select(key, F.coalesce(after, F.size("e") - 1).alias("decay_end"))
+
+
+def canonical_windows(rows: DataFrame, event: str, start_ms: float = 0.0, end_ms: float = 30.0, tolerance: float = 1e-6) -> DataFrame:
+    """Rows of one window mode with exact bounds; an event with two of them raises."""
+    t = rows.where((F.col("window_mode") == f"{start_ms:g}_{end_ms:g}") & (F.abs(F.col("window_start_ms") - start_ms) <= tolerance) & (F.abs(F.col("window_end_ms") - end_ms) <= tolerance))
+    n = F.count(F.lit(1)).over(W.partitionBy(event))
+    return t.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("two canonical windows of one event: "), F.col(event).cast("string"))).cast("boolean")).otherwise(True)).drop("_n")
+
+
+def window_audit(rows: DataFrame, selected: DataFrame, label: str, event: str) -> DataFrame:
+    """Rows and events of each label before and after the selection."""
+    a = rows.groupBy(label).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(event).alias("events"))
+    b = selected.groupBy(label).agg(F.count(F.lit(1)).alias("selected_rows"), F.countDistinct(event).alias("selected_events"))
+    return a.join(b, label, "left").na.fill(0, ["selected_rows", "selected_events"])
+
+
+def time_axis(df: DataFrame, columns: list[str], offset: str | None = None, order: str = "window_id") -> DataFrame:
+    """df with time_axis: the first of the columns that holds most values, plus the offset in seconds if given; else row numbers."""
+    from ..functions.labels import add_seconds
+
+    there = [c for c in columns if c in df.columns]
+    if there:
+        counts = df.agg(*[F.count(c).alias(c) for c in there], F.count(F.lit(1)).alias("_all")).first()
+        best = max(there, key=lambda c: (counts[c] > 0, counts[c] == counts["_all"], -there.index(c)))
+        if counts[best]:
+            t = F.col(best).cast("timestamp")
+            return df.withColumn("time_axis", add_seconds(t, F.col(offset)) if offset else t)
+    return df.withColumn("time_axis", F.col(order))

@@ -8,6 +8,7 @@ from ..operators import correlation as C
 from ..operators import discrimination as D
 from ..operators import metrics as M
 from ..operators import selection as SL
+from ..operators import stability as SB
 from .tables import FEATURES, LONG, long_lineitem, table
 
 QUERIES: dict = {}
@@ -295,3 +296,42 @@ def bootstrap_stability(spark, sf_dir):
     """#117, #142."""
     s = sided(spark, sf_dir).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     return SL.bootstrap_stability(s, "key", 20, 2)
+
+
+@query()
+def bootstrap_errors(spark, sf_dir):
+    """#103, #147: relative errors of five statistics by sample size, and their summary over features."""
+    t = long_lineitem(spark, sf_dir).select("l_returnflag", "feature", "value")
+    return SB.error_summary(SB.bootstrap_errors(t, ["l_returnflag", "feature"], [20, 50, 100, 200], 40), ["l_returnflag"])
+
+
+@query()
+def paired_mean_gaps(spark, sf_dir):
+    """#148."""
+    return SB.paired_gaps(long_lineitem(spark, sf_dir).select("l_returnflag", "feature", "value"), ["l_returnflag", "feature"], [20, 100, 400], 40)
+
+
+@query()
+def distance_convergence(spark, sf_dir):
+    """#149, #153: distance of growing samples to the whole, by Fourier features and by means."""
+    l = table(spark, sf_dir, "lineitem").select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    a = SB.distance_curve(l, "l_returnflag", FEATURES, [50, 200, 800], 3, 2000)
+    return a.join(SB.mean_errors(l, "l_returnflag", FEATURES, [50, 200, 800], 10, 2000), ["l_returnflag", "size"])
+
+
+@query()
+def neighbour_information(spark, sf_dir):
+    """#132."""
+    return SB.neighbour_information_table(sided(spark, sf_dir).select("feature", "side", "value"), ["feature"])
+
+
+@query(f"""WITH n AS (SELECT feature, side, count(*) AS n FROM {SIDED} GROUP BY ALL), c AS (SELECT feature, CASE WHEN max(n) >= 1.2 * min(n) THEN min(n) ELSE max(n) END AS cap FROM n GROUP BY feature),
+ d AS (SELECT s.feature, r, side, value, row_number() OVER (PARTITION BY s.feature, side, r ORDER BY md5(l_orderkey || '-' || l_linenumber || '|' || r || '|42'), l_orderkey || '-' || l_linenumber, value) AS k FROM {SIDED} s, (SELECT unnest(range(0, 3)) AS r) t),
+ k AS (SELECT d.* FROM d JOIN c USING (feature) WHERE k <= cap), q AS (SELECT feature, r, side, rank() OVER (PARTITION BY feature, r ORDER BY value) + (count(*) OVER (PARTITION BY feature, r, value) - 1) / 2.0 AS rk FROM k),
+ a AS (SELECT feature, r, (sum(rk) FILTER (WHERE side = 1) - sum(side) * (sum(side) + 1) / 2.0) / (sum(side) * (count(*) - sum(side))) AS auc FROM q GROUP BY ALL)
+ SELECT feature, round(avg(auc), 6) AS auc, round(stddev_pop(auc), 6) AS auc_std FROM a GROUP BY feature""")
+def balanced_repeats(spark, sf_dir):
+    """#116."""
+    s = sided(spark, sf_dir).withColumn("key", F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")))
+    t = SB.balanced_repeats(s.select("key", "feature", "side", "value"), "key", 3)
+    return t.select("feature", F.round("auc", 6).alias("auc"), F.round("auc_std", 6).alias("auc_std"))

@@ -262,3 +262,34 @@ def wave_onset(spark, sf_dir):
 def wave_decay_end(spark, sf_dir):
     """#79: first sample after the peak at or under the peak's energy over e, else the last."""
     return WN.decay_ends(_waves(spark, sf_dir), "vec_id", "x")
+
+
+@query("""WITH r AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 3 = 0 THEN '0_30' ELSE '-10_30' END AS window_mode FROM events), s AS (SELECT * FROM r WHERE window_mode = '0_30')
+ SELECT r.event_type, count(*) AS "rows", count(DISTINCT r.event_id) AS events, (SELECT count(*) FROM s WHERE s.event_type = r.event_type) AS selected_rows, (SELECT count(DISTINCT event_id) FROM s WHERE s.event_type = r.event_type) AS selected_events FROM r GROUP BY r.event_type""")
+def canonical_window_audit(spark, sf_dir):
+    """#55."""
+    mode = F.when(F.col("event_id") % 3 == 0, "0_30").otherwise("-10_30")
+    r = _events(spark, sf_dir).select("event_id", "event_type", mode.alias("window_mode"), F.when(mode == "0_30", 0.0).otherwise(-10.0).alias("window_start_ms"), F.lit(30.0).alias("window_end_ms"))
+    return WN.window_audit(r, WN.canonical_windows(r, "event_id"), "event_type", "event_id")
+
+
+@query("""SELECT event_id, CASE WHEN ts IS NOT NULL THEN ts + to_microseconds((event_id % 7) * 1000000) END AS time_axis FROM events""")
+def scoring_time_axis(spark, sf_dir):
+    """#57: the first full time column, moved by each row's offset."""
+    e = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("window_start_datetime"), F.col("ts").alias("starttime_raw"), (F.col("event_id") % 7).cast("double").alias("offset_s"))
+    t = WN.time_axis(e, ["window_start_datetime", "starttime_raw", "arrival_time_raw"], "offset_s")
+    return t.select("event_id", F.col("time_axis").cast("timestamp_ntz").alias("time_axis"))
+
+
+@query(f"""SELECT vec_id, i::INT AS i, round((SELECT avg(embedding[greatest(1, least(len(embedding), i + 1 + d))]::DOUBLE) FROM (SELECT unnest([-2, -1, 0, 1, 2]) AS d) t), 6) AS smooth FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)""")
+def wave_moving_average_edges(spark, sf_dir):
+    """#64 with the end samples repeated."""
+    return _waves(spark, sf_dir).select("vec_id", F.posexplode(S.moving_average_edges(F.col("x"), 5)).alias("i", "s")).select("vec_id", "i", F.round("s", 6).alias("smooth"))
+
+
+@query()
+def noise_at_snr(spark, sf_dir):
+    """#92: measured ratio of each waveform to the noise put on it at 10 dB."""
+    t = _waves(spark, sf_dir).withColumn("y", S.with_noise(F.col("x"), 10.0, F.col("vec_id")))
+    noise = F.zip_with("x", "y", lambda a, b: b - a)
+    return t.select("vec_id", F.round(20 * F.log10(S.rms(F.col("x")) / (S.rms(noise) + 1e-12)), 4).alias("snr_db"))

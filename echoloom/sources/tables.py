@@ -59,3 +59,49 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_waveforms(records: DataFrame, path: str) -> None:
     records.write.mode("errorifexists").parquet(path)
+
+
+def record_index(records: DataFrame) -> DataFrame:
+    """One row of derived facts per record, without its samples."""
+    n = F.size("signal")
+    return records.select(
+        "path", "channel_index", "type", "sample_rate", n.alias("npts"), (n / F.col("sample_rate")).alias("duration_s"), L.parse_time(F.col("starttime")).alias("start"),
+        F.coalesce(L.seconds_between(L.parse_time(F.col("starttime")), L.parse_time(F.col("arrival_time"))), F.lit(None).cast("double")).alias("arrival_offset_s"),
+        F.when(F.col("arrival_time").isNull(), "estimated").otherwise("labelled").alias("arrival_source"), L.source_stem(F.col("path")).alias("sample_stem"),
+    )
+
+
+def unique_inputs(files: DataFrame) -> DataFrame:
+    """Each path once, whatever root it was found under."""
+    return files.withColumn("path", F.regexp_replace("path", "/+", "/")).dropDuplicates(["path"])
+
+
+def data_info(specs: DataFrame, window_s: float) -> DataFrame:
+    """specs with data_info, the JSON that goes beside a mixed sample; the window's length comes from the configuration."""
+    fields = [c for c in specs.columns if dict(specs.dtypes)[c] not in ("array<double>",)]
+    return specs.withColumn("data_info", F.to_json(F.struct(*fields, F.lit(window_s).alias("window_duration_s"))))
+
+
+def feature_index(features: list[str], spark: SparkSession) -> DataFrame:
+    """Name to position of an exported feature table."""
+    return spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, position int")
+
+
+def markdown_report(counts: DataFrame, ranking: DataFrame | None = None, top: int = 30) -> str:
+    """Text of a build or mining report: the counts, and the best features of grade A (a top-k report)."""
+    def lines(df: DataFrame) -> list[str]:
+        rows = df.collect()
+        return ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *["| " + " | ".join("" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]]
+
+    out = ["# Report", "", *lines(counts)]
+    if ranking is not None:
+        out += ["", f"## First {top} of grade A", "", *lines(ranking.where(F.col("grade") == "A").orderBy("rank").limit(top))]
+    return "\n".join(out) + "\n"
+
+
+def save_run(model, metrics: dict, path: str, spark: SparkSession) -> None:
+    """A fitted pipeline and its metrics as a JSON table under one folder."""
+    import json
+
+    model.write().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(metrics, default=str),)], "metrics string").coalesce(1).write.text(f"{path}/metrics")

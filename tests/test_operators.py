@@ -226,3 +226,33 @@ def test_row_values_bound_once(spark):
     m = np.median(x)
     assert np.allclose(r["z"], (x - m) / (1.4826 * np.median(np.abs(x - m))))
     assert np.allclose(r["m"], np.convolve(x, np.ones(3) / 3, "same"))
+
+
+def test_neighbour_information_and_noise(spark):
+    from echoloom.operators import stability as ST2
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 600)
+    assert ST2.neighbour_information(y + 0.01 * rng.normal(size=600), y) > 0.6
+    assert ST2.neighbour_information(rng.normal(size=600), y) < 0.05
+    assert float(ST2._digamma(np.array(1.0))) == pytest.approx(-0.5772156649, abs=1e-8)
+    t = spark.createDataFrame([(1, [math.sin(i / 3) for i in range(4000)])], "k long, x array<double>")
+    r = t.select(S.with_noise(F.col("x"), 10.0, F.col("k")).alias("y"), "x").first()
+    noise = np.array(r["y"]) - np.array(r["x"])
+    assert 10 * math.log10(np.mean(np.square(r["x"])) / np.mean(noise**2)) == pytest.approx(10, abs=0.4)
+
+
+def test_reports_and_records(spark, tmp_path):
+    counts = spark.createDataFrame([("a", "train", 3)], "dataset string, split string, n long")
+    rank = spark.createDataFrame([("f1", 0.5, 1, "A"), ("f2", 0.1, 2, "C")], "feature string, total double, rank int, grade string")
+    text = T.markdown_report(counts, rank)
+    assert "| a | train | 3 |" in text and "f1" in text and "f2" not in text
+    r = spark.createDataFrame([("/d/a.npz", 0, "QJ", 1000.0, [0.0] * 500, "20260101T000000.000", "20260101T000000.250")], "path string, channel_index int, type string, sample_rate double, signal array<double>, starttime string, arrival_time string")
+    i = T.record_index(r).first()
+    assert (i["npts"], i["duration_s"], i["arrival_offset_s"], i["arrival_source"], i["sample_stem"]) == (500, 0.5, 0.25, "labelled", "a")
+    assert T.unique_inputs(spark.createDataFrame([("/a//b",), ("/a/b",)], "path string")).count() == 1
+    info = T.data_info(MX.draw_specs(spark, 1, 3, 2), 0.02).first()["data_info"]
+    assert '"window_duration_s":0.02' in info
+    two = spark.createDataFrame([("e", "0_30", 0.0, 30.0)] * 2, "event string, window_mode string, window_start_ms double, window_end_ms double")
+    with pytest.raises(Exception, match="two canonical"):
+        WN.canonical_windows(two, "event").collect()
