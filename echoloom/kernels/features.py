@@ -66,6 +66,8 @@ class BandPlan:
     damped_freqs: tuple[float, ...] = (8_000.0, 12_000.0, 16_000.0, 20_000.0, 25_000.0, 30_000.0, 35_000.0, 40_000.0, 45_000.0)
     damped_ms: tuple[float, ...] = (0.1, 0.2, 0.4, 0.8, 1.2, 2.0)
     families: tuple[str, ...] = tuple(FAMILIES)
+    #: "current", or "first" for the earlier definitions of FirstAnalysis and first_definitions()
+    formulas: str = "current"
 
 
 def plan_band(band: tuple[float, float], rate: float, families: tuple[str, ...] | None = None) -> BandPlan:
@@ -599,13 +601,76 @@ def _damped(a: Analysis) -> dict:
 _RUN = {"classic": _classic, "time": _time, "spectral": _spectral, "entropy": _entropy, "cepstral": _cepstral, "ridge": _ridge, "harmonic": _harmonic, "residual": _residual, "background": _background, "wavelet": _wavelet, "damped": _damped}
 
 
+class FirstAnalysis(Analysis):
+    """The earlier intermediates: every frame with a ridge is active, the second ridge is sought near twice the first and
+    always masked, and the residual is what the rebuilt signal leaves."""
+
+    @cached_property
+    def f2(self) -> np.ndarray:
+        return spectra.ridge(self.tf[0], self.power, self.plan.ridge_second, self.plan.jump_hz, prior=2 * self.f1)
+
+    @cached_property
+    def active(self) -> np.ndarray:
+        return self.f1 > 0
+
+    @cached_property
+    def doubled(self) -> np.ndarray:
+        return np.abs(self.f2 - 2 * self.f1) < np.maximum(2 * self.bin_hz, self.plan.relative_width * np.maximum(self.f1, EPS))
+
+    @cached_property
+    def mask(self) -> np.ndarray:
+        every = np.ones(len(self.f1), bool)
+        return self.near(self.f1, self.width(self.f1), every) | self.near(self.f2, self.width(self.f2), every)
+
+    @cached_property
+    def residual(self) -> np.ndarray:
+        return self.x - self.rebuilt
+
+
+def first_definitions(a: FirstAnalysis) -> dict[str, float]:
+    """Features whose earlier definition differs in more than its intermediates."""
+    f, t, _ = a.tf
+    p, short, frames = a.power, a.short[1], np.arange(len(t))
+
+    def at(centre: np.ndarray) -> float:
+        return float(p[np.abs(f[:, None] - centre[None, :]).argmin(axis=0), frames].sum())
+
+    e1, e2, total, on = at(a.f1), at(a.f2), float(p.sum()), a.active
+    z = (short - short.mean(axis=1, keepdims=True)) / np.sqrt(short.var(axis=1, keepdims=True) + EPS)
+    share, mean = p / (total + EPS), p.mean(axis=1)
+    steps = np.gradient(a.f1, t) if len(t) > 1 else np.zeros(len(t))
+    henv = spectra.envelope(a.high, a.rate, a.plan.smooth_ms)
+    fallen = np.flatnonzero(henv[int(np.argmax(henv)) :] <= 0.5 * henv.max())
+    sc, none = _centroid(f, p), 0.0
+    out = {
+        "SC_mean": float(sc.mean()), "k_sc": slope(t, sc), "beta_H": slope(t, np.log(p[a.rows(a.plan.high)].sum(axis=0) + EPS)), "H_tf": float(-(share * np.log(share + EPS)).sum()),
+        "SF": float(np.exp(np.log(mean + EPS).mean()) / (mean.mean() + EPS)), "H_alpha": float(np.log((share**a.plan.renyi).sum() + EPS) / (1 - a.plan.renyi)),
+        "F_peak": float(np.maximum(np.diff(short.sum(axis=0), prepend=0.0), 0).max()), "SK_max": float((z**4).mean(axis=1).max()), "G_gap": float((on[:-1] & (np.abs(np.diff(a.f1)) < EPS)).mean()) if len(on) > 1 else none,
+        "rho_up": float((steps > a.plan.jump_hz).mean()), "rho_down": float((steps < -a.plan.jump_hz).mean()), "N_turn": float((np.diff(np.sign(steps)) != 0).sum()), "H2_ratio": float(a.doubled[on].mean()) if on.any() else none,
+        "R_2_1": e2 / (e1 + EPS), "R_h": e2 / (e1 + EPS), "H_stack": (e1 + at(2 * a.f1) + at(3 * a.f1)) / (total + EPS), "epsilon_2x": float(np.median(np.abs(a.f2 - 2 * a.f1)[on] / (a.f1[on] + EPS))) if on.any() else none,
+        "C_h": float(np.abs(a.f2 - 2 * a.f1)[on].mean()) if on.any() else none, "T_half_high": float(fallen[0] / a.rate) if len(fallen) else none, "alpha_hat": -slope(np.arange(len(a.x)) / a.rate, np.log(np.maximum(a.res_env, EPS))),
+    }
+    if "wavelet" in a.plan.families:
+        e = np.array([v for _, v in sorted((n, float(v @ v)) for n, v in spectra.wavelet_packet(a.x, a.plan.wavelet_level or 4))])
+        q = e / (e.sum() + EPS)
+        out |= {"H_wp": float(-(q * np.log(q + EPS)).sum()), "I_burst": float(q.max() / (np.median(q) + EPS)), "D_WPT": float(q[len(q) // 2 :].sum() - q[: len(q) // 2].sum())}
+    if "damped" in a.plan.families:
+        n = len(a.x)
+        c, _, cc, _, _ = _atoms(n, a.rate, a.plan.damped_freqs, a.plan.damped_ms)
+        out["C_damp"] = float((np.abs(c @ a.residual) / (np.sqrt(cc[:, -1]) + EPS)).max() / (np.linalg.norm(a.residual) + EPS))
+    return out
+
+
 def window_features(x: np.ndarray, rate: float, plan: BandPlan, high: np.ndarray | None = None) -> dict[str, float]:
     """All features of the plan's families for one band signal."""
-    a = Analysis(x, rate, plan, high)
+    first = plan.formulas == "first"
+    a = (FirstAnalysis if first else Analysis)(x, rate, plan, high)
     out: dict[str, float] = {}
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         for family in plan.families:
             out |= _RUN[family](a)
+        if first:
+            out |= {k: v for k, v in first_definitions(a).items() if k in out}
     return out
 
 

@@ -203,3 +203,14 @@ def test_recording_windows_skip_nothing_and_batch_alike():
     assert len(rows) == len(windows)
     for k, v in alone[0].items():
         assert np.isclose(v, rows[2][k], rtol=1e-8, atol=1e-10, equal_nan=True)
+
+
+def test_first_definitions_differ_where_they_should():
+    from dataclasses import replace
+
+    plan = features.plan_band((100, 60_000), RATE)
+    new, old = features.window_features(two_tone(), RATE, plan), features.window_features(two_tone(), RATE, replace(plan, formulas="first"))
+    assert set(new) == set(old)
+    assert old["R_h"] == old["R_2_1"] and old["rho_r"] == 1.0
+    for k in (*features.FAMILIES["classic"], *features.FAMILIES["time"], "energy_entropy", "MFCC_01"):
+        assert old[k] == new[k]
