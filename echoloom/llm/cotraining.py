@@ -224,8 +224,8 @@ def scored(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOL
         t = t.withColumns({"_zt": model.text.expression(F.col("_text")), "_zp": model.page.expression(F.col("_page"))})
         t = t.withColumns({"text_score": _sigmoid(F.col("_zt")), "page_score": _sigmoid(F.col("_zp")), "score": _sigmoid(F.lit(a) + F.lit(b) * F.col("_zt") + F.lit(c) * F.col("_zp"))})
     t = t.withColumns({x: F.when(F.col("_n_words") > 0, F.col(x)).otherwise(F.lit(0.0)) for x in ("text_score", "page_score", "score")})
-    # rand() keeps a filter on this column above the features; below them, it would compute each of them over again
-    return t.withColumn("kept", F.when(F.rand(0) < 2, (F.col("_n_words") > 0) & (F.col("score") >= threshold)))
+    # the row number keeps a filter on this column above the features; below them, it would compute each of them over again
+    return t.withColumn("kept", F.when(F.monotonically_increasing_id() >= 0, (F.col("_n_words") > 0) & (F.col("score") >= threshold)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
