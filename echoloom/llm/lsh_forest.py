@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small, words
+from .common import discard, materialize, packed, small, unpacked, words
 from .components import connected_components
 
 SHINGLE = 5
@@ -256,11 +256,11 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     found = small(nodes, 100_000)
     judged = rows.join(found, "node").where(~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))))
     gone = small(materialize(judged.select("doc_id", "text_key").distinct(), "join-gone"), 100_000)
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = packed(docs, "doc_id", "text").withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_text_key"] == gone["text_key"]), "left_anti")
     # rows alike in doc_id and text are one class with one representative: only where there are any, one of each stays
     again = rows.where(F.col("node").isNotNull()).groupBy("doc_id", "text_key").count().where(F.col("count") > 1).limit(1).count()
     if again:
         worded = kept.where(F.size(words(F.col("text"))) > 0).dropDuplicates(["doc_id", "_text_key"])
         kept = worded.unionByName(kept.where(F.size(words(F.col("text"))) == 0))
-    return kept.select(*docs.columns)
+    return unpacked(kept, docs.columns)

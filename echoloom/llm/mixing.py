@@ -72,6 +72,11 @@ def _number(c: Column) -> Column:
     return F.coalesce(c, F.lit(0)).cast("long")
 
 
+def _seeded(seed: int, *keys: str) -> Column:
+    """md5 of the keys and the seed: the same on every run, partitioning and engine."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
 def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """Rows (doc_id, source, size) -> the same with source_size, target, taken and the columns of the selection.
 
@@ -83,7 +88,7 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHA
     quotas = highest_quotients(totals.withColumn("_n", F.lit(seats)), [], ["source"], "target", "_n").withColumn("n_shards", F.greatest(F.lit(1), F.round(F.col("source_size") / shard_words)).cast("int")).drop("_n")
     quotas = small(materialize(quotas, "mix-quotas"), 10_000)
     docs = sized.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source"))).select(
-        "d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.quota", F.pmod(F.xxhash64("d.doc_id", F.lit(seed)), F.col("q.n_shards")).alias("shard")
+        "d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.quota", (F.conv(F.substring(_seeded(seed, "d.doc_id"), 1, 8), 16, 10).cast("long") % F.col("q.n_shards")).alias("shard")
     )
     by_shard = docs.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("_seats"))
     shards = highest_quotients(by_shard, ["source"], ["shard"], "shard_size", "_seats").select(
@@ -92,10 +97,10 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHA
     # seeded choice: the shard_quota blocks of least hash; a shard whose quota reaches its blocks is taken whole
     blocks = shards.where((F.col("n_blocks") > 0) & (F.col("shard_quota") < F.col("n_blocks"))).select("source", "shard", "shard_quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     w = W.partitionBy("source", "shard")
-    chosen = blocks.withColumn("_rank", F.row_number().over(w.orderBy(F.xxhash64("source", "shard", "block", F.lit(seed)), "block"))).withColumn("_in", (F.col("_rank") <= F.col("shard_quota")).cast("int"))
+    chosen = blocks.withColumn("_rank", F.row_number().over(w.orderBy(_seeded(seed, "source", "shard", "block"), "block"))).withColumn("_in", (F.col("_rank") <= F.col("shard_quota")).cast("int"))
     prefix = chosen.groupBy("source", "shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "_in"))), lambda x: x["_in"]).alias("picked"))
     chosen = shards.alias("s").join(prefix.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.shard") == F.col("p.shard")), "left").select("s.*", "p.picked")
-    order = w.orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = w.orderBy(_seeded(seed + 1, "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = docs.withColumn("before", _number(F.sum("size").over(order)))
     out = placed.alias("d").join(chosen.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard"))).select("d.*", "s.shard_size", "s.shard_quota", "s.n_blocks", "s.picked")
     return out.withColumn("taken", sum((taken_words(F.col("before") + k * F.col("shard_size"), F.col("size"), block_words) for k in range(1, MAX_REPEATS)), taken_words(F.col("before"), F.col("size"), block_words)))
@@ -133,7 +138,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words
     start = F.col("_plan.before") + F.col("_pass") * F.col("_plan.shard_size")
     whole = F.col("_plan.shard_quota") >= F.col("_plan.n_blocks")
     kept = F.filter("_words", lambda x, i: whole | (F.coalesce(F.get(F.col("_plan.picked"), F.floor((start + i) / block_words).cast("int")), F.lit(0)) == 1))
-    # rand() keeps the filter above the words, which would be listed twice below
-    out = work.withColumn("_kept", kept).withColumn("_some", F.when(F.rand(0) < 2, F.size("_kept") > 0)).where("_some")
+    # the row number keeps the filter above the words, which would be listed twice below
+    out = work.withColumn("_kept", kept).withColumn("_some", F.when(F.monotonically_increasing_id() >= 0, F.size("_kept") > 0)).where("_some")
     cut = F.size("_kept") < F.size("_words")
     return unpacked(out, docs.columns, F.concat_ws("", "_kept"), cut)

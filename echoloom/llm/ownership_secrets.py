@@ -30,7 +30,7 @@ ADDED = {
     "provider": r"(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{18,}|ASIA[A-Z0-9]{16,})",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "block": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----",
-    "mixed": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}",
+    "mixed": r"[A-Za-z0-9+/_-]{24,}={0,2}",
 }
 ORDER = [*BASE, *ADDED]
 #: A value in more repositories or with more owners than this is a copied example.
@@ -71,7 +71,13 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source") ->
     at_once = {"assign": BASE["assign"], "access": BASE["access"], "hex": (r"[0-9a-f]{24,}", 0, 24)}
     base = [F.when(F.col("t").rlike(p), _spans(F.col("t"), p, ORDER.index(k), g, n)).otherwise(_none()) for k, (p, g, n) in at_once.items()]
     added = [F.when(F.col("t").rlike(p), _spans(F.col("t"), p, ORDER.index(k), 0, 1)).otherwise(_none()) for k, p in ADDED.items()]
-    return t.select("doc_id", "text_key", "repository", "owner", F.concat(*base).alias("base"), F.concat(*added).alias("added"))
+
+    def diverse(s: Column) -> Column:
+        """Long runs that may be keys: digits and both cases, and many different characters."""
+        v = s["value"]
+        return (s["kind"] != ORDER.index("mixed")) | (v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= MIN_DISTINCT))
+
+    return t.select("doc_id", "text_key", "repository", "owner", F.concat(*base).alias("base"), F.filter(F.concat(*added), diverse).alias("added"))
 
 
 def live_values(found: DataFrame, max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -87,8 +93,7 @@ def find_secrets(docs: DataFrame, repository: str = "source", owner: str = "sour
     found = materialize(scan(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     live = live_values(found, max_repositories, max_owners)
     added = found.where(F.size("added") > 0).select("row", F.explode("added").alias("s"))
-    diverse = (F.col("s.kind") != ORDER.index("mixed")) | (F.size(F.array_distinct(F.split("s.value", ""))) >= MIN_DISTINCT)
-    added = added.where(diverse).withColumn("value_hash", F.sha2("s.value", 256)).join(live, "value_hash", "left_semi")
+    added = added.withColumn("value_hash", F.sha2("s.value", 256)).join(live, "value_hash", "left_semi")
     kept = added.groupBy("row").agg(F.collect_list("s").alias("live"))
     out = found.join(kept, "row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("live", _none())))
