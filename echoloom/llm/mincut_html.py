@@ -36,15 +36,18 @@ HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id and role that mark parts of a page.
 BAD_NAMES = set(
-    "ad ads adv advert adverts advertisement advertisements adsense adslot banner banners billboard breadcrumb breadcrumbs byline-share comment comments commentlist respond reply replies disqus "
-    "consent cookie cookies gdpr copyright disclaimer footer foot header masthead topbar login signin signup register menu menus navbar nav navigation navlist "
+    "ad ads adv advert adverts advertisement advertisements adsense adslot billboard breadcrumb breadcrumbs byline-share comment comments commentlist respond reply replies disqus "
+    "consent cookie cookies gdpr copyright disclaimer footer foot masthead topbar login signin signup register menu menus navbar nav navigation navlist "
     "newsletter subscribe subscription notice notices notification notifications alert popup modal overlay pagination pager paywall popular promo promos promotion "
     "promoted related recommended recommendations rss search searchbox share sharing sharebar shares sidebar sidebars side sidenav skip skiplink social sponsor sponsored sponsors "
-    "tagcloud tags teaser toc toolbar trending widget widgets navigation complementary contentinfo tablist outbrain taboola hidden".split()
+    "tagcloud tags teaser toc toolbar trending widget widgets navigation complementary contentinfo tablist outbrain taboola hidden meta byline postmeta bio".split()
 )
+#: Words that say what a page has rather than what an element is: `has-sidebar` marks no sidebar.
+HAVING = set("has with without no not is show js".split())
+HEADER_NAMES = set("header head banner masthead titlebar".split())
 GOOD_NAMES = set("article articlebody articlecontent body content contents entry entrycontent hentry main maincontent post postbody postcontent story storybody text".split())
 #: Classifier: costs are its logits. Positive speaks for content.
-WEIGHTS = {"bias": -0.3, "words": 0.9, "link_share": -5.0, "sentence": 0.8, "good": 3.0, "bad": -6.0, "never": -12.0, "heading": 0.6, "list": -0.6, "header": -3.0, "copyright": -4.0, "outside": -3.5}
+WEIGHTS = {"bias": -0.3, "words": 0.9, "link_share": -5.0, "sentence": 0.8, "good": 5.0, "bad": -8.0, "never": -12.0, "heading": 0.6, "list": -0.6, "header": -9.0, "copyright": -4.0, "outside": -3.5}
 #: Words inside marked content from which blocks outside it count as outside the article.
 ENOUGH_WORDS = 25
 SMOOTH_NEXT = 0.8
@@ -73,6 +76,8 @@ def _names(attributes: str) -> tuple[set[str], bool]:
         if key in ("class", "id", "role"):
             for name in value.split():
                 parts = [p for p in _SPLIT_NAME.split(name) if p]
+                if not HAVING.isdisjoint(parts):
+                    continue
                 found.update(parts)
                 found.add("".join(parts))
     return found, hidden
@@ -147,11 +152,17 @@ def blocks(html: str) -> list[Block]:
         up = stack[-1]
         names, hidden = _names(m[3]) if m[3] else ((), False)
         number += 1
-        good = up[3] + (tag in ("article", "main")) + (1 if names and not names.isdisjoint(GOOD_NAMES) else 0)
-        bad = up[4] + (1 if names and tag not in ("body", "html", "article", "main") and not names.isdisjoint(BAD_NAMES) else 0)
+        # the innermost mark counts: a bad part stays bad whatever it holds, but for the page's main element
+        good, bad = up[3], up[4]
+        if tag == "main" or names and "main" in names and "role" in m[3].lower():
+            good, bad = 1, 0
+        elif names and tag not in ("body", "html", "article") and not names.isdisjoint(BAD_NAMES):
+            good, bad = 0, 1
+        elif not bad and tag not in ("body", "html") and (tag == "article" or names and not names.isdisjoint(GOOD_NAMES)):
+            good = 1
         stack.append((
             tag, number, up[2] or tag in NEVER, good, bad, up[5] or tag in HEADINGS, up[6] or tag in ("li", "dt", "dd"),
-            up[7] or tag == "header", up[8] or hidden or tag in HIDDEN, up[9] or tag == "a",
+            up[7] or tag == "header" or bool(names) and tag not in ("body", "html", *HEADINGS) and not names.isdisjoint(HEADER_NAMES), up[8] or hidden or tag in HIDDEN, up[9] or tag == "a",
         ))
     flush(stack[-1])
     return out
@@ -163,7 +174,7 @@ def cost(b: Block) -> float:
     share = b.linked / max(1, len(b.text))
     z = w["bias"] + w["words"] * min(4.0, (n / 8.0) ** 0.5) + w["link_share"] * share
     z += w["sentence"] * (b.text[-1] in ".!?…:;\"'»”)")
-    z += w["good"] * min(b.good, 2) + w["bad"] * min(b.bad, 2) + w["never"] * b.never
+    z += w["good"] * b.good + w["bad"] * b.bad + w["never"] * b.never
     z += w["heading"] * b.heading + w["list"] * b.listed + w["header"] * (b.header and not (b.heading and b.good))
     if n < 40 and re.search(r"©|\(c\) \d{4}|all rights reserved", b.text, re.I):
         z += w["copyright"] * (not b.good)

@@ -60,6 +60,20 @@ def test_html_main_text():
     assert mincut_html.main_text(table_page) == "Head\nBare text of an old page that goes on for a while.\nAnd a paragraph that ends it properly, too."
 
 
+P = "Thheouble heenwh on reti ingeser erster that, and the ring of onthly thaner was erenea."
+
+
+@pytest.mark.parametrize("html,want", [
+    (f'<body class="single post"><header class="site-header"><h1>My Blog</h1></header><main><article class="post"><header class="entry-header"><h1>The title</h1><div class="entry-meta">Posted by <a>Bob</a></div></header><div class="entry-content"><p>{P}</p><div class="ad-slot">Buy our thing now, it is the best thing today.</div><p>{P}</p></div><footer>Tags</footer></article><section id="comments"><ol><li class="comment"><p>{P}</p></ol></section></main><aside><p>{P}</p></aside></body>', ["The title", P, P]),
+    (f'<div class="top"><a>Home</a> | <a>About</a></div><div class="left"><ul><li><a>One</a></ul></div><div class="story"><h1>Head line</h1><div>{P}</div><div>Short one.</div></div><div class="right"><div class="promo">Buy now! {P}</div></div><div class="bottom">Copyright 2020 by us | <a>Terms</a></div>', ["Head line", P, "Short one."]),
+    (f'<article><h1>T</h1><p>{P}</p><section class="comments"><article class="comment"><p>{P}</p></article></section></article>', ["T", P]),
+    (f'<body class="has-ads no-sidebar"><div class="content-area"><p>{P}</p><div class="notice">Please note that we changed our terms.</div><div role="alert">Alert! read this.</div></div><div class="sidebar"><p>{P}</p></div></body>', [P]),
+    (f'<div role="navigation">a b c</div><div role="main"><p>{P}</p></div><div role="contentinfo">foot text</div>', [P]),
+])
+def test_html_of_common_page_shapes(html, want):
+    assert mincut_html.main_text(html).split("\n") == want
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(3)
     for _ in range(40):
