@@ -247,19 +247,30 @@ def hankel_quality(x: np.ndarray, most: int = 128) -> float:
     return float(1 - math.sqrt(max(total - np.sort(e)[-2:].sum(), 0.0)) / (math.sqrt(total) + EPS))
 
 
+def sliding_sums(v: np.ndarray, width: int) -> np.ndarray:
+    """Sums over every window of `width`: the tail of one block plus the head of the next, so that far large values never
+    cancel against near small ones."""
+    count = -(-len(v) // width) * width
+    blocks = np.concatenate([v, np.zeros(count - len(v))]).reshape(-1, width)
+    head = np.cumsum(blocks, axis=1).ravel()
+    tail = np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    out = tail[: len(v) - width + 1].copy()
+    at = np.arange(len(out))
+    part = at % width != 0
+    out[part] += head[at[part] + width - 1]
+    return out
+
+
 def largest_local_kurtosis(x: np.ndarray, width: int) -> float:
-    """Largest non-excess kurtosis over windows of `width` samples, in blocks of windows that bound memory."""
-    n, best = width, -math.inf
-    for k in range(0, len(x) - width + 1, 2048):
-        c = np.lib.stride_tricks.sliding_window_view(x[k : k + 2047 + width], width)
-        c = c - c.mean(axis=1, keepdims=True)
-        c *= c
-        m2 = c.mean(axis=1)
-        c *= c
-        with np.errstate(divide="ignore", invalid="ignore"):
-            v = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (c.mean(axis=1) / (m2 * m2) - 3) + 6) + 3
-        v = v[~np.isnan(v)]
-        best = max(best, float(v.max())) if len(v) else best
+    """Largest non-excess kurtosis over windows of `width` samples, from sliding sums of powers."""
+    n, square = width, x * x
+    s1, s2, s3, s4 = (sliding_sums(v, width) / n for v in (x, square, square * x, square * square))
+    m2 = s2 - s1 * s1
+    m4 = s4 - 4 * s1 * s3 + 6 * s1 * s1 * s2 - 3 * s1**4
+    flat = m2 <= 1e-12 * s2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v = np.where(flat, -np.inf, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6) + 3)
+    best = float(v.max())
     return best if math.isfinite(best) else 0.0
 
 

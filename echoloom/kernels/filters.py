@@ -176,6 +176,19 @@ def _low_pass_taps(up: int, down: int) -> np.ndarray:
     return up * h / h.sum()
 
 
+@lru_cache(maxsize=16)
+def _gather_plan(n: int, up: int, down: int, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which samples and taps make each output, for windows of one length; None where the table would be large."""
+    h = _low_pass_taps(up, down)
+    n_out, count = -(-n * up // down), -(-len(h) // up)
+    if n_out * count > most:
+        return None
+    at = np.arange(n_out) * down + (len(h) - 1) // 2
+    tap, source = (at % up)[:, None] + np.arange(count) * up, (at // up)[:, None] - np.arange(count)
+    ok = (tap < len(h)) & (source >= 0) & (source < n)
+    return np.where(ok, source, n), np.where(ok, h[np.minimum(tap, len(h) - 1)], 0.0)
+
+
 def resample_poly(x: np.ndarray, up: int, down: int) -> np.ndarray:
     """Rational resampling: each output is the sum over the taps of its phase only."""
     g = math.gcd(up, down)
@@ -183,6 +196,9 @@ def resample_poly(x: np.ndarray, up: int, down: int) -> np.ndarray:
     x = np.asarray(x, float)
     if up == down:
         return x.copy()
+    if x.ndim == 1 and (plan := _gather_plan(len(x), up, down)) is not None:
+        at, taps = plan
+        return np.einsum("ij,ij->i", np.concatenate([x, [0.0]])[at], taps)
     h = _low_pass_taps(up, down)
     centre = (len(h) - 1) // 2
     n_out = -(-x.shape[-1] * up // down)

@@ -155,6 +155,7 @@ def test_resampling_keeps_a_tone():
     y = filters.resample_poly(x, 3, 2)
     assert len(y) == 3000
     assert np.abs(y[300:-300] - np.sin(2 * math.pi * 0.01 * np.arange(3000) * 2 / 3)[300:-300]).max() < 2e-3
+    assert np.allclose(filters.resample_poly(x, 9, 25), filters.resample_poly(np.vstack([x, x]), 9, 25)[1])
     assert filters.resample_to(x, 1000, 1000)[1] == "none"
     assert filters.resample_to(x, 1000, 2000)[1] == "upsample"
     assert filters.resample_to(x, 1000, 500)[1] == "downsample"
@@ -214,3 +215,12 @@ def test_first_definitions_differ_where_they_should():
     assert old["R_h"] == old["R_2_1"] and old["rho_r"] == 1.0
     for k in (*features.FAMILIES["classic"], *features.FAMILIES["time"], "energy_entropy", "MFCC_01"):
         assert old[k] == new[k]
+
+
+def test_local_kurtosis_equals_the_direct_one():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=900) * np.exp(-np.arange(900) / 60)
+    views = np.lib.stride_tricks.sliding_window_view(x, 40)
+    assert np.allclose(features.sliding_sums(x, 40), views.sum(axis=1), rtol=1e-9)
+    assert features.largest_local_kurtosis(x, 40) == pytest.approx(float(features.moments(views)[1].max()), rel=1e-6)
+    assert features.largest_local_kurtosis(np.zeros(100), 10) == 0.0
