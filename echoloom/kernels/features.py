@@ -672,10 +672,11 @@ def first_definitions(a: FirstAnalysis) -> dict[str, float]:
     return out
 
 
-def window_features(x: np.ndarray, rate: float, plan: BandPlan, high: np.ndarray | None = None) -> dict[str, float]:
-    """All features of the plan's families for one band signal."""
+def window_features(x: np.ndarray, rate: float, plan: BandPlan, high: np.ndarray | None = None, ready: dict | None = None) -> dict[str, float]:
+    """All features of the plan's families for one band signal; `ready` holds intermediates that were made for many windows."""
     first = plan.formulas == "first"
     a = (FirstAnalysis if first else Analysis)(x, rate, plan, high)
+    a.__dict__.update(ready or {})
     out: dict[str, float] = {}
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         for family in plan.families:
@@ -704,16 +705,41 @@ def record_features(signal: np.ndarray, rate: float, plans: dict[str, BandPlan])
     return out
 
 
+#: Windows whose spectra and ridges are made together.
+TOGETHER = 16
+
+
+def shared_intermediates(xs: np.ndarray, rate: float, plan: BandPlan) -> list[dict]:
+    """Spectra, power and ridges of many windows (rows) of one band, as far as the plan's families need them."""
+    f, t, spectrum = spectra.stft(xs, rate, plan.window_ms, plan.overlap, plan.nfft)
+    power = np.abs(spectrum) ** 2
+    out = [{"tf": (f, t, spectrum[i]), "power": power[i]} for i in range(len(xs))]
+    if plan.formulas == "current":
+        needed = set(plan.families)
+        for name, search, users in (("f1", plan.ridge_main, {"ridge", "harmonic", "residual", "damped"}), ("f2", plan.ridge_second, {"harmonic", "residual", "damped"})):
+            if needed & users:
+                for d, r in zip(out, spectra.ridge(f, power, search, plan.jump_hz), strict=True):
+                    d[name] = r
+    return out
+
+
 def recording_windows(signal: np.ndarray, rate: float, plans: dict[str, BandPlan], windows: list[tuple[int, int]]):
-    """Features of windows of a long recording: bands are filtered once over all of it, each window is scaled by its MAD."""
+    """Features of equally long windows of a long recording: bands are filtered once over all of it, each window is scaled
+    by its MAD."""
     x = np.asarray(signal, float)
     x = x - x.mean()
     bands = {n: filters.band_filter(x, rate, p.main) for n, p in plans.items()}
     highs = {n: filters.band_filter(x, rate, p.high) for n, p in plans.items()}
-    for i0, i1 in windows:
-        w = x[i0:i1]
-        scale = 1.4826 * np.median(np.abs(w - np.median(w))) + EPS if next(iter(plans.values())).normalize else 1.0
-        row: dict[str, float] = {}
+    normalize = next(iter(plans.values())).normalize
+    for k in range(0, len(windows), TOGETHER):
+        some = windows[k : k + TOGETHER]
+        raw = np.stack([x[a:b] for a, b in some])
+        scale = 1.4826 * np.median(np.abs(raw - np.median(raw, axis=1, keepdims=True)), axis=1) + EPS if normalize else np.ones(len(some))
+        rows: list[dict[str, float]] = [{} for _ in some]
         for n, p in plans.items():
-            row |= {f"{n}__{k}": v for k, v in window_features(bands[n][i0:i1] / scale, rate, p, highs[n][i0:i1] / scale).items()}
-        yield row
+            xs = np.stack([bands[n][a:b] for a, b in some]) / scale[:, None]
+            spectral = set(p.families) - {"classic", "time"}
+            for i, ready in enumerate(shared_intermediates(xs, rate, p) if spectral else [{}] * len(some)):
+                a, b = some[i]
+                rows[i] |= {f"{n}__{c}": v for c, v in window_features(xs[i], rate, p, highs[n][a:b] / scale[i], ready).items()}
+        yield from rows

@@ -165,33 +165,37 @@ def ridge(freqs: np.ndarray, power: np.ndarray, search: tuple[float, float], jum
     """Best path through log power with a linear cost of frequency jumps; zeros where no bin lies in the range.
 
     The best predecessor of every bin comes from one running maximum up and one down the axis, so a frame costs its
-    number of bins, not its square.
+    number of bins, not its square. power is (frequency, frame) or, for many windows at once, (window, frequency, frame).
     """
+    if power.ndim == 2:
+        return ridge(freqs, power[None], search, jump_hz, prior)[0]
     rows = np.flatnonzero((freqs >= search[0]) & (freqs <= search[1]))
-    frames = power.shape[1]
+    count, _, frames = power.shape
     if not len(rows) or not frames:
-        return np.zeros(frames)
+        return np.zeros((count, frames))
     f, unit = freqs[rows], max(jump_hz, 1.0)
-    gain = np.log(power[rows] + 1e-12)
+    gain = np.log(power[:, rows] + 1e-12)
     if prior is not None:
         gain = gain - np.abs(f[:, None] - prior[None, :]) / unit
-    slope, index = f / unit, np.arange(len(f))
-    best, came = gain[:, 0].copy(), np.zeros((len(f), frames), int)
+    gain = np.ascontiguousarray(np.moveaxis(gain, 2, 0))
+    slope, index, last = f / unit, np.arange(len(f)), len(f) - 1
+    best, came = gain[0].copy(), np.zeros((frames, count, len(f)), np.int32)
+    fresh = np.ones((count, len(f)), bool)
     for t in range(1, frames):
         up = best + slope
-        reach_up = np.maximum.accumulate(up)
-        from_up = np.maximum.accumulate(np.where(np.concatenate([[True], up[1:] > reach_up[:-1]]), index, 0))
-        down = (best - slope)[::-1]
-        reach_down = np.maximum.accumulate(down)
-        fresh = np.concatenate([[True], down[1:] >= reach_down[:-1]])
-        from_down = (len(f) - 1 - np.maximum.accumulate(np.where(fresh, index, 0)))[::-1]
-        a, b = reach_up - slope, reach_down[::-1] + slope
-        came[:, t] = np.where(a >= b, from_up, from_down)
-        best = gain[:, t] + np.maximum(a, b)
-    path = np.empty(frames, int)
-    path[-1] = int(np.argmax(best))
+        reach = np.maximum.accumulate(up, axis=1)
+        np.greater(up[:, 1:], reach[:, :-1], out=fresh[:, 1:])
+        below, a = np.maximum.accumulate(np.where(fresh, index, 0), axis=1), reach - slope
+        down = (best - slope)[:, ::-1]
+        reach = np.maximum.accumulate(down, axis=1)
+        np.greater_equal(down[:, 1:], reach[:, :-1], out=fresh[:, 1:])
+        above, b = last - np.maximum.accumulate(np.where(fresh, index, 0), axis=1)[:, ::-1], reach[:, ::-1] + slope
+        np.copyto(came[t], np.where(a >= b, below, above))
+        best = gain[t] + np.maximum(a, b)
+    path, each = np.empty((count, frames), int), np.arange(count)
+    path[:, -1] = best.argmax(axis=1)
     for t in range(frames - 1, 0, -1):
-        path[t - 1] = came[path[t], t]
+        path[:, t - 1] = came[t, each, path[:, t]]
     return f[path]
 
 

@@ -148,6 +148,9 @@ def test_ridge_equals_the_full_search():
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     assert np.array_equal(spectra.ridge(f, p, (0, 4000), 300.0), f[path[::-1]])
+    many = rng.random((5, 40, 30))
+    together = spectra.ridge(f, many, (500, 3000), 300.0)
+    assert all(np.array_equal(together[i], spectra.ridge(f, many[i], (500, 3000), 300.0)) for i in range(5))
 
 
 def test_resampling_keeps_a_tone():
@@ -197,7 +200,7 @@ def test_window_geometry():
 
 def test_recording_windows_skip_nothing_and_batch_alike():
     x = np.tile(two_tone(), 3)
-    plans = features.plan_bands({"wide": (100, 60_000)}, RATE, {"wide": ("classic", "spectral")})
+    plans = features.plan_bands({"wide": (100, 60_000)}, RATE, {"wide": tuple(features.FAMILIES)})
     windows = [(g[1], g[2]) for g in window_ranges(len(x), RATE, 0.02, 0.5)]
     rows = list(features.recording_windows(x, RATE, plans, windows))
     alone = list(features.recording_windows(x, RATE, plans, windows[2:3]))
