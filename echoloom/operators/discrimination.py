@@ -9,29 +9,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import EPS
+from .ordered import median_from, order_statistic, running
 
 
-def rank_auc(long: DataFrame, by: list[str], side: str = "side", value: str = "value") -> DataFrame:
-    """by, n_pos, n_neg, auc, cliff_delta: average ranks with ties, folded per distinct value before ranking.
+def folded(long: DataFrame, by: list[str], side: str = "side", value: str = "value") -> DataFrame:
+    """by, value, p, q: rows of either side per distinct value. A heavy tie is one row from here on."""
+    is_one = (F.col(side) == 1).cast("long")
+    return long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(is_one).alias("p"), F.sum(1 - is_one).alias("q"))
 
-    Counting by value first (a partial aggregation) leaves a row per distinct value, so a heavy tie is one row.
-    """
-    v = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(side) == 1).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*by).orderBy(value)
-    before = F.sum("_n").over(w) - F.col("_n")
-    t = v.withColumn("_rank", before + (F.col("_n") + 1) / 2)
-    s = t.groupBy(*by).agg(F.sum(F.col("_p") * F.col("_rank")).alias("_r"), F.sum("_p").alias("n_pos"), (F.sum("_n") - F.sum("_p")).alias("n_neg"), F.count(F.lit(1)).alias("_d"))
+
+def rank_auc(long: DataFrame, by: list[str], side: str = "side", value: str = "value") -> DataFrame:
+    """by, n_pos, n_neg, auc, cliff_delta from average ranks with ties."""
+    v = running(folded(long, by, side, value), by, value, ["p", "q"])
+    n = F.col("p") + F.col("q")
+    rank = F.col("before_p") + F.col("before_q") + (n + 1) / 2
+    s = v.groupBy(*by).agg(F.sum(F.col("p") * rank).alias("_r"), F.first("all_p").alias("n_pos"), F.first("all_q").alias("n_neg"), F.first("distinct").alias("_d"))
     auc = (F.col("_r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
     return s.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("_d") > 1), auc).alias("auc")).withColumn("cliff_delta", 2 * F.col("auc") - 1)
 
 
+def _apart(p: str, q: str) -> Column:
+    """Distance of both distribution functions from a value to the next."""
+    return F.abs(F.try_divide(F.col(f"before_{p}") + F.col(p), F.col(f"all_{p}")) - F.try_divide(F.col(f"before_{q}") + F.col(q), F.col(f"all_{q}")))
+
+
 def wasserstein(long: DataFrame, by: list[str], side: str = "side", value: str = "value") -> DataFrame:
     """Integral of the distance of the two empirical distribution functions."""
-    v = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum((F.col(side) == 1).cast("long")).alias("_p"), F.sum((F.col(side) == 0).cast("long")).alias("_q"))
-    w, all_ = W.partitionBy(*by).orderBy(value), W.partitionBy(*by)
-    gap = F.lead(value).over(w) - F.col(value)
-    apart = F.abs(F.sum("_p").over(w) / F.sum("_p").over(all_) - F.sum("_q").over(w) / F.sum("_q").over(all_))
-    return v.withColumn("_a", gap * apart).groupBy(*by).agg(F.coalesce(F.sum("_a"), F.lit(0.0)).alias("wasserstein"))
+    v = running(folded(long, by, side, value), by, value, ["p", "q"])
+    return v.groupBy(*by).agg(F.coalesce(F.sum((F.col("next_value") - F.col(value)) * _apart("p", "q")), F.lit(0.0)).alias("wasserstein"))
 
 
 def domain_stability(long: DataFrame, by: list[str], domain: str, value: str = "value") -> DataFrame:
@@ -48,9 +53,8 @@ def domain_stability(long: DataFrame, by: list[str], domain: str, value: str = "
     d = F.col(domain)
     t = counts.withColumn("_pair", F.explode(F.filter(pairs, lambda x: (x["a"] == d) | (x["b"] == d))))
     v = t.groupBy(*by, "_pair", value).agg(F.sum(F.when(d == F.col("_pair.a"), F.col("_c")).otherwise(0)).alias("_p"), F.sum(F.when(d == F.col("_pair.b"), F.col("_c")).otherwise(0)).alias("_q"))
-    w, all_ = W.partitionBy(*by, "_pair").orderBy(value), W.partitionBy(*by, "_pair")
-    apart = F.abs(F.sum("_p").over(w) / F.sum("_p").over(all_) - F.sum("_q").over(w) / F.sum("_q").over(all_))
-    dist = v.withColumn("_a", (F.lead(value).over(w) - F.col(value)) * apart).groupBy(*by, "_pair").agg(F.sum("_a").alias("_w"))
+    r = running(v.withColumnsRenamed({"_p": "p", "_q": "q"}), [*by, "_pair"], value, ["p", "q"])
+    dist = r.groupBy(*by, "_pair").agg(F.sum((F.col("next_value") - F.col(value)) * _apart("p", "q")).alias("_w"))
     mean = dist.groupBy(*by).agg(F.avg("_w").alias("_w"))
     return mean.join(pooled, by).select(*by, (1 / (1 + F.col("_w") / (F.col("_sd") + EPS))).alias("stability"))
 
@@ -79,22 +83,45 @@ def anova_f(long: DataFrame, by: list[str], group: str, value: str = "value") ->
     return s.select(*by, ((F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_n") - F.col("_k")))).alias("anova_f"))
 
 
-def discrimination_table(long: DataFrame, label: str, comparisons: dict[str, tuple[list, list]], value: str = "value") -> DataFrame:
+def discrimination_table(long: DataFrame, label: str, comparisons: dict[str, tuple[list, list]], value: str = "value", most: int = 16) -> DataFrame:
     """Every comparison (name -> positive labels, negative labels) by every feature in one scan.
 
-    A label's rows go to the comparisons that name it; the list of comparisons is a literal of the plan.
+    A label's rows go to the comparisons that name it; the list of comparisons is a literal of the plan. Rows are folded to
+    counts per distinct value, running sums of both sides give ranks, distribution functions and medians, and two
+    aggregations, by bin and then by feature, all measures. No window or sketch holds a whole feature.
     """
     listed = F.array(*[F.struct(F.lit(n).alias("comparison"), F.array(*map(F.lit, p)).alias("p"), F.array(*map(F.lit, q)).alias("q")) for n, (p, q) in comparisons.items()])
-    l = F.col(label)
-    # counted per value before it fans out to comparisons
-    t = long.where(F.col(value).isNotNull()).select("feature", label, value)
+    l, x = F.col(label), F.col(value)
+    t = long.where(x.isNotNull()).select("feature", label, value)
     t = t.withColumn("_c", F.explode(F.filter(listed, lambda c: F.array_contains(c["p"], l) | F.array_contains(c["q"], l))))
-    t = t.select("feature", F.col("_c.comparison").alias("comparison"), F.array_contains(F.col("_c.p"), l).cast("int").alias("side"), value)
+    positive = F.array_contains(F.col("_c.p"), l).cast("long")
     by = ["comparison", "feature"]
-    stats = t.groupBy(*by).agg(*[f(F.when(F.col("side") == s, F.col(value))).alias(f"{n}_{k}") for s, k in ((1, "pos"), (0, "neg")) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("median", lambda c: F.percentile(c, F.lit(0.5))))])
-    out = stats.join(rank_auc(t, by), by).join(wasserstein(t, by), by).join(binned_mutual_information(t, by), by)
-    lift = F.abs(F.col("auc") - 0.5)
-    return out.withColumn("score", 0.55 * 2 * lift + 0.30 * F.abs("cliff_delta") + 0.15 * F.col("mi") / (1 + F.col("mi")))
+    v = t.groupBy(F.col("_c.comparison").alias("comparison"), "feature", value).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
+    v = running(v, by, value, ["p", "q"], {"_mp": F.try_divide(F.sum(F.col("p") * x), F.sum("p")), "_mq": F.try_divide(F.sum(F.col("q") * x), F.sum("q"))})
+    total = F.col("all_p") + F.col("all_q")
+    bins = F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.sqrt(total)))).cast("int")
+    v = v.withColumn("_b", F.when(F.col("high") > F.col("low"), F.least(F.floor((x - F.col("low")) / (F.col("high") - F.col("low")) * bins), bins - 1)).otherwise(0))
+    rank = F.col("before_p") + F.col("before_q") + (F.col("p") + F.col("q") + 1) / 2
+    kept = ["all_p", "all_q", "distinct", "_mp", "_mq"]
+    middles = {f"_{s}{e}": order_statistic(value, s, f((F.col(f"all_{s}") - 1) / 2)) for s in ("p", "q") for e, f in (("lo", F.floor), ("hi", F.ceil))}
+    binned = v.groupBy(*by, "_b").agg(
+        F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * rank).alias("_r"), F.sum((F.col("next_value") - x) * _apart("p", "q")).alias("_w"),
+        F.sum(F.col("p") * (x - F.col("_mp")) * (x - F.col("_mp"))).alias("_vp"), F.sum(F.col("q") * (x - F.col("_mq")) * (x - F.col("_mq"))).alias("_vq"), *[e.alias(n) for n, e in middles.items()], *[F.first(c).alias(c) for c in kept],
+    )
+    inside = F.col("p") + F.col("q")
+
+    def part(c: str) -> Column:
+        return F.when(F.col(c) > 0, F.col(c) / total * F.log(F.col(c) * total / (inside * F.col(f"all_{c}")))).otherwise(F.lit(0.0))
+
+    s = binned.groupBy(*by).agg(
+        F.sum("_r").alias("_r"), F.coalesce(F.sum("_w"), F.lit(0.0)).alias("wasserstein"), F.sum("_vp").alias("_vp"), F.sum("_vq").alias("_vq"), F.sum(part("p") + part("q")).alias("mi"), *[F.max(n).alias(n) for n in middles], *[F.first(c).alias(c) for c in kept],
+    )
+    auc = (F.col("_r") - F.col("all_p") * (F.col("all_p") + 1) / 2) / (F.col("all_p") * F.col("all_q"))
+    out = s.select(
+        *by, F.col("all_p").alias("n_pos"), F.col("all_q").alias("n_neg"), F.col("_mp").alias("mean_pos"), F.col("_mq").alias("mean_neg"), F.sqrt(F.try_divide("_vp", "all_p")).alias("std_pos"), F.sqrt(F.try_divide("_vq", "all_q")).alias("std_neg"),
+        median_from("_plo", "_phi").alias("median_pos"), median_from("_qlo", "_qhi").alias("median_neg"), F.when((F.col("all_p") > 0) & (F.col("all_q") > 0) & (F.col("distinct") > 1), auc).alias("auc"), "wasserstein", "mi",
+    ).withColumn("cliff_delta", 2 * F.col("auc") - 1)
+    return out.withColumn("score", 0.55 * 2 * F.abs(F.col("auc") - 0.5) + 0.30 * F.abs("cliff_delta") + 0.15 * F.col("mi") / (1 + F.col("mi")))
 
 
 def coverage(real: DataFrame, other: DataFrame, by: list[str], value: str = "value", low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -199,10 +226,10 @@ def cross_flow(long: DataFrame, label: str, pairs: dict[str, tuple[str, str]], v
     the shift of the medians. pairs: condition -> (positive label, negative label), two of them."""
     table = discrimination_table(long, label, {k: ([p], [q]) for k, (p, q) in pairs.items()}, value)
     a, b = pairs
-    left = table.where(F.col("comparison") == a).select("feature", F.col("auc").alias("auc_a"), F.col("median_pos").alias("_ma"), F.col("std_pos").alias("_sa"))
-    right = table.where(F.col("comparison") == b).select("feature", F.col("auc").alias("auc_b"), F.col("median_pos").alias("_mb"), F.col("std_pos").alias("_sb"))
-    j = left.join(right, "feature")
+    # both conditions of a feature meet in one aggregation, not in a join of the table with itself
+    picked = {f"{n}_{k}": F.max(F.when(F.col("comparison") == c, F.col(f))) for k, c in (("a", a), ("b", b)) for n, f in (("auc", "auc"), ("_m", "median_pos"), ("_s", "std_pos"))}
+    j = table.groupBy("feature").agg(*[e.alias(n) for n, e in picked.items()]).where(F.col("auc_a").isNotNull() & F.col("auc_b").isNotNull())
     same = (F.col("auc_a") - 0.5) * (F.col("auc_b") - 0.5) > 0
-    shift = F.abs(F.col("_ma") - F.col("_mb")) / ((F.col("_sa") + F.col("_sb")) / 2 + EPS)
+    shift = F.abs(F.col("_m_a") - F.col("_m_b")) / ((F.col("_s_a") + F.col("_s_b")) / 2 + EPS)
     lift = F.least(F.abs(F.col("auc_a") - 0.5), F.abs(F.col("auc_b") - 0.5))
     return j.select("feature", "auc_a", "auc_b", same.alias("same_direction"), shift.alias("shift"), (F.when(same, 2 * lift).otherwise(0.0) / (1 + shift)).alias("score"))

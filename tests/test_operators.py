@@ -256,3 +256,22 @@ def test_reports_and_records(spark, tmp_path):
     two = spark.createDataFrame([("e", "0_30", 0.0, 30.0)] * 2, "event string, window_mode string, window_start_ms double, window_end_ms double")
     with pytest.raises(Exception, match="two canonical"):
         WN.canonical_windows(two, "event").collect()
+
+
+def test_running_sums_over_pieces(spark):
+    from echoloom.operators.ordered import order_statistic, running
+
+    rng = np.random.default_rng(9)
+    rows = [(g, float(v), int(rng.integers(0, 4))) for g in "ab" for v in sorted(rng.permutation(500)[:200])] + [("c", 1.0, 2)]
+    t = spark.createDataFrame(rows, "g string, v double, p long")
+    for pieces in (1, 3, 16):
+        got = running(t, ["g"], "v", ["p"], pieces=pieces).orderBy("g", "v").collect()
+        for g in "abc":
+            mine = sorted((v, p) for k, v, p in rows if k == g)
+            before = np.concatenate([[0], np.cumsum([p for _, p in mine])[:-1]]).tolist()
+            assert [r["before_p"] for r in got if r["g"] == g] == before
+            assert [r["next_value"] for r in got if r["g"] == g] == [v for v, _ in mine[1:]] + [None]
+            assert {r["all_p"] for r in got if r["g"] == g} == {sum(p for _, p in mine)}
+    whole = np.repeat([v for k, v, _ in rows if k == "a"], [p for k, _, p in rows if k == "a"])
+    r = running(t.where("g = 'a'").drop("g"), [], "v", ["p"]).agg(order_statistic("v", "p", F.lit(len(whole) // 3)).alias("k")).first()
+    assert r["k"] == np.sort(whole)[len(whole) // 3]
