@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Pieces of a group. Their number bounds a task's share of a group; raise it with the data.
 PIECES = 16
 
@@ -19,10 +21,10 @@ def running(v: DataFrame, by: list[str], value: str, sums: list[str], totals: di
     """v, one row per distinct value of each group, with before_<c> and all_<c> for each of `sums`, next_value (NULL at the
     end), low, high and distinct of the group, and further group aggregates `totals`.
 
-    The three readers of v share its one shuffle.
+    v is read three times, so it is written to the shared folder once; what made it runs once.
     """
     keys = by or ["_one"]
-    base = v if by else v.withColumn("_one", F.lit(0))
+    base = materialize(v if by else v.withColumn("_one", F.lit(0)), "ordered-values")
     cuts = F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 1000) if pieces > 1 else F.array().cast("array<double>")
     group = base.groupBy(*keys).agg(cuts.alias("_cuts"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("distinct"), *[F.sum(c).alias(f"all_{c}") for c in sums], *[e.alias(n) for n, e in (totals or {}).items()])
     x = F.col(value)
