@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 GROUP_DOCS = 1500
 SEED = 77
+#: Text that becomes Python strings and words at once.
+SLICE_BYTES = 1_000_000
 
 
 class TournamentTree:
@@ -84,20 +87,19 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 def encode_batches(parts: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches with a column text -> the same columns with ids (little-endian unsigned 16-bit, end id last) instead.
 
-    Slices of some MB of text bound what is held at once.
+    Slices of SLICE_BYTES of text bound what is held at once as Python strings.
     """
     end = np.array([end_id], dtype="<u2").tobytes()
     encode = table(tokenizer).encode
     for p in parts:
         keep = [c for c in p.schema.names if c != "text"]
-        texts = p.column("text").to_pylist()
+        column = p.column("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
         at = 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and size < 4_000_000:
-                size += len(texts[to] or "")
-                to += 1
-            ids = [x + end for x in encode([t or "" for t in texts[at:to]])]
+        while at < len(column):
+            limit = (ends[at - 1] if at else 0) + SLICE_BYTES
+            to = max(at + 1, int(np.searchsorted(ends, limit, "right")))
+            ids = [x + end for x in encode([t or "" for t in column[at:to].to_pylist()])]
             yield pa.RecordBatch.from_arrays([*(p.column(c)[at:to] for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])
             at = to
 

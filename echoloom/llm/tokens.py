@@ -23,7 +23,7 @@ _WORDS = {
     "word_bpe_49k.json": (re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+"), True),
 }
 #: Words kept by a worker; the table starts anew when full.
-MAX_WORDS = 500_000
+MAX_WORDS = 400_000
 
 
 def path(name: str) -> str:
