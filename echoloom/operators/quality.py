@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import clean
+from ..session import materialize
+from .ordered import order_statistic, running
 
 #: Columns that are never features.
 META_COLUMNS = frozenset(
@@ -32,16 +34,35 @@ def infer_features(df: DataFrame, meta: frozenset[str] = META_COLUMNS, least: in
     return [c for c in numeric if row[c]["n"] >= least and row[c]["lo"] != row[c]["hi"]]
 
 
+def quantiles_from(shares: tuple[float, ...], weight: str = "n", value: str = "value") -> dict:
+    """For running() rows: each share's two neighbouring order statistics as aggregates, q<k>_lo and q<k>_hi."""
+    last = F.col(f"all_{weight}") - 1
+    return {f"q{k}_{e}": order_statistic(value, weight, f(last * F.lit(s))) for k, s in enumerate(shares) for e, f in (("lo", F.floor), ("hi", F.ceil))}
+
+
 def feature_quality(long: DataFrame) -> DataFrame:
     """Missing rate, distinct values, mean, population deviation, median, quartile range, range and the rate beyond
-    three quartile ranges. Quartiles first, then one join of a row per feature."""
-    base = long.groupBy("feature").agg(
-        F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"), F.countDistinct("value").alias("n_unique"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.min("value").alias("min"), F.max("value").alias("max"),
-    ).select("feature", "missing_rate", "n_unique", "mean", "std", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("_q1"), F.col("_q")[2].alias("_q3"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"), "min", "max")
-    far = (F.col("value") < F.col("_q1") - 3 * F.col("iqr")) | (F.col("value") > F.col("_q3") + 3 * F.col("iqr"))
-    rates = long.where(F.col("value").isNotNull()).join(base.select("feature", "_q1", "_q3", "iqr"), "feature").groupBy("feature").agg(F.avg(far.cast("double")).alias("outlier_rate"))
-    return base.join(rates, "feature", "left").drop("_q1", "_q3")
+    three quartile ranges.
+
+    Values are folded to counts; quartiles are order statistics of running sums, exact and interpolated, so no task holds
+    a feature's values. The outlier rate reads the folded values once more, joined to a row per feature.
+    """
+    shares = (0.25, 0.5, 0.75)
+    missing = long.groupBy("feature").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
+    v = materialize(long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), "quality-values")
+    x = F.col("value")
+    r = running(v, ["feature"], "value", ["n"], {"_mean": F.sum(F.col("n") * x) / F.sum("n")})
+    s = r.groupBy("feature").agg(
+        F.first("distinct").alias("n_unique"), F.first("_mean").alias("mean"), F.sqrt(F.sum(F.col("n") * (x - F.col("_mean")) * (x - F.col("_mean"))) / F.first("all_n")).alias("std"),
+        F.first("low").alias("min"), F.first("high").alias("max"), F.first("all_n").alias("_n"), *[e.alias(c) for c, e in quantiles_from(shares).items()],
+    )
+    for k, share in enumerate(shares):
+        h = (F.col("_n") - 1) * F.lit(share)
+        s = s.withColumn(f"_q{k}", F.col(f"q{k}_lo") + (F.col(f"q{k}_hi") - F.col(f"q{k}_lo")) * (h - F.floor(h)))
+    s = materialize(s.select("feature", "n_unique", "mean", "std", F.col("_q1").alias("median"), "_q0", "_q2", (F.col("_q2") - F.col("_q0")).alias("iqr"), "min", "max", "_n"), "quality-features")
+    far = (x < F.col("_q0") - 3 * F.col("iqr")) | (x > F.col("_q2") + 3 * F.col("iqr"))
+    rates = v.join(s.select("feature", "_q0", "_q2", "iqr"), "feature").groupBy("feature").agg((F.sum(F.when(far, F.col("n")).otherwise(0)) / F.sum("n")).alias("outlier_rate"))
+    return missing.join(s, "feature", "left").join(rates, "feature", "left").drop("_q0", "_q2", "_n").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
 
 def validate_features(long_raw: DataFrame) -> DataFrame:

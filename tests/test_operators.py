@@ -275,3 +275,11 @@ def test_running_sums_over_pieces(spark):
     whole = np.repeat([v for k, v, _ in rows if k == "a"], [p for k, _, p in rows if k == "a"])
     r = running(t.where("g = 'a'").drop("g"), [], "v", ["p"]).agg(order_statistic("v", "p", F.lit(len(whole) // 3)).alias("k")).first()
     assert r["k"] == np.sort(whole)[len(whole) // 3]
+
+
+def test_quality_of_empty_and_constant_features(spark):
+    t = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None), ("c", 2.0), ("c", 2.0), ("c", 2.0), ("c", 50.0)], "feature string, value double")
+    q = {r["feature"]: r for r in Q.feature_quality(t).collect()}
+    assert q["a"]["missing_rate"] == 0.5 and q["a"]["median"] == 1.0 and q["a"]["iqr"] == 0.0
+    assert q["b"]["missing_rate"] == 1.0 and q["b"]["n_unique"] == 0 and q["b"]["mean"] is None
+    assert q["c"]["n_unique"] == 2 and q["c"]["iqr"] == pytest.approx(12.0) and q["c"]["outlier_rate"] == 0.0
