@@ -207,18 +207,43 @@ def kde_overlap(x, y, grid: int = 256) -> float:
     return float(((m[1:] + m[:-1]) / 2 * np.diff(g)).sum())
 
 
-def kde_overlap_table(long: DataFrame, by: list[str], side: str = "side", value: str = "value", most: int = 3000) -> DataFrame:
-    """kde_overlap per group of at most `most` values a side, the first by md5 order (a sampling operator)."""
-    w = W.partitionBy(*by, side).orderBy(F.md5(F.concat_ws("|", F.col(value).cast("string"), F.lit("7"))), value)
-    t = long.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
-
-    def run(f):
+def kde_overlap_table(long: DataFrame, by: list[str], side: str = "side", value: str = "value", grid: int = 256) -> DataFrame:
+    """kde_overlap per group over all of its rows: rows are folded to counts per distinct value, each batch of values gives
+    its share of both densities on the grid, and the shares are summed. No task holds a whole group."""
+    x, n = F.col(value), F.col("p") + F.col("q")
+    v = folded(long, by, side, value).withColumns({value: x.cast("double"), "n": n})
+    v = running(v, by, value, ["p", "q", "n"], {f"_m{c}": F.try_divide(F.sum(F.col(c) * x), F.sum(c)) for c in "pq"})
+    ends = {"lo": 0.005 * (F.col("all_n") - 1), "hi": 0.995 * (F.col("all_n") - 1)}
+    near = {f"_{e}{k}": order_statistic(value, "n", f(h)) for e, h in ends.items() for k, f in (("a", F.floor), ("b", F.ceil))}
+    spread = {f"_v{c}": F.sum(F.col(c) * (x - F.col(f"_m{c}")) * (x - F.col(f"_m{c}"))) for c in "pq"}
+    g = v.groupBy(*by).agg(*[F.first(f"all_{c}").alias(f"all_{c}") for c in "pqn"], *[e.alias(k) for k, e in {**near, **spread}.items()])
+    g = g.withColumns({f"_{e}": F.col(f"_{e}a") + (h - F.floor(h)) * (F.col(f"_{e}b") - F.col(f"_{e}a")) for e, h in ends.items()})
+    g = g.withColumns({f"_h{c}": F.when(F.col(f"all_{c}") > 1, F.sqrt(F.try_divide(F.col(f"_v{c}"), F.col(f"all_{c}") - 1)) * F.pow(f"all_{c}", F.lit(-0.2))) for c in "pq"})
+    g = g.withColumn("_any", (F.col("_hp") > 0) & (F.col("_hq") > 0) & (F.col("_hi") > F.col("_lo"))).select(*by, "all_p", "all_q", "_lo", "_hi", "_hp", "_hq", "_any")
+    t = v.select(*by, value, "p", "q").join(F.broadcast(g.where("_any")).drop("_any"), by)
+
+    def shares(frames):
+        import numpy as np
         import pandas as pd
 
-        return pd.DataFrame([{**{c: f[c].iloc[0] for c in by}, "overlap": kde_overlap(f.loc[f[side] == 1, value], f.loc[f[side] == 0, value])}])
+        for f in frames:
+            for _, one in f.groupby(by, dropna=False, sort=False):
+                r = one.iloc[0]
+                points, out = np.linspace(r["_lo"], r["_hi"], grid), {}
+                for c in "pq":
+                    h, held = r[f"_h{c}"], one[one[c] > 0]
+                    out[c] = np.zeros(grid)
+                    for k in range(0, len(held), 2048):
+                        z, w = held[value].to_numpy(float)[k : k + 2048], held[c].to_numpy(float)[k : k + 2048]
+                        out[c] += np.exp(-0.5 * ((points[:, None] - z[None, :]) / h) ** 2) @ w
+                    out[c] /= r[f"all_{c}"] * h * math.sqrt(2 * math.pi)
+                yield pd.DataFrame({**{c: [r[c]] * grid for c in by}, "_at": np.arange(grid), **{f"_d{c}": out[c] for c in "pq"}})
 
     kinds = dict(long.dtypes)
-    return t.select(*by, side, value).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", overlap double")
+    keys = ", ".join(f"{c} {kinds[c]}" for c in by)
+    at = t.select(*by, value, "p", "q", "all_p", "all_q", "_lo", "_hi", "_hp", "_hq").mapInPandas(shares, f"{keys}, _at int, _dp double, _dq double").groupBy(*by, "_at").agg(F.sum("_dp").alias("_dp"), F.sum("_dq").alias("_dq"))
+    area = at.groupBy(*by).agg(F.sum(F.least("_dp", "_dq") * F.when(F.col("_at").isin(0, grid - 1), 0.5).otherwise(1.0)).alias("_area"))
+    return g.join(area, by, "left").select(*by, F.coalesce(F.col("_area") * (F.col("_hi") - F.col("_lo")) / (grid - 1), F.lit(float("nan"))).alias("overlap"))
 
 
 def cross_flow(long: DataFrame, label: str, pairs: dict[str, tuple[str, str]], value: str = "value") -> DataFrame:

@@ -283,3 +283,23 @@ def test_quality_of_empty_and_constant_features(spark):
     assert q["a"]["missing_rate"] == 0.5 and q["a"]["median"] == 1.0 and q["a"]["iqr"] == 0.0
     assert q["b"]["missing_rate"] == 1.0 and q["b"]["n_unique"] == 0 and q["b"]["mean"] is None
     assert q["c"]["n_unique"] == 2 and q["c"]["iqr"] == pytest.approx(12.0) and q["c"]["outlier_rate"] == 0.0
+
+
+def test_density_overlap_counts_every_row(spark):
+    from echoloom.operators import discrimination as DI
+
+    rng = np.random.default_rng(5)
+    long = pd.DataFrame({"feature": ["tied"] * 16_000 + ["fine"] * 8_000 + ["flat"] * 10, "side": np.r_[np.arange(16_000) % 2, np.arange(8_000) % 2, np.arange(10) % 2]})
+    long["value"] = np.r_[rng.integers(0, 11, 16_000) / 100 + 0.02 * (np.arange(16_000) % 2), rng.normal(size=8_000) + np.arange(8_000) % 2, np.ones(10)]
+    got = {r["feature"]: r["overlap"] for r in DI.kde_overlap_table(spark.createDataFrame(long), ["feature"]).collect()}
+    for f in ("tied", "fine"):
+        one = long[long["feature"] == f]
+        assert got[f] == pytest.approx(DI.kde_overlap(one.loc[one["side"] == 1, "value"], one.loc[one["side"] == 0, "value"]), abs=1e-9)
+    assert math.isnan(got["flat"])
+
+
+def test_density_overlap_of_tied_features(spark):
+    from echoloom.plans import stats
+
+    got = {r["feature"]: r["overlap"] for r in stats.kde_overlap(spark, "/root/testdata/sf0.1").collect()}
+    assert len(got) == 4 and all(0.5 < v <= 1.001 for v in got.values())
