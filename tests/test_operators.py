@@ -303,3 +303,28 @@ def test_density_overlap_of_tied_features(spark):
 
     got = {r["feature"]: r["overlap"] for r in stats.kde_overlap(spark, "/root/testdata/sf0.1").collect()}
     assert len(got) == 4 and all(0.5 < v <= 1.001 for v in got.values())
+
+
+def test_bootstrap_and_neighbours_use_every_row(spark):
+    from echoloom.operators import stability as ST2
+
+    rng = np.random.default_rng(11)
+    n = 60_000
+    long = pd.DataFrame({"feature": "f", "side": np.arange(n) % 2, "value": rng.integers(0, 11, n) / 100 + 0.03 * (np.arange(n) % 2)})
+    t, x = spark.createDataFrame(long), np.sort(long["value"].to_numpy())
+    got = ST2.bootstrap_errors(t, ["feature"], [20, 50], 40).toPandas().sort_values(["size", "statistic"])
+    draws = x[np.random.default_rng(42).integers(0, n, 40 * 70)]
+    want = []
+    for size, part in ((20, draws[:800].reshape(40, 20)), (50, draws[800:].reshape(40, 50))):
+        s = ST2._statistics(part)
+        want += [(size, k, v) for k, v in zip(ST2.STATISTICS, s.std(0) / (np.abs(s.mean(0)) + 1e-12), strict=True)]
+    assert np.allclose(got["rse"], [v for *_, v in sorted(want)])
+    draws = x[np.random.default_rng(42).integers(0, n, 2 * 40 * 30)].reshape(2, 40, 30).mean(-1)
+    gap = ST2.paired_gaps(t, ["feature"], [30], 40).first()["gap"]
+    assert gap == pytest.approx(np.abs(draws[0] - draws[1]).mean() / np.sqrt((x * x).mean()))
+    # on values with many ties the estimate is near the information of the table of counts
+    p = pd.crosstab(long["value"].round(6), long["side"]).to_numpy() / n
+    plain = np.nansum(np.where(p > 0, p * np.log(np.where(p > 0, p, 1) / (p.sum(1, keepdims=True) * p.sum(0))), 0))
+    assert ST2.neighbour_information_table(t, ["feature"]).first()["mi_knn"] == pytest.approx(plain, abs=0.002)
+    apart = t.withColumn("value", F.floor(F.rand(3) * 9) / 100)
+    assert ST2.neighbour_information_table(apart, ["feature"]).first()["mi_knn"] < 0.001
