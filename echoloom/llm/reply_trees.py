@@ -9,7 +9,7 @@ Template: `<|role|>` text `<|end|>` for each turn. In texts `&`, `<` and `[` bec
 `|` too), so no control string of this or of another template that starts with `<` or `[` survives in a text, and
 unescape() restores each text exactly. The loss mask lists [start, end) code point spans of the assistant's texts.
 
-Defined results: null texts and null roles are empty strings; a parent that doesn't exist makes a node a root; repeated
+Defined results: null texts and null roles are empty strings; rows without a conv_id are one conversation; a parent that doesn't exist makes a node a root; repeated
 (conv_id, node_id) rows are one node, the smallest row; nodes on a cycle belong to no path; ties between leaves go to
 the longer path, then to the smaller node_id; an empty table gives no conversation. Further columns are ignored.
 """
@@ -48,8 +48,24 @@ def linear_tree(turns: DataFrame) -> DataFrame:
     return t.select("conv_id", "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def keyed(nodes: DataFrame) -> DataFrame:
+    """conv_id as a struct that is never null, so that joins match rows without one too."""
+    c = F.col("conv_id")
+    empty = F.lit("" if dict(nodes.dtypes)["conv_id"] == "string" else 0).cast(nodes.schema["conv_id"].dataType)
+    return nodes.withColumn("conv_id", F.struct(c.isNull().alias("none"), F.coalesce(c, empty).alias("id")))
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("conv_id", F.when(~F.col("conv_id.none"), F.col("conv_id.id")))
+
+
 def chosen_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
-    """(conv_id, leaf_id, depth, node_id) of the paths to the per_tree best leaves of every conversation.
+    """(conv_id, leaf_id, depth, node_id) of the paths to the per_tree best leaves of every conversation."""
+    return unkeyed(_chosen_paths(keyed(nodes), per_tree))
+
+
+def _chosen_paths(nodes: DataFrame, per_tree: int) -> DataFrame:
+    """chosen_paths() of keyed() nodes.
 
     Each round joins the state with itself: the ancestor 2^k steps up, the depth and the score so far. The number of
     rounds follows from the largest conversation, one count before the loop.
@@ -80,7 +96,8 @@ def chosen_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
 
 def format_trees(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """(conv_id, leaf_id, n_messages, formatted, loss_spans) of the chosen paths."""
-    paths = chosen_paths(nodes, per_tree)
+    nodes = keyed(nodes)
+    paths = _chosen_paths(nodes, per_tree)
     texts = nodes.groupBy(*_KEY).agg(F.min(F.struct("parent_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("m")).select(*_KEY, "m.role", "m.text")
     turns = paths.join(texts, _KEY)
     head = F.concat(F.lit("<|"), escape(F.col("role"), role=True), F.lit("|>"))
@@ -100,7 +117,7 @@ def format_trees(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
         ),
         lambda a: a["spans"],
     )
-    return joined.select("conv_id", "leaf_id", F.size("parts").cast("long").alias("n_messages"), "formatted", spans.alias("loss_spans"))
+    return unkeyed(joined).select("conv_id", "leaf_id", F.size("parts").cast("long").alias("n_messages"), "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

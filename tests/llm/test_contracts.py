@@ -200,6 +200,21 @@ def test_trees_choose_the_best_leaf(spark):
     assert {(r["leaf_id"], r["node_id"]) for r in both if r["conv_id"] == 1} == {(5, 1), (5, 3), (5, 4), (5, 5), (2, 1), (2, 2)}
 
 
+def test_turns_without_conversation_are_one(spark, tmp_path):
+    import duckdb
+
+    talk = [(c, k, "user" if k % 2 == 0 else "assistant", f"m{k} {c}") for c in (None, 0, 7) for k in range(4)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op4_chat_reply_trees(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.sql(queries.ORACLE_SQL["op4_chat_reply_trees"])
+    assert {tuple(r[c] for c in want.columns) for r in rows(got)} == set(want.fetchall())
+    assert {r["conv_id"]: r["n_turns"] for r in rows(got)} == {None: 4, 0: 4, 7: 4, -1: 2}
+    named = spark.createDataFrame([(None, 1, None, "user", "q", 0.0), (None, 2, 1, "assistant", "a", 0.0), ("", 1, None, "user", "x", 0.0)], "conv_id string, node_id long, parent_id long, role string, text string, score double")
+    assert {(r["conv_id"], r["n_messages"]) for r in rows(reply_trees.format_trees(named))} == {(None, 2), ("", 1)}
+
+
 def test_long_conversation(spark):
     n = 700
     t = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", f"m{k}") for k in range(n)], "conv_id long, turn long, role string, text string")
