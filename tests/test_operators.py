@@ -328,3 +328,17 @@ def test_bootstrap_and_neighbours_use_every_row(spark):
     assert ST2.neighbour_information_table(t, ["feature"]).first()["mi_knn"] == pytest.approx(plain, abs=0.002)
     apart = t.withColumn("value", F.floor(F.rand(3) * 9) / 100)
     assert ST2.neighbour_information_table(apart, ["feature"]).first()["mi_knn"] < 0.001
+
+
+def test_stage_scores_take_the_neighbour_estimate(spark):
+    from echoloom.operators import stability as ST2
+
+    rng = np.random.default_rng(13)
+    n, y = 2000, np.arange(2000) % 2
+    # a fine comb tells the classes apart by the last digit, which 16 bins cannot see
+    comb, half = rng.integers(0, 50, n) * 2.0 + y, rng.normal(size=n) + y
+    t = spark.createDataFrame(pd.DataFrame({"key": np.arange(n), "y": y, "d": np.where(np.arange(n) % 3 > 0, "a", "b"), "comb": comb, "half": half}))
+    got = {r["feature"]: r for r in SL.stage_scores(t, ["key"], ["comb", "half"], "y", "d").collect()}
+    mi = {r["feature"]: r["mi_knn"] for r in ST2.neighbour_information_table(Q.long_features(t, ["key", "y"], ["comb", "half"]).withColumnRenamed("y", "side"), ["feature"]).collect()}
+    assert mi["comb"] > 0.5 > mi["half"] and got["comb"]["rank"] == 1
+    assert all(got[f]["mi"] == pytest.approx(mi[f]) for f in mi)
