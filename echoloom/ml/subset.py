@@ -1,4 +1,4 @@
-"""Two-class discriminants in closed form, prefix and forward search, nearest hit/miss relevance; bounded samples on workers."""
+"""Two-class discriminants in closed form, prefix and forward search over all rows; nearest hit/miss relevance of a sample."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.discrimination import rank_auc
+
 
 def lda_auc(x: np.ndarray, y: np.ndarray, folds: int = 5) -> tuple[float, float]:
     """Cross-validated |AUC - 1/2| + 1/2 of the pooled-covariance discriminant, and the separation of its scores."""
@@ -42,27 +44,70 @@ def relief(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out / len(z)
 
 
-def evaluate_subsets(sample: pd.DataFrame, label: str, subsets: DataFrame) -> DataFrame:
-    """subsets (name, features array) -> AUC and separation of each, in parallel; the bounded sample travels in the closure."""
+def fold_moments(df: DataFrame, label: str, features: list[str]) -> dict:
+    """(fold, class) -> rows, sums and products of the features; a row per fold and class comes to the driver."""
 
-    def run(frames):
+    def part(frames):
         for f in frames:
-            rows = []
-            for name, cols in zip(f["name"], f["features"], strict=True):
-                auc, sep = lda_auc(sample[list(cols)].to_numpy(float), sample[label].to_numpy(int))
-                rows.append((name, list(cols), auc, sep))
-            yield pd.DataFrame(rows, columns=["name", "features", "auc", "separation"])
+            for (k, c), g in f.groupby(["_fold", label]):
+                x = g[features].to_numpy(float)
+                yield pd.DataFrame({"k": [k], "c": [c], "n": [len(x)], "s": [x.sum(0)], "m": [(x.T @ x).ravel()]})
+
+    def total(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": f["k"][:1], "c": f["c"][:1], "n": [f["n"].sum()], "s": [np.sum(list(f["s"]), 0)], "m": [np.sum(list(f["m"]), 0)]})
+
+    kind = "k int, c int, n long, s array<double>, m array<double>"
+    rows = df.select("_fold", label, *features).mapInPandas(part, kind).groupBy("k", "c").applyInPandas(total, kind).collect()
+    return {(r["k"], r["c"]): (r["n"], np.array(r["s"]), np.array(r["m"]).reshape(len(features), -1)) for r in rows}
+
+
+def discriminant(moments: dict, at: list[int], fold: int) -> tuple[np.ndarray, float]:
+    """Weights and offset of the pooled-covariance discriminant of all rows outside the fold."""
+    means, scatter, rows = [], 0.0, 0
+    for c in (0, 1):
+        held = [v for (k, d), v in moments.items() if d == c and k != fold]
+        n = sum(v[0] for v in held)
+        mean = sum(v[1] for v in held)[at] / n
+        scatter = scatter + sum(v[2] for v in held)[np.ix_(at, at)] - n * np.outer(mean, mean)
+        means.append(mean)
+        rows += n
+    cov = scatter / max(1, rows - 2)
+    w = np.linalg.solve(cov + 1e-6 * np.trace(cov) / len(cov) * np.eye(len(cov)) + 1e-12 * np.eye(len(cov)), means[1] - means[0])
+    return w, float((means[0] + means[1]) / 2 @ w)
+
+
+def prepared(df: DataFrame, label: str, features: list[str], folds: int = 5) -> tuple[DataFrame, dict]:
+    """All rows on standard columns with a fold by hash of the row, and the moments of each fold and class."""
+    far = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    fold = F.pmod(F.xxhash64(*df.columns), F.lit(folds)).cast("int")
+    t = df.select(F.col(label).cast("int").alias(label), fold.alias("_fold"), *[((F.col(c) - far[f"m{i}"]) / (far[f"s{i}"] or 1.0)).alias(c) for i, c in enumerate(features)])
+    return t, fold_moments(t, label, features)
+
 
-    return subsets.mapInPandas(run, "name string, features array<string>, auc double, separation double")
+def evaluate_subsets(rows: tuple[DataFrame, dict], label: str, features: list[str], subsets: list[tuple[str, list[str]]]) -> DataFrame:
+    """prepared() rows and named subsets -> name, features, AUC and separation of each, of the scores of all rows, each by
+    the discriminant of the other folds."""
+    t, moments = rows
+    folds = sorted({k for k, _ in moments})
+    scores = []
+    for name, cols in subsets:
+        fits = {k: discriminant(moments, [features.index(c) for c in cols], k) for k in folds}
+        by_fold = F.coalesce(*[F.when(F.col("_fold") == k, sum((F.col(c) * float(v) for c, v in zip(cols, w, strict=True)), F.lit(-b))) for k, (w, b) in fits.items()])
+        scores.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, cols)).alias("features"), by_fold.alias("value")))
+    long = t.select(F.col(label).alias("side"), F.explode(F.array(*scores)).alias("s")).select("side", "s.name", "s.features", "s.value")
+    auc = rank_auc(long.select("name", "side", "value"), ["name"]).select("name", (F.abs(F.col("auc") - 0.5) + 0.5).alias("auc"))
+    one, other = (F.when(F.col("side") == c, F.col("value")) for c in (1, 0))
+    gap = F.abs(F.avg(one) - F.avg(other)) / (F.sqrt((F.var_pop(one) + F.var_pop(other)) / 2) + 1e-12)
+    return long.groupBy("name", "features").agg(gap.alias("separation")).join(auc, "name").select("name", "features", "auc", "separation")
 
 
-def forward_search(spark, sample: pd.DataFrame, label: str, features: list[str], most: int = 15) -> list[tuple[str, float]]:
-    """Greedy: each round scores all remaining features in parallel and keeps the best; ties by name."""
+def forward_search(spark, rows: DataFrame | pd.DataFrame, label: str, features: list[str], most: int = 15) -> list[tuple[str, float]]:
+    """Greedy over all rows: each round scores all remaining features at once and keeps the best; ties by name."""
+    ready = prepared(spark.createDataFrame(rows) if isinstance(rows, pd.DataFrame) else rows, label, features)
     chosen: list[tuple[str, float]] = []
     left = sorted(features)
     while left and len(chosen) < most:
-        tried = spark.createDataFrame([(f, [c for c, _ in chosen] + [f]) for f in left], "name string, features array<string>").repartition(min(len(left), 16))
-        best = evaluate_subsets(sample, label, tried).orderBy(F.desc("auc"), "name").first()
+        best = evaluate_subsets(ready, label, features, [(f, [c for c, _ in chosen] + [f]) for f in left]).orderBy(F.desc("auc"), "name").first()
         if chosen and best["auc"] <= chosen[-1][1] + 1e-6:
             break
         chosen.append((best["name"], best["auc"]))

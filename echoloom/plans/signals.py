@@ -190,13 +190,14 @@ def pca2(spark, sf_dir):
 
 @query()
 def subset_search(spark, sf_dir):
-    """#162, #163: prefixes scored by a discriminant, forward search and nearest hit/miss relevance on a capped sample."""
-    sample = SP.class_cap(_labelled(spark, sf_dir).withColumn("k", F.xxhash64(*FEATURES, "l_orderkey")), "label", "k", 300).toPandas()  # at most 600 rows
-    prefixes = spark.createDataFrame([(f"top{k}", FEATURES[:k]) for k in range(1, len(FEATURES) + 1)], "name string, features array<string>")
+    """#162, #163: prefixes scored by a discriminant and forward search over all rows, nearest hit/miss relevance on 4000."""
+    rows = _labelled(spark, sf_dir)
+    sample = SP.class_cap(rows.withColumn("k", F.xxhash64(*FEATURES, "l_orderkey")), "label", "k", 2000).toPandas()  # at most 4000 rows
     relevance = SB.relief(sample[FEATURES].to_numpy(float), sample["label"].to_numpy(int))
-    rows = [(f"relief_{f}", [f], float(r), 0.0) for f, r in zip(FEATURES, relevance, strict=True)]
-    rows += [(f"sfs_{i + 1}", [f], float(a), 0.0) for i, (f, a) in enumerate(SB.forward_search(spark, sample, "label", FEATURES, 3))]
-    return SB.evaluate_subsets(sample, "label", prefixes).union(spark.createDataFrame(rows, "name string, features array<string>, auc double, separation double"))
+    more = [(f"relief_{f}", [f], float(r), 0.0) for f, r in zip(FEATURES, relevance, strict=True)]
+    more += [(f"sfs_{i + 1}", [f], float(a), 0.0) for i, (f, a) in enumerate(SB.forward_search(spark, rows, "label", FEATURES, 3))]
+    prefixes = SB.evaluate_subsets(SB.prepared(rows, "label", FEATURES), "label", FEATURES, [(f"top{k}", FEATURES[:k]) for k in range(1, len(FEATURES) + 1)])
+    return prefixes.union(spark.createDataFrame(more, "name string, features array<string>, auc double, separation double"))
 
 
 _STREAM_SQL = """SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""

@@ -342,3 +342,25 @@ def test_stage_scores_take_the_neighbour_estimate(spark):
     mi = {r["feature"]: r["mi_knn"] for r in ST2.neighbour_information_table(Q.long_features(t, ["key", "y"], ["comb", "half"]).withColumnRenamed("y", "side"), ["feature"]).collect()}
     assert mi["comb"] > 0.5 > mi["half"] and got["comb"]["rank"] == 1
     assert all(got[f]["mi"] == pytest.approx(mi[f]) for f in mi)
+
+
+def test_subsets_are_scored_on_every_row(spark, sf):
+    rows = signals._labelled(spark, sf)
+    names = signals.FEATURES
+    got = {r["name"]: r for r in signals.subset_search(spark, sf).collect()}
+    t, moments = SB.prepared(rows, "label", names)
+    f = t.toPandas()
+    assert sum(v[0] for v in moments.values()) == rows.count() == len(f) > 5000
+    for k in (1, 4):
+        s = np.zeros(len(f))
+        for fold in range(5):
+            a, b = (f[(f["_fold"] != fold) & (f["label"] == c)][names[:k]].to_numpy() for c in (0, 1))
+            cov = np.atleast_2d(np.cov(a.T, ddof=0) * len(a) + np.cov(b.T, ddof=0) * len(b)) / (len(a) + len(b) - 2)
+            w = np.linalg.solve(cov + 1e-6 * np.trace(cov) / k * np.eye(k), b.mean(0) - a.mean(0))
+            at = (f["_fold"] == fold).to_numpy()
+            s[at] = (f.loc[at, names[:k]].to_numpy() - (a.mean(0) + b.mean(0)) / 2) @ w
+        y = f["label"].to_numpy() == 1
+        r = pd.Series(s).rank().to_numpy()
+        auc = (r[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+        assert got[f"top{k}"]["auc"] == pytest.approx(abs(auc - 0.5) + 0.5, abs=1e-4)
+        assert got[f"top{k}"]["separation"] == pytest.approx((s[y].mean() - s[~y].mean()) / np.sqrt((s[y].var() + s[~y].var()) / 2), rel=1e-6)
