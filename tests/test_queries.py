@@ -52,3 +52,14 @@ FAST = ["wavelet_energies", "ridge_features", "event_method_curves", "mixture_bu
 @pytest.mark.parametrize("name", FAST)
 def test_query_without_sql_runs(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+def test_mmd_of_many_suppliers_equals_sql(spark, tmp_path):
+    rng = np.random.default_rng(17)
+    frame = pd.DataFrame({"s_suppkey": np.arange(6000)})
+    frame["s_acctbal"] = np.round(rng.normal(size=6000) * np.where(frame["s_suppkey"] % 2, 0.3, 1.0), 3) * 20 + (frame["s_suppkey"] % 2)
+    spark.createDataFrame(frame).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    got = catalogue.QUERIES["mmd_exact"](spark, str(tmp_path)).toPandas()
+    assert got["mmd2"][0] > 0 and plain(got) == plain(con.sql(catalogue.ORACLE_SQL["mmd_exact"]).df())
