@@ -313,7 +313,7 @@ def paired_mean_gaps(spark, sf_dir):
 
 @query()
 def distance_convergence(spark, sf_dir):
-    """#149, #153: distance of growing samples to the whole, by Fourier features and by means."""
+    """#149, #153: distance of growing samples to 2000 rows a label, by Fourier features and by means."""
     l = table(spark, sf_dir, "lineitem").select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in FEATURES])
     a = SB.distance_curve(l, "l_returnflag", FEATURES, [50, 200, 800], 3, 2000)
     return a.join(SB.mean_errors(l, "l_returnflag", FEATURES, [50, 200, 800], 10, 2000), ["l_returnflag", "size"])
