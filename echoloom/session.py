@@ -32,23 +32,45 @@ def build_session(app: str = "echoloom", cpus: int | str | None = None, shuffle_
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or the folder given to setCheckpointDir.
+
+    With neither, a local session (tests) gets a temporary folder and a cluster an error: its executors share no disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="echoloom-")
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            found = given.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = "file://" + tempfile.mkdtemp(prefix="echoloom-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a Parquet table to the shared folder and read it back.
 
     Column pruning and size statistics survive, and the files outlive a lost executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by materialize() that nothing reads any more."""
+    spark = df.sparkSession
+    root = shared_dir(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
