@@ -4,12 +4,15 @@ The file format is a Parquet table of blocks, so any store that Spark writes to
 Spark's commit. A block has up to BLOCK_IDS ids (or one longer document): `ids` is the concatenated array of
 little-endian unsigned 16-bit numbers; `bounds` and `doc_ids` are Elias-Fano encoded monotone sequences, the end offset
 of each document and each doc_id less the block's first; `base_*` say where the block lies. select(k) finds the k-th
-boundary in the upper bits with a sampled directory, in about 2 + log2(u/n) bits a document and no table of 64-bit offsets.
+boundary in the upper bits with a sampled directory, in about 2 + log2(u/n) bits a document and no table of 64-bit
+offsets; read() gets every boundary by it.
 
-Documents are dealt to ranges of doc_id before they are encoded, so texts are tokenized once and files ascend.
+Documents are dealt to ranges of doc_id before they are encoded, so texts are tokenized once and files ascend. Ranges
+are cut by doc_id, then hash of the text, then a salt, so that a doc_id of very many rows is several ranges.
 
 Defined results: a null text gives the end id alone; documents with a null doc_id come first; rows that repeat a doc_id
-follow each other, in order of their texts' hash; an empty table gives no block. Only doc_id and text are read.
+follow each other, in order of their texts' hash; a very long text is a block of its own, held whole by one task; an
+empty table gives no block. Only doc_id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, pieces_of, small
 from .ffd_packing import encode_batches
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,37 +71,27 @@ class EliasFano:
     def __len__(self) -> int:
         return self.n
 
-    def select(self, k: int) -> int:
-        """The k-th value: from the sample at or before it, count ones on."""
-        if not 0 <= k < self.n:
+    def _ones(self, slot: int) -> np.ndarray:
+        """Positions of the ones from a directory sample up to the next, from the bytes between them alone."""
+        at = int(self.samples[slot])
+        to = int(self.samples[slot + 1]) if slot + 1 < len(self.samples) else len(self.high) * 8
+        found = np.flatnonzero(np.unpackbits(self.high[at >> 3 : (to + 7) >> 3], bitorder="little")) + (at & ~7)
+        return found[(found >= at) & (found < to)]
+
+    def select(self, k):
+        """The k-th value, or the values at ascending places k: ones counted on from the directory's samples."""
+        ks = np.atleast_1d(np.asarray(k, dtype=np.int64))
+        if len(ks) and not (0 <= ks[0] and ks[-1] < self.n):
             raise IndexError(k)
-        at, need = int(self.samples[k // SAMPLE]), k % SAMPLE
-        byte = at >> 3
-        first = True
-        while True:
-            window = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-            if first:
-                window[: at & 7] = 0
-                first = False
-            found = np.flatnonzero(window)
-            if need < len(found):
-                one = byte * 8 + int(found[need])
-                break
-            need -= len(found)
-            byte += 64
-        low = 0
-        for j in range(self.width):
-            bit = k * self.width + j
-            low |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << j
-        return ((one - k) << self.width) | low
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        if not self.width:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width).astype(np.uint64)
-        return high | (bits << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        slots = ks // SAMPLE
+        edges = np.flatnonzero(np.diff(slots, prepend=-1))
+        ones = [self._ones(int(slots[a]))[ks[a:b] % SAMPLE] for a, b in zip(edges, [*edges, len(ks)][1:], strict=True)]
+        out = ((np.concatenate(ones) if ones else ks) - ks).astype(np.uint64) << np.uint64(self.width)
+        if self.width:
+            bits = ks[:, None] * self.width + np.arange(self.width)
+            low = (self.low[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(np.uint64)
+            out |= (low << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return int(out[0]) if np.ndim(k) == 0 else out
 
 
 _BLOCK = "first_doc long, part int, block int, n_docs long, n_ids long, ids binary, bounds binary, doc_ids binary"
@@ -134,10 +127,12 @@ def _blocks(parts: Iterator[pa.RecordBatch], block_ids: int) -> Iterator[pa.Reco
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encode documents with a doc_id into blocks under `path`, in ascending order of doc_id."""
-    partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    partitions = pieces_of(docs, docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
     least = -(1 << 63)
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text")
-    ordered = plain.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows alike in doc_id and text are interchangeable, so their salt decides nothing that is read back
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt"))
+    keys = ["doc_id", "_h", "_salt"]
+    ordered = plain.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     ordered.mapInArrow(lambda parts: _blocks(encode_batches(parts, tokenizer, end_id), block_ids), _BLOCK).write.parquet(path)
 
 
@@ -147,9 +142,9 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
     Ranges first (a row per task that wrote), then the blocks within each, so no window holds all blocks.
     """
     blocks = spark.read.parquet(path)
-    keys = blocks.select("part", "block", "first_doc", "n_ids")
-    ranges = keys.groupBy("part").agg(F.min("first_doc").alias("first"), F.sum("n_ids").alias("n"))
-    before = ranges.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("first", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    keys = blocks.select("part", "block", "n_ids")
+    ranges = keys.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = ranges.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = keys.withColumn("_in", inside).join(before.select("part", "base"), "part").select("part", "block", (F.col("base") + F.col("_in")).alias("base_ids"))
     # the blocks themselves aren't shuffled while their list, counted, is small
@@ -162,9 +157,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
             for first, base, ids, bounds, names in zip(*(p.column(c).to_pylist() for c in ("first_doc", "base_ids", "ids", "bounds", "doc_ids")), strict=True):
-                ends = EliasFano(bounds).values().astype(np.int64)
+                sequence, found = EliasFano(bounds), EliasFano(names)
+                every = np.arange(len(sequence))
+                ends = sequence.select(every).astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                docs = [first + int(x) for x in EliasFano(names).values()]
+                docs = [first + int(x) for x in found.select(every)]
                 wide = np.frombuffer(ids, "<u2").astype("<u4")
                 crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([None if d == -(1 << 63) else d for d in docs], pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

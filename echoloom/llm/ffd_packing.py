@@ -1,11 +1,14 @@
 """Packing documents into fixed-length sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents become token ids with an end id; a document longer than a sequence gives full pieces and a rest. Documents are
-dealt to groups by a seeded hash, each group of about GROUP_DOCS documents packs alone, and every rest goes whole into
-the first open sequence that has room, found in the tree in logarithmic time. One shuffle carries the ids to their groups.
-
-Defined results: a null text is empty and gives the end id alone; a group without documents packs nothing; repeated
-rows are packed each; rests of one length are ordered by doc_id, so reruns agree. Only doc_id and text are read.
+Documents become token ids with an end id and are cut to pieces at once: full sequences and a rest. Pieces are dealt to
+groups at random, by a seeded hash of their task, row and number, so a group has about GROUP_PIECES pieces of at most a
+sequence each, whatever the texts' lengths and however often a doc_id repeats. Each group packs alone: a full piece is a
+sequence, and every rest goes whole into the first open sequence that has room, found in the tree in logarithmic time.
+One shuffle carries the ids to their groups.
+
+Defined results: a null text is empty and gives the end id alone; an empty table gives no sequence; repeated rows are
+packed each; a very long text is many pieces in many groups; rests of one length are ordered by doc_id, then checksum.
+Only doc_id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces_of
 from .tokens import table
 
 LENGTH = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-GROUP_DOCS = 1500
+GROUP_PIECES = 1500
 SEED = 77
 #: Text that becomes Python strings and words at once.
 SLICE_BYTES = 1_000_000
@@ -104,41 +108,68 @@ def encode_batches(parts: Iterator[pa.RecordBatch], tokenizer: str, end_id: int)
             at = to
 
 
-def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, `extra` columns and ids of every document; a narrow pass."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *extra))
-    return docs.select("doc_id", *extra, "text").mapInArrow(lambda parts: encode_batches(parts, tokenizer, end_id), f"{schema}, ids binary")
+def _dealt(task: int, row: int, pieces: int, groups: int, seed: int) -> list[int]:
+    """A group for each piece of a row: mixed bits of the seed, the task, the row in it and the piece's number."""
+    mask = (1 << 64) - 1
+    out = []
+    for k in range(pieces):
+        x = (seed * 0x9E3779B97F4A7C15 + task * 0xD1B54A32D192ED03 + row * 0x8CB92BA72F3D8DD7 + k * 0xABC98388FB8FAC03) & mask
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & mask
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & mask
+        out.append((x ^ (x >> 32)) % groups)
+    return out
+
+
+def cut(docs: DataFrame, groups: int, length: int = LENGTH, tokenizer: str = TOKENIZER, end_id: int = END_ID, seed: int = SEED) -> DataFrame:
+    """doc_id, start, doc_tokens, group and ids of every piece; a narrow pass.
 
+    A lost task deals its rows again alike as long as it reads them in the same order, as from files.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
 
-def pack(docs: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS, tokenizer: str = TOKENIZER, end_id: int = END_ID, seed: int = SEED) -> DataFrame:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, row = TaskContext.get().partitionId(), 0
+        for p in encode_batches(parts, tokenizer, end_id):
+            at, start, total, group, ids = [], [], [], [], []
+            for i, data in enumerate(p.column("ids").to_pylist()):
+                n = len(data) // 2
+                for k, g in enumerate(_dealt(task, row, -(-n // length), groups, seed)):
+                    at.append(i)
+                    start.append(k * length)
+                    total.append(n)
+                    group.append(g)
+                    ids.append(data[2 * k * length : 2 * (k + 1) * length])
+                row += 1
+            doc = p.column("doc_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(group, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "doc_tokens", "group", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, start long, doc_tokens long, group long, ids binary")
+
+
+def pack(docs: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, tokenizer: str = TOKENIZER, end_id: int = END_ID, seed: int = SEED) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (binary)."""
-    groups = max(1, math.ceil(docs.count() / group_docs))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("long").alias("group"))
-    ids = tokenized(dealt, tokenizer, end_id, ("group",))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    total = size["bytes"] or 0
+    # a piece for each document, and no more than one for each `length` bytes, as no id stands for less than a byte
+    groups = max(1, math.ceil((size["n"] + total / length) / group_pieces))
+    pieces = cut(docs, groups, length, tokenizer, end_id, seed).repartition(pieces_of(docs, total), "group")
 
     def pack_group(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.assign(_crc=[zlib.crc32(x) for x in f["ids"]]).sort_values(["doc_id", "_crc"], kind="stable", na_position="last")
-        group = int(f["group"].iloc[0])
-        rows: list[tuple] = []
-        rests: list[tuple] = []
-        used = 0
-        for doc, data in zip(f["doc_id"], f["ids"], strict=True):
-            n = len(data) // 2
-            full = n // length
-            for k in range(full):
-                rows.append((doc, k * length, length, n, (group << 32) + used, 0, data[2 * k * length : 2 * (k + 1) * length]))
-                used += 1
-            if n > full * length:
-                rests.append((doc, full * length, n, data[2 * full * length :]))
-        places = first_fit_decreasing([len(r[3]) // 2 for r in rests], length)
-        for (doc, start, n, data), (k, offset) in zip(rests, places, strict=True):
-            rows.append((doc, start, len(data) // 2, n, (group << 32) + used + k, offset, data))
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-        return out.astype({"doc_id": f["doc_id"].dtype})
+        n = np.array([len(x) // 2 for x in f["ids"]], dtype=np.int64)
+        f = f.assign(length=n, _crc=[zlib.crc32(x) for x in f["ids"]])
+        # longest first, so the sequences that one piece fills come before the packed ones
+        f = f.sort_values(["length", "doc_id", "start", "_crc"], ascending=[False, True, True, True], kind="stable", na_position="last")
+        full = int((f["length"] == length).sum())
+        places = [(k, 0) for k in range(full)]
+        places += [(full + k, offset) for k, offset in first_fit_decreasing(f["length"].iloc[full:].tolist(), length)]
+        base = int(f["group"].iloc[0]) << 32
+        f = f.assign(sequence_id=np.array([base + k for k, _ in places], dtype=np.int64), offset=np.array([o for _, o in places], dtype=np.int64))
+        return f[["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]]
 
     kind = dict(docs.dtypes)["doc_id"]
-    return ids.groupBy("group").applyInPandas(pack_group, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return pieces.groupBy("group").applyInPandas(pack_group, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def digests(pieces: DataFrame) -> DataFrame:

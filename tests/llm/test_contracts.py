@@ -279,6 +279,43 @@ def test_special_strings_are_encoded_as_the_library_does():
             assert np.frombuffer(g, "<u2").tolist() == library(name).encode(t, add_special_tokens=False).ids, (name, t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point_is_encoded_as_the_library_does(name):
+    import numpy as np
+
+    from echoloom.llm.tokens import table as words
+
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 4096):
+        texts = [f"ab{chr(c)}cd {chr(c)}x 1{chr(c)}" for c in points[k : k + 4096]]
+        want = library(name).encode_batch_fast(texts, add_special_tokens=False)
+        wrong = [t for t, g, w in zip(texts, words(name).encode(texts), want) if np.frombuffer(g, "<u2").tolist() != w.ids]
+        assert not wrong
+
+
+def test_packing_of_a_doc_id_of_many_rows(spark):
+    """Long texts and a doc_id that many rows repeat are spread over groups by piece; every piece comes once."""
+    made = [(7, "some words of a text " * k) for k in range(60)] + [(None, "no id"), (8, None), (9, "long text " * 30_000)]
+    t = spark.createDataFrame(made, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("group", "ids", "start", "length")})
+    got = rows(ffd_packing.pack(t, group_pieces=8))
+    tok = library("byte_bpe_50k.json")
+    want = Counter()
+    for d, x in made:
+        ids = tok.encode(x or "", add_special_tokens=False).ids + [0]
+        for a in range(0, len(ids), 1024):
+            want[d, a, len(ids), np_bytes(ids[a : a + 1024])] += 1
+    assert Counter((r["doc_id"], r["start"], r["doc_tokens"], bytes(r["ids"])) for r in got) == want
+    per = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(per) > 5 and max(per.values()) < 40
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+
+
+def np_bytes(ids):
+    import numpy as np
+
+    return np.array(ids, "<u2").tobytes()
+
+
 # ---- 6
 
 def test_secrets(spark, sf, docs):
@@ -355,7 +392,7 @@ def test_elias_fano():
         v = np.sort(rng.integers(0, top + 1, n))
         data = elias_fano.encode_monotone(v)
         e = elias_fano.EliasFano(data)
-        assert e.values().tolist() == v.tolist()
+        assert e.select(np.arange(n)).tolist() == v.tolist()
         assert [e.select(k) for k in range(0, n, max(1, n // 50))] == v[:: max(1, n // 50)].tolist()
     v = np.cumsum(rng.integers(100, 2000, 10_000))
     assert len(elias_fano.encode_monotone(v)) < 0.25 * 8 * len(v)
