@@ -452,12 +452,69 @@ def test_join_of_a_large_group_in_small_blocks(spark):
     made += [(100 + i, " ".join(f"y{rng.randint(0, 900)}" for _ in range(80))) for i in range(20)]
     t = spark.createDataFrame(made, "doc_id long, text string")
     want = sorted(brute.near_classes(made))
-    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in rows(lsh_forest.jaccard_join(t, block=7))) == want
-
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in rows(lsh_forest.jaccard_join(t, block_shingles=700))) == want
+
+
+def edited_pairs(n, seed):
+    """n pairs of texts that share nothing with other pairs, at likeness 0.8 or little more."""
+    rng, made = random.Random(seed), []
+    while len(made) < n:
+        k = len(made)
+        a = [f"p{k}w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 160))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), max(1, len(a) // 45)):
+            b[at] = f"q{k}w{at}"
+        x, y = brute.shingles(" ".join(a)), brute.shingles(" ".join(b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.84:
+            made.append((" ".join(a), " ".join(b)))
+    return made
+
+
+def test_forest_recall_at_the_threshold(spark):
+    """Where every subtree counts as crowded, matching stops at the depth of the target and reaches it; where prefixes go
+    on to be shortened, nothing is missed."""
+    pairs = edited_pairs(1500, 3)
+    t = spark.createDataFrame([(2 * k + side, p[side]) for k, p in enumerate(pairs) for side in (0, 1)], "doc_id long, text string")
+    deep = lsh_forest.jaccard_join(t, crowd=0).where("n_links = 1").count() / (2 * len(pairs))
+    assert deep >= lsh_forest.TARGET_RECALL - 0.003
+    assert lsh_forest.jaccard_join(t).where("n_links = 1 and class_id = doc_id - doc_id % 2").count() == 2 * len(pairs)
+
+
+def test_prefixes_shorten_where_a_subtree_is_thin(spark):
+    d = lsh_forest.full_depth()
+    assert lsh_forest.expected_recall([d] * lsh_forest.TREES) >= lsh_forest.TARGET_RECALL > lsh_forest.expected_recall([d + 1] * lsh_forest.TREES)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    crowd = []
+    for i in range(150):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        crowd.append((i, " ".join(w)))
+    thin = [(1000 + 2 * k + side, p[side]) for k, p in enumerate(edited_pairs(20, 5)) for side in (0, 1)]
+    t = spark.createDataFrame(crowd + thin, "doc_id long, text string")
+    signed = lsh_forest.materialize(lsh_forest.signed(t), "test-signed")
+    found = lsh_forest.matched(signed, d).join(signed.select("node", "doc_id"), "node").withColumn("thin", F.col("doc_id") >= 1000)
+    depths = {(r["thin"], r["depth"]) for r in rows(found.select("thin", "depth").distinct())}
+    assert (False, d) in depths and {x for thin, x in depths if thin} == {lsh_forest.LEAST_DEPTH}
+    # rows of one label prefix are one subtree, and labels sort as their values do
+    heads, rests = lsh_forest.labels(__import__("numpy").arange(2 * 32 * 8, dtype="uint32").reshape(2, -1) % 7, 32)
+    assert heads.shape == rests.shape == (2, 32)
+
+
+def test_sketches_of_near_sets_are_near():
+    import numpy as np
 
-def test_forest_depth_meets_the_target():
-    d = lsh_forest.forest_depth()
-    assert 1 - (1 - 0.8**d) ** lsh_forest.TREES >= lsh_forest.TARGET_RECALL > 1 - (1 - 0.8 ** (d + lsh_forest.STEP)) ** lsh_forest.TREES
+    rng = np.random.default_rng(1)
+    sign = lsh_forest.MinHash(256)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = x[: max(1, n - n // 9)]
+        y = np.concatenate([y, rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)])
+        if len(np.intersect1d(x, y)) < 0.8 * len(np.union1d(x, y)):
+            continue
+        a = lsh_forest.sketches(np.array([sign(x), sign(y)])).view(np.uint64)
+        assert np.bitwise_count(a[0] ^ a[1]).sum() <= lsh_forest.SKETCH_SLACK
 
 
 def test_one_of_each_class_stays(spark, sf, docs):
