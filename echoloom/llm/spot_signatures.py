@@ -1,15 +1,16 @@
 """Document fingerprints by spot signatures.
 
-A spot is an anchor with the next CHAIN content words after it, common words skipped. Common words are anchors, and so is
-one content word in CONTENT_RATE, chosen by its hash: tables, lists and capitals, which hold few common words, have spots
-too. A fingerprint is the
-sorted set of the spots' 64-bit hashes, written as text. Likeness is the Jaccard index of two sets; with a threshold it
-is pruned by the sets' lengths. Near-duplicate search partitions sets by length, so only sets of a partition or its
+A spot is an anchor with the next CHAIN content words after it, common words skipped. Common words are the anchors; a
+text with fewer than LEAST_SPOTS spots (tables, lists, a line of capitals) takes every word for one. A fingerprint is
+the sorted set of the spots' 64-bit hashes, written as text. Likeness is the Jaccard index of two sets; with a threshold
+it is pruned by the sets' lengths. Near-duplicate search partitions sets by length, so only sets of a partition or its
 neighbour are compared, through their rarest spots.
 
-Defined results: words are compared in lower case without the punctuation around them; a text without a spot has the
-one signature of its whole word sequence, so texts without words (null, empty, white space) equal each other;
-repeated texts have equal fingerprints; ties in doc_id are ordered by text. Further columns are ignored.
+Defined results: words are compared in lower case without the punctuation around them; a text too short for a chain has
+the one signature of its whole word sequence, so texts without words (null, empty, white space) equal each other;
+repeated texts have equal fingerprints; ties in doc_id are ordered by the texts' hash, a null doc_id comes last; a table
+of one row is its own next document; an empty table gives no row; a very long text is one row, all steps linear in its
+words. Only doc_id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, pieces_of, small
 
 #: Anchors, frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -30,10 +31,10 @@ ANCHORS = (
     "el y los se del las con una su para es al no"
 ).split()
 CHAIN = 2
-CONTENT_RATE = 3
+LEAST_SPOTS = 4
 #: Rows a bucket of the order by doc_id holds on average.
 BUCKET_ROWS = 1024
-#: Most buckets; beyond BUCKET_ROWS times this the buckets grow instead, and their windows spill.
+#: Most ranges of doc_id; beyond BUCKET_ROWS times this their windows grow, and spill.
 MAX_BUCKETS = 20_000
 
 
@@ -50,9 +51,10 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
         "_spots": F.filter(F.transform("_w", lambda x, i: F.when(x.isin(ANCHORS), i)), lambda i: i.isNotNull()),
     })
     spot = F.transform("_spots", lambda i, j: F.when(i - j + chain <= F.size("_content"), F.xxhash64(F.get("_w", i), *[F.get("_content", i - j + c) for c in range(chain)])))
-    chosen = F.transform("_content", lambda x, k: F.when((k + chain < F.size("_content")) & (F.pmod(F.xxhash64(x), F.lit(CONTENT_RATE)) == 0), F.xxhash64(x, *[F.get("_content", k + 1 + c) for c in range(chain)])))
-    t = t.withColumn("_sigs", F.array_sort(F.array_distinct(F.filter(F.concat(spot, chosen), lambda h: h.isNotNull()))))
-    return t.withColumn(out, F.when(F.size("_sigs") > 0, F.col("_sigs")).otherwise(F.array(F.xxhash64(F.array_join("_w", " "))))).drop("_w", "_content", "_spots", "_sigs")
+    t = t.withColumn("_sigs", F.array_distinct(F.filter(spot, lambda h: h.isNotNull())))
+    every = F.transform(F.sequence(F.lit(0), F.size("_w") - 1 - chain), lambda i: F.xxhash64(*[F.get("_w", i + c) for c in range(chain + 1)]))
+    found = F.when(F.size("_sigs") >= LEAST_SPOTS, F.array_sort("_sigs")).when(F.size("_w") > chain, F.array_sort(F.array_distinct(every))).otherwise(F.array(F.xxhash64(F.array_join("_w", " "))))
+    return t.withColumn(out, found).drop("_w", "_content", "_spots", "_sigs")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -89,36 +91,39 @@ def bucket_of(c: Column, bounds: list[int]) -> Column:
     return F.when(c.isNull() | (coarse == 0), F.lit(0)).otherwise(at + fine).cast("int")
 
 
+def bucketed(plain: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Rows (doc_id, text, h) with `bucket`, a number that falls along the order by descending doc_id, then h.
+
+    A doc_id that very many rows repeat would be one bucket: it is cut further by even ranges of h.
+    """
+    heavy = plain.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * bucket_rows)
+    heavy = small(materialize(heavy.select(F.col("doc_id").alias("_id"), F.ceil(F.col("n") / bucket_rows).alias("_parts")), "spot-heavy"), 100_000)
+    place = F.shiftright("h", 32) + F.lit(1 << 31)
+    sub = F.coalesce(F.floor(place * F.col("_parts") / F.lit(float(1 << 32))), F.lit(0)).cast("long")
+    range_no = bucket_of(F.col("doc_id"), order_buckets(plain, bucket_rows)).cast("long")
+    return plain.join(heavy, plain["doc_id"].eqNullSafe(heavy["_id"]), "left").select("doc_id", "text", "h", (range_no * F.lit(1 << 32) - sub).alias("bucket"))
+
+
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text, sigs, next_text, next_sigs): each document beside the next by descending doc_id, the last beside the first.
 
-    Ranges of doc_id are windows of bounded size; the first document of each range is sent once more to the range
-    above it, whose last document needs it. One shuffle of the texts, no window over all rows.
+    Buckets along the order are windows of bounded size; the first document of each is sent once more to the bucket
+    before it, whose last document needs it. One shuffle of the texts, signatures after it; no window over all rows.
     """
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = order_buckets(plain, bucket_rows)
-    bucketed = plain.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    # the first row of each range by the order, without its text: a row per range
-    first = bucketed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
-    tops = dict((r["bucket"], r["top"]) for r in first)
-    filled = sorted(tops)
-    target = {b: filled[i + 1] if i + 1 < len(filled) else filled[0] for i, b in enumerate(filled)}
-    own = bucketed.withColumn("guest", F.lit(0))
-    if filled:
-        # ties at the top: the guest is the first of them by the same order
-        w = W.partitionBy("bucket").orderBy(F.xxhash64("text"), F.col("text"))
-        ids = sorted({v for v in tops.values() if v is not None})
-        at_top = bucketed.where(F.col("doc_id").isin(ids)) if ids else bucketed.limit(0)
-        if None in tops.values():
-            at_top = at_top.unionByName(bucketed.where(F.col("doc_id").isNull() & F.col("bucket").isin([b for b, v in tops.items() if v is None])))
-        pairs = F.create_map(*[x for b in filled for x in (F.lit(b), F.lit(target[b]))])
-        guests = at_top.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
-        guests = guests.withColumn("bucket", F.element_at(pairs, F.col("bucket"))).withColumn("guest", F.lit(1))
-        own = own.unionByName(guests)
-    marked = with_signatures(own, "text", "sigs")
-    w = W.partitionBy("bucket").orderBy("guest", *order)
-    out = marked.withColumns({"next_text": F.lead("text").over(w), "next_sigs": F.lead("sigs").over(w)})
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    own = bucketed(plain, bucket_rows)
+    # the first row of each bucket by the order, without its text: nulls of doc_id come last
+    key = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("id"), "h")
+    first = own.groupBy("bucket").agg(F.min(key).alias("k"))
+    along = W.orderBy("bucket")
+    first = materialize(first.select(F.col("bucket").alias("_from"), "k", F.coalesce(F.lead("bucket").over(along), F.first("bucket").over(along)).alias("target")), "spot-firsts")
+    found = small(first, 4 * MAX_BUCKETS)
+    guests = own.join(found, (own["bucket"] == found["_from"]) & key.eqNullSafe(found["k"])).groupBy("_from", "target").agg(F.first(F.struct("doc_id", "text", "h")).alias("g"))
+    guests = guests.select("g.doc_id", "g.text", "g.h", F.col("target").alias("bucket"), F.lit(1).alias("guest"))
+    total = plain.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    every = own.withColumn("guest", F.lit(0)).unionByName(guests).repartition(pieces_of(docs, total), "bucket")
+    w = W.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), "h", "text")
+    out = with_signatures(every, "text", "sigs").withColumns({"next_text": F.lead("text").over(w), "next_sigs": F.lead("sigs").over(w)})
     return out.where(F.col("guest") == 0).select("doc_id", "text", "sigs", "next_text", "next_sigs")
 
 

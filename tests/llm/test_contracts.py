@@ -419,6 +419,36 @@ def test_fingerprints(spark, sf, docs):
         assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and r["near_next"] == pytest.approx(len(a & c) / len(a | c))
 
 
+def test_spots_follow_common_words_alone(spark):
+    """The signatures of texts, by hand: (anchor, next two content words); every word anchors a text with few anchors."""
+    texts = ["The river ran to the old mill, and a boat of oak was in it there now", "one | two | three | four | five", "to be", None]
+    chains = [
+        [("the", "river", "ran"), ("to", "old", "mill"), ("the", "old", "mill"), ("and", "boat", "oak"), ("a", "boat", "oak"), ("of", "oak", "there"), ("was", "there", "now"), ("in", "there", "now"), ("it", "there", "now")],
+        [("one", "two", "three"), ("two", "three", "four"), ("three", "four", "five")], [("to be",)], [("",)],
+    ]
+    t = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in rows(spot_signatures.with_signatures(t, "text", "s"))}
+    for k, want in enumerate(chains):
+        made = spark.createDataFrame([(list(c),) for c in want], "c array<string>")
+        width = len(want[0])
+        assert got[k] == sorted({r["h"] for r in rows(made.select(F.xxhash64(*[F.col("c")[i] for i in range(width)]).alias("h")))})
+
+
+def test_next_document_of_a_doc_id_of_many_rows(spark):
+    """The order doesn't depend on how it is cut to buckets, and each row's next is one row later."""
+    made = [(k, f"text {k}") for k in range(60)] + [(30, f"hot {k} words") for k in range(90)] + [(None, f"none {k}") for k in range(40)] + [(2, None)]
+    t = spark.createDataFrame(made, "doc_id long, text string")
+    one = {(r["doc_id"], r["text"], r["next_text"]) for r in rows(spot_signatures.with_next(t, 10_000))}
+    assert len(one) == len(made)
+    order = rows(t.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+    order.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    assert one == {(r["doc_id"], r["text"], order[(k + 1) % len(order)]["text"]) for k, r in enumerate(order)}
+    for size in (1, 4, 16):
+        assert {(r["doc_id"], r["text"], r["next_text"]) for r in rows(spot_signatures.with_next(t, size))} == one
+    cut = spot_signatures.bucketed(t.withColumn("h", F.xxhash64("text")), 4).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert cut < 20
+
+
 def test_spot_pairs_equal_brute_force(spark, sf, docs):
     t = table(spark, sf, "documents")
     sets = {}
