@@ -372,6 +372,52 @@ def test_cotraining_without_both_labels_keeps_texts(spark, odd):
     assert all(r["kept"] == (r["doc_id"] not in (1, 2, 3)) for r in got)
 
 
+def test_fit_equals_plain_newton_on_all_rows(spark, sf):
+    """The distributed fit without rounds gives the weights of a fit in one array; pseudo-labels follow their definition."""
+    import numpy as np
+
+    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
+    found = cotraining.materialize(cotraining.features(d, "doc_id"), "test-features")
+    model = cotraining.train(found, l, rounds=())
+    got = rows(cotraining.with_roles(found, l))
+    x = np.array([np.frombuffer(r["x"]) for r in got if r["role"] == cotraining.TRAIN])
+    y = np.array([r["y"] for r in got if r["role"] == cotraining.TRAIN])
+    assert sum(r["role"] == cotraining.POOL for r in got) > 0 and sum(r["role"] == cotraining.HELD for r in got) > 0
+    for view, k in ((model.text, slice(0, cotraining.WIDE)), (model.page, slice(cotraining.WIDE, None))):
+        mean, scale = x[:, k].mean(axis=0), x[:, k].std(axis=0)
+        scale = np.where(scale < 1e-6, 1.0, scale)
+        z = np.clip((x[:, k] - mean) / scale, -8, 8)
+        design = np.hstack([np.ones((len(z), 1)), z, z * z])
+        ridge = np.full(design.shape[1], cotraining.PENALTY)
+        ridge[0] = 1e-6
+
+        def objective(w):
+            return np.logaddexp(0, design @ w).sum() - y @ (design @ w) + 0.5 * ridge @ (w * w)
+
+        plain = cotraining.Newton(np.zeros(design.shape[1]))
+        for _ in range(300):
+            plain.take(cotraining.newton_sums(design, y, plain.at, plain.best))
+        p = 1 / (1 + np.exp(-design @ plain.best))
+        assert np.abs(design.T @ (p - y) + ridge * plain.best).max() < 1e-3
+        assert objective(view.weights) <= objective(plain.best) + 0.01 * len(y)
+    a, b = cotraining.pseudo_labels(x, [(model.text, model.page, 0.9)])
+    t, p, _ = model.scores(x)
+    assert np.array_equal(~np.isnan(b), np.maximum(t, 1 - t) >= 0.9) and np.array_equal(~np.isnan(a), np.maximum(p, 1 - p) >= 0.9)
+    assert np.array_equal(b[~np.isnan(b)], (t > 0.5)[~np.isnan(b)].astype(float))
+
+
+def test_classifier_keeps_rows_as_they_are(spark, sf, odd):
+    d, l = table(spark, sf, "documents"), table(spark, sf, "labels")
+    kept = {r["doc_id"] for r in rows(cotraining.classify(d, l)) if r["kept"]}
+    got = cotraining.accepted(d, l)
+    assert got.columns == d.columns
+    assert {tuple(r.values()) for r in rows(got)} == {tuple(r.values()) for r in rows(d) if r["doc_id"] in kept}
+    # with odd rows, repeated labels and labels without meaning
+    more = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (6, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    assert {r["doc_id"] for r in rows(cotraining.classify(odd, more))} == {None, 1, 2, 3, 4, 5, 6, 7}
+    assert cotraining.accepted(odd, more).columns == odd.columns
+
+
 # ---- 8
 
 def test_token_output(spark, sf, docs):
