@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echoloom.session import discard, materialize, new_path, shared_dir
 
-__all__ = ["SPACE", "discard", "materialize", "new_path", "packed", "pieces_of", "running", "shared_dir", "small", "unpacked", "within", "words"]
+__all__ = ["SPACE", "discard", "let", "materialize", "new_path", "packed", "pieces_of", "running", "shared_dir", "small", "unpacked", "within", "words"]
 
 #: ASCII white space that separates words, as a regular expression class body (fixed value of the contracts).
 SPACE = r"\x20\x09-\x0D"
@@ -53,15 +53,26 @@ def unpacked(df: DataFrame, columns: list[str], text: Column | None = None, chan
     return df.select(*[column(c) for c in columns])
 
 
-def running(lengths: Column) -> Column:
-    """Sums of the members before each member of an array of longs, in time n to the 1.5: parts of root n members first."""
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths)))).cast("int")
-    parts = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(1), F.size(lengths), step), lambda i: F.slice(lengths, i, step))).otherwise(F.array().cast("array<array<bigint>>"))
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row; written into a lambda, it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def befores(values: Column, first: Column) -> Column:
-        zero = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(values, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
 
+def running(values: Column, step=lambda a, x: a + x) -> Column:
+    """For each member of an array of longs, `step` (sum, or greatest) over 0 and the members before it, in time n to the
+    1.5: parts of root n members first."""
     zero = F.lit(0).cast("long")
-    sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x))
-    return F.flatten(F.zip_with(parts, befores(sums, zero), befores))
+
+    def befores(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def in_parts(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(1), F.size(v), width), lambda i: F.slice(v, i, width))).otherwise(F.array().cast("array<array<bigint>>"))
+
+    def joined(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: step(a, x)))
+        return F.flatten(F.zip_with(parts, befores(sums, zero), befores))
+
+    return let(values, lambda v: let(in_parts(v), joined))

@@ -24,22 +24,24 @@ CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
 
 
 def _found(kind: str, pattern: str, group: int, least: int) -> str:
-    """Rows (doc, source, kind number, start, end, value): gaps between matches and the matches' lengths give the places."""
+    """Rows (doc, source, own, kind number, start, end, value): gaps between matches and the matches' lengths give the places."""
     p = _quote(pattern)
-    return f"""SELECT doc, source, {ORDER.index(kind)} AS k, '{kind}' AS kind, a AS "start", a + length(m[i]) AS "end", g[i] AS value FROM (
+    return f"""SELECT doc, source, own, {ORDER.index(kind)} AS k, '{kind}' AS kind, a AS "start", a + length(m[i]) AS "end", g[i] AS value FROM (
  SELECT *, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM (
- SELECT doc, source, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc, source, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS g, string_split_regex(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})))) WHERE length(g[i]) >= {least}"""
+ SELECT doc, source, own, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc, source, own, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS g, string_split_regex(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})))) WHERE length(g[i]) >= {least}"""
 
 
 _DIVERSE = f"(kind <> 'mixed' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND len(list_distinct(string_split(value, ''))) >= {MIN_DISTINCT}))"
 _BASE = " UNION ALL ".join(_found(k, p, g, n) for k, (p, g, n) in BASE.items())
 _ADDED = " UNION ALL ".join(_found(k, p, 0, 1) for k, p in ADDED.items())
-SECRETS = f"""WITH d AS (SELECT doc_id AS doc, source, coalesce(text, '') AS t FROM documents), b AS ({_BASE}), a AS (SELECT * FROM ({_ADDED}) x WHERE {_DIVERSE}),
- v AS (SELECT value FROM a GROUP BY value HAVING count(DISTINCT coalesce('=' || source, '')) <= {min(MAX_REPOSITORIES, MAX_OWNERS)}),
+SECRETS = f"""WITH d AS (SELECT doc_id AS doc, source, md5(coalesce(text, '')) AS own, coalesce(text, '') AS t FROM documents), b AS ({_BASE}), a AS (SELECT * FROM ({_ADDED}) x WHERE {_DIVERSE}),
+ c AS (SELECT * FROM b UNION ALL SELECT * FROM a),
+ v AS (SELECT value FROM c GROUP BY value HAVING count(DISTINCT coalesce('=' || source, '')) <= {MAX_REPOSITORIES} AND count(DISTINCT own) <= {MAX_OWNERS}),
+ l AS (SELECT doc, count(*) FILTER (WHERE value IN (SELECT value FROM v)) AS n_live, count(*) AS n_all FROM c GROUP BY doc),
  s AS (SELECT doc, kind, k, "start", "end" FROM b UNION ALL SELECT doc, kind, k, "start", "end" FROM a WHERE value IN (SELECT value FROM v)),
  n AS (SELECT doc, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", k) AS base FROM b GROUP BY doc),
  w AS (SELECT doc, string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", k) AS spans FROM s GROUP BY doc)
- SELECT d.doc AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n ON d.doc = n.doc LEFT JOIN w ON d.doc = w.doc"""
+ SELECT d.doc AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_all - n_live, 0) AS n_copied FROM d LEFT JOIN n ON d.doc = n.doc LEFT JOIN w ON d.doc = w.doc LEFT JOIN l ON d.doc = l.doc"""
 
 _WORDS = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _LISTS = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(_quote, v))}]" for k, v in COMMON_WORDS.items()) + f" ELSE [{', '.join(map(_quote, COMMON_WORDS['en']))}] END"

@@ -47,7 +47,7 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     count, text = ownership_secrets.count_kind, ownership_secrets.spans_text
     return found.select(
         "doc_id", *[count(F.col("base"), k).alias(f"n_{k}") for k in ownership_secrets.BASE],
-        F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+        F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), "n_live", "n_copied",
     )
 
 

@@ -345,11 +345,47 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert "provider:2:36" in got[0] and all("provider" not in got[i] for i in range(1, 9))
 
 
-def test_redaction(spark):
-    t = spark.createDataFrame([(1, 'a token = "0123456789abcdef0123456789" b', "s", 40), (2, "clean", "s", 5), (3, None, "s", 0)], "doc_id long, text string, source string, n_chars long")
+def test_ownership_counts_texts_not_copies(spark):
+    """A value in many different texts of one source is an example; one in many copies of a text stays live, as base value too."""
+    shared, own = "token = 'aaaa1111bbbb2222'", "token = 'cccc3333dddd4444'"
+    made = [(i, f"text {i} says {shared}", "a") for i in range(5)] + [(10 + i, f"a copy with {own}", "a") for i in range(40)] + [(60, None, None), (61, f"no source {own}", None)]
+    t = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in rows(ownership_secrets.find_secrets(t))}
+    assert all(got[i] == (0, 1) for i in range(5)) and all(got[10 + i] == (1, 0) for i in range(40)) and got[60] == (0, 0) and got[61] == (1, 0)
+    # by a named owner, the copies are of one owner each
+    named = t.withColumn("who", F.col("doc_id").cast("string"))
+    assert {r["n_copied"] for r in rows(ownership_secrets.find_secrets(named, owner="who")) if r["doc_id"] in range(10, 50)} == {1}
+
+
+def redacted_by_hand(text):
+    if text is None:
+        return None
+    n, s = brute.base_secrets(text)
+    out, at = "", 0
+    for _, a, b in (x.split(":") for x in s.split(",") if x):
+        if int(a) >= at:
+            out += text[at : int(a)] + "[SECRET]"
+        at = max(at, int(b))
+    return out + text[at:]
+
+
+def test_redaction(spark, sf, docs):
+    made = [(i, x) for i, x in enumerate([*SECRET_TEXTS, 'a token = "0123456789abcdef0123456789" b', "clean", "x " + "password=abcdef " * 3000])]
+    t = spark.createDataFrame([(i, x, "s", 0) for i, x in made], "doc_id long, text string, source string, n_chars long")
     got = {r["doc_id"]: r for r in rows(ownership_secrets.redact(t))}
-    assert got[1]["text"] == 'a [SECRET]" b' and got[1]["n_chars"] == len(got[1]["text"])
-    assert got[2]["text"] == "clean" and got[3]["text"] is None
+    for i, x in made:
+        assert got[i]["text"] == redacted_by_hand(x), x
+        assert got[i]["n_chars"] == (len(got[i]["text"]) if got[i]["text"] != x else 0)
+    text = {d: x for d, x, _ in docs}
+    assert all(r["text"] == redacted_by_hand(text[r["doc_id"]]) for r in rows(ownership_secrets.redact(table(spark, sf, "documents"))))
+
+
+def test_running_sums(spark):
+    from echoloom.llm.common import running
+
+    t = spark.createDataFrame([([],), ([5],), (list(range(1, 1001)),)], "v array<long>")
+    for r in rows(t.select("v", running(F.col("v")).alias("s"), running(F.col("v"), F.greatest).alias("m"))):
+        assert r["s"] == [sum(r["v"][:k]) for k in range(len(r["v"]))] and r["m"] == [max([0, *r["v"][:k]]) for k in range(len(r["v"]))]
 
 
 # ---- 7
