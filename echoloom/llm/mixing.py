@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Each source gets a whole number of blocks by highest quotients target/(2k+1); the source's blocks go to its shards by
-highest quotients of the shards' words; within a shard, blocks of the twice repeated stream of its documents are
-chosen by a seeded hash. Shards hold about SHARD_WORDS words, so a source with a third of all rows is many shards, and
-no step brings a source's documents to one task: only its list of shards is ranked together.
+Each source gets a whole number of blocks by highest quotients target/(2k+1); the source's blocks go to its lots of
+shards, and a lot's to its shards, by highest quotients of their words; within a shard, blocks of the twice repeated
+stream of its documents are chosen by a seeded hash. Shards hold about SHARD_WORDS words and lots LOT_SHARDS shards, so a
+source with a third of all rows is many of both: no step brings its documents or all its shards to one task.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of its own, the last in order;
-repeated rows each count with their size; an empty table gives an empty result. Only doc_id, text and source are
-read, so further columns cannot clash.
+rows that repeat a doc_id under different texts are placed apart, by both; rows alike in both each count with their size,
+and in the mixed rows share one decision; ties of quotients go to the smaller key; an empty table gives an empty result;
+a very long text lies in many blocks of one shard. Only doc_id, text and source are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ SHARE = 1.5
 MAX_REPEATS = 2
 BLOCK_WORDS = 64
 SHARD_WORDS = 65536
+LOT_SHARDS = 1024
 SEED = 20240607
 
 
@@ -77,21 +79,24 @@ def _seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, source, size) -> the same with source_size, target, taken and the columns of the selection.
+def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, lot_shards: int = LOT_SHARDS, seed: int = SEED) -> DataFrame:
+    """Rows (doc_id, text_md5, source, size) -> the same with source_size, target, taken and the columns of the selection.
 
-    `before` is the words before the document in its shard's stream and `prefix` the selected blocks before each block
-    of that stream, so a document's part of either pass is known without listing its words.
+    `before` is the words before the document in its shard's stream and `picks`, for each pass, whether each block that
+    the document touches is chosen, so its part of either pass is known without its words and without the shard's list.
     """
     totals = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-sources")
     seats = totals.agg(F.round(F.sum("target") / block_words).cast("long").alias("n")).first()["n"] or 0
     quotas = highest_quotients(totals.withColumn("_n", F.lit(seats)), [], ["source"], "target", "_n").withColumn("n_shards", F.greatest(F.lit(1), F.round(F.col("source_size") / shard_words)).cast("int")).drop("_n")
     quotas = small(materialize(quotas, "mix-quotas"), 10_000)
     docs = sized.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source"))).select(
-        "d.doc_id", "d.source", "d.size", "q.source_size", "q.target", "q.quota", (F.conv(F.substring(_seeded(seed, "d.doc_id"), 1, 8), 16, 10).cast("long") % F.col("q.n_shards")).alias("shard")
+        "d.doc_id", "d.text_md5", "d.source", "d.size", "q.source_size", "q.target", "q.quota", "q.n_shards", (F.conv(F.substring(_seeded(seed, "d.doc_id", "d.text_md5"), 1, 8), 16, 10).cast("long") % F.col("q.n_shards")).alias("shard")
     )
-    by_shard = docs.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("_seats"))
-    shards = highest_quotients(by_shard, ["source"], ["shard"], "shard_size", "_seats").select(
+    by_shard = docs.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("_seats"), (F.col("shard") % F.ceil(F.first("n_shards") / lot_shards)).cast("long").alias("lot"))
+    by_shard = materialize(by_shard, "mix-shards")
+    lots = highest_quotients(by_shard.groupBy("source", "lot").agg(F.sum("shard_size").alias("lot_size"), F.first("_seats").alias("_seats")), ["source"], ["lot"], "lot_size", "_seats")
+    of_lot = by_shard.drop("_seats").alias("s").join(lots.alias("l"), F.col("s.source").eqNullSafe(F.col("l.source")) & (F.col("s.lot") == F.col("l.lot"))).select("s.*", F.col("l.quota").alias("_seats"))
+    shards = highest_quotients(of_lot, ["source", "lot"], ["shard"], "shard_size", "_seats").select(
         "source", "shard", "shard_size", F.col("quota").alias("shard_quota"), (F.col("shard_size") * MAX_REPEATS / block_words).cast("long").alias("n_blocks")
     )
     # seeded choice: the shard_quota blocks of least hash; a shard whose quota reaches its blocks is taken whole
@@ -100,44 +105,53 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHA
     chosen = blocks.withColumn("_rank", F.row_number().over(w.orderBy(_seeded(seed, "source", "shard", "block"), "block"))).withColumn("_in", (F.col("_rank") <= F.col("shard_quota")).cast("int"))
     prefix = chosen.groupBy("source", "shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "_in"))), lambda x: x["_in"]).alias("picked"))
     chosen = shards.alias("s").join(prefix.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.shard") == F.col("p.shard")), "left").select("s.*", "p.picked")
-    order = w.orderBy(_seeded(seed + 1, "doc_id"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = w.orderBy(_seeded(seed + 1, "doc_id", "text_md5"), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = docs.withColumn("before", _number(F.sum("size").over(order)))
     out = placed.alias("d").join(chosen.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard"))).select("d.*", "s.shard_size", "s.shard_quota", "s.n_blocks", "s.picked")
-    return out.withColumn("taken", sum((taken_words(F.col("before") + k * F.col("shard_size"), F.col("size"), block_words) for k in range(1, MAX_REPEATS)), taken_words(F.col("before"), F.col("size"), block_words)))
+    picks = F.array(*[_touched(F.col("before") + k * F.col("shard_size"), F.col("size"), block_words) for k in range(MAX_REPEATS)])
+    whole = F.when(F.col("shard_quota") >= F.col("n_blocks"), F.col("shard_quota") > 0)
+    out = out.withColumns({"picks": picks, "whole": whole}).drop("picked", "shard_quota", "n_blocks")
+    return out.withColumn("taken", sum((taken_words(F.get("picks", F.lit(k)), F.col("before") + k * F.col("shard_size"), F.col("size"), block_words) for k in range(MAX_REPEATS)), F.lit(0).cast("long")))
 
 
-def taken_words(start: Column, size: Column, block_words: int) -> Column:
+def _touched(start: Column, size: Column, block_words: int) -> Column:
+    """The choices of the shard's blocks that [start, start + size) touches."""
+    first, last = F.floor(start / F.lit(block_words)).cast("int"), F.floor((start + size - 1) / F.lit(block_words)).cast("int")
+    return F.slice("picked", first + 1, F.greatest(F.lit(0), last - first + 1))
+
+
+def taken_words(picks: Column, start: Column, size: Column, block_words: int) -> Column:
     """Words of [start, start + size) of the shard's repeated stream that lie in chosen blocks."""
     end, b = start + size, F.lit(block_words).cast("long")
     first, last = F.floor(start / b).cast("int"), F.floor((end - 1) / b).cast("int")
-    picked = F.slice("picked", first + 1, F.greatest(F.lit(0), last - first + 1))
-    inside = F.aggregate(picked, F.lit(0).cast("long"), lambda a, x: a + x) * b
+    inside = F.aggregate(picks, F.lit(0).cast("long"), lambda a, x: a + x) * b
     # less what the first and the last block have outside the document
-    cut = F.coalesce(F.get("picked", first), F.lit(0)) * (start - first * b) + F.coalesce(F.get("picked", last), F.lit(0)) * ((last + 1) * b - end)
-    whole = F.when(F.col("shard_quota") >= F.col("n_blocks"), F.when(F.col("shard_quota") > 0, size).otherwise(F.lit(0).cast("long")))
+    cut = F.coalesce(F.get(picks, F.lit(0)), F.lit(0)) * (start - first * b) + F.coalesce(F.get(picks, last - first), F.lit(0)) * ((last + 1) * b - end)
+    whole = F.when(F.col("whole"), size).when(~F.col("whole"), F.lit(0).cast("long"))
     return F.when(size <= 0, F.lit(0).cast("long")).otherwise(F.coalesce(whole, inside - cut))
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    return docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_md5"), "source", F.size(words(F.col("text"))).cast("long").alias("size"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """The mix as rows of documents: a row for each pass that takes words of a document, its text cut to those words.
 
-    The joined decisions are narrow; documents are matched by doc_id, and rows that repeat a doc_id share its decision.
+    The joined decisions are narrow; documents are matched by doc_id, source and digest of the text.
     """
     sized = materialize(sized_documents(docs), "mix-sizes")
-    plan = mix(sized, block_words, shard_words, seed)
-    columns = ("before", "size", "shard_size", "shard_quota", "n_blocks", "picked")
-    plan = plan.where(F.col("taken") > 0).groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_plan"))
-    keyed = packed(docs, "doc_id", "text")
-    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["doc_id"])).select(keyed["text"], "_row", "_plan")
+    plan = mix(sized, block_words, shard_words, seed=seed)
+    columns = ("before", "shard_size", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("picks")).alias("picks"))
+    plan = plan.where(F.col("taken") > 0).groupBy("doc_id", "text_md5", "source").agg(F.min(F.struct(*columns)).alias("_plan"))
+    keyed = packed(docs, "doc_id", "text", "source").withColumn("_text_md5", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(plan["doc_id"]) & (keyed["_text_md5"] == plan["text_md5"]) & keyed["source"].eqNullSafe(plan["source"])
+    joined = keyed.join(plan, same).select(keyed["text"], "_row", "_plan")
     piece = F.split("text", f"(?<=[{SPACE}])(?=[^{SPACE}])")  # words with the white space after them
     work = joined.select("text", "_row", F.filter(piece, lambda x: x.rlike(f"[^{SPACE}]")).alias("_words"), "_plan", F.explode(F.array(*[F.lit(k) for k in range(MAX_REPEATS)])).alias("_pass"))
-    start = F.col("_plan.before") + F.col("_pass") * F.col("_plan.shard_size")
-    whole = F.col("_plan.shard_quota") >= F.col("_plan.n_blocks")
-    kept = F.filter("_words", lambda x, i: whole | (F.coalesce(F.get(F.col("_plan.picked"), F.floor((start + i) / block_words).cast("int")), F.lit(0)) == 1))
+    work = work.select("text", "_row", "_words", F.col("_plan.whole").alias("_whole"), F.get("_plan.picks", F.col("_pass")).alias("_picks"), (F.col("_plan.before") + F.col("_pass") * F.col("_plan.shard_size")).alias("_start"))
+    first = F.floor(F.col("_start") / block_words).cast("int")
+    kept = F.filter("_words", lambda x, i: F.col("_whole") | (F.coalesce(F.get(F.col("_picks"), F.floor((F.col("_start") + i) / block_words).cast("int") - first), F.lit(0)) == 1))
     # the row number keeps the filter above the words, which would be listed twice below
     out = work.withColumn("_kept", kept).withColumn("_some", F.when(F.monotonically_increasing_id() >= 0, F.size("_kept") > 0)).where("_some")
     cut = F.size("_kept") < F.size("_words")

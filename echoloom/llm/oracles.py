@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCK_WORDS, MAX_REPEATS, SEED, SHARD_WORDS, SHARE, WEIGHTS
+from .mixing import BLOCK_WORDS, LOT_SHARDS, MAX_REPEATS, SEED, SHARD_WORDS, SHARE, WEIGHTS
 from .ownership_secrets import ADDED, BASE, MAX_OWNERS, MAX_REPOSITORIES, MIN_DISTINCT, ORDER
 from .quality_divergence import COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_REFERENCE_WORDS, MIN_WORDS
 from .reply_trees import END
@@ -79,19 +79,22 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM docu
  NOT base_failed AND NOT ((n_all >= {MIN_CHARS} AND char_distance > {MAX_CHAR_DISTANCE}) OR (n_words >= {MIN_WORDS} AND word_distance > {MAX_WORD_DISTANCE})) AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM x"""
 
 
-MIX = rf"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
+MIX = rf"""WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS h, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source), p AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS w, {MAX_REPEATS}.0 * source_size AS cap FROM s),
  k AS (SELECT *, sum(cap) OVER o - cap AS capped, sum(w) OVER o - w AS gone FROM p WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
  c AS (SELECT max(({SHARE} * (SELECT sum(source_size) FROM s) - capped) / ((SELECT sum(w) FROM p) - gone)) AS level FROM k), t AS (SELECT source, source_size, least(cap, level * w)::DOUBLE AS target FROM p, c),
  n AS (SELECT round(sum(target) / {BLOCK_WORDS})::BIGINT AS seats FROM t),
  q AS (SELECT source, target / (2 * i + 1) AS q FROM t, n, LATERAL (SELECT unnest(range(0, seats)) AS i) u WHERE target > 0), a AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY q DESC, source NULLS FIRST) AS r FROM q), n WHERE r <= seats GROUP BY source),
  e AS (SELECT t.*, coalesce(quota, 0) AS quota, greatest(1, round(source_size / {SHARD_WORDS}))::BIGINT AS shards FROM t LEFT JOIN a ON t.source IS NOT DISTINCT FROM a.source),
- x AS (SELECT d.doc_id, d.source, size, source_size, target, quota, ('0x' || left(md5(concat_ws('|', doc_id::VARCHAR, '{SEED}')), 8))::BIGINT % shards AS shard FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
- y AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(quota) AS seats FROM x GROUP BY source, shard),
- z AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, seats, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * i + 1) DESC, shard) AS r FROM y, LATERAL (SELECT unnest(range(0, seats)) AS i) u WHERE shard_size > 0) WHERE r <= seats GROUP BY source, shard),
+ x AS (SELECT d.doc_id, h, d.source, size, source_size, target, quota, shards, ('0x' || left(md5(concat_ws('|', doc_id::VARCHAR, h, '{SEED}')), 8))::BIGINT % shards AS shard FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+ y0 AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, any_value(quota) AS quota, any_value(shard % ceil(shards / {LOT_SHARDS})::BIGINT) AS lot FROM x GROUP BY source, shard),
+ o0 AS (SELECT source, lot, sum(shard_size) AS lot_size, any_value(quota) AS quota FROM y0 GROUP BY source, lot),
+ o AS (SELECT source, lot, count(*) AS seats FROM (SELECT source, lot, quota, row_number() OVER (PARTITION BY source ORDER BY lot_size / (2 * i + 1) DESC, lot) AS r FROM o0, LATERAL (SELECT unnest(range(0, quota)) AS i) u WHERE lot_size > 0) WHERE r <= quota GROUP BY source, lot),
+ y AS (SELECT y0.source, shard, shard_size, y0.lot, coalesce(seats, 0) AS seats FROM y0 LEFT JOIN o ON y0.source IS NOT DISTINCT FROM o.source AND y0.lot = o.lot),
+ z AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, seats, row_number() OVER (PARTITION BY source, lot ORDER BY shard_size / (2 * i + 1) DESC, shard) AS r FROM y, LATERAL (SELECT unnest(range(0, seats)) AS i) u WHERE shard_size > 0) WHERE r <= seats GROUP BY source, shard),
  h AS (SELECT y.source, y.shard, shard_size, coalesce(z.quota, 0) AS quota, shard_size * {MAX_REPEATS} // {BLOCK_WORDS} AS blocks FROM y LEFT JOIN z ON y.source IS NOT DISTINCT FROM z.source AND y.shard = z.shard),
  b AS (SELECT source, shard, block FROM (SELECT source, shard, quota, block, row_number() OVER (PARTITION BY source, shard ORDER BY md5(concat_ws('|', source, shard::VARCHAR, block::VARCHAR, '{SEED}')), block) AS r FROM h, LATERAL (SELECT unnest(range(0, blocks)) AS block) u WHERE quota < blocks) WHERE r <= quota),
- f AS (SELECT *, row_number() OVER () AS id, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY md5(concat_ws('|', doc_id::VARCHAR, '{SEED + 1}')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+ f AS (SELECT *, row_number() OVER () AS id, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY md5(concat_ws('|', doc_id::VARCHAR, h, '{SEED + 1}')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
  g AS (SELECT f.id, sum(greatest(0, least(before + k * shard_size + size, (block + 1) * {BLOCK_WORDS}) - greatest(before + k * shard_size, block * {BLOCK_WORDS}))) AS taken FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source AND f.shard = h.shard JOIN b ON b.source IS NOT DISTINCT FROM f.source AND b.shard = f.shard, (SELECT unnest(range(0, {MAX_REPEATS})) AS k) r GROUP BY f.id)
  SELECT f.doc_id, f.size, f.source_size, round(f.target, 6) AS target, CASE WHEN h.quota >= h.blocks THEN CASE WHEN h.quota > 0 THEN {MAX_REPEATS} * f.size ELSE 0 END ELSE coalesce(g.taken, 0) END::BIGINT AS taken
  FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source AND f.shard = h.shard LEFT JOIN g ON f.id = g.id"""

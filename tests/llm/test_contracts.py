@@ -172,6 +172,31 @@ def test_mixed_rows_hold_the_taken_words(spark, sf, docs):
     assert got == Counter({d: n for d, n in plan.items() if n})
 
 
+def test_mix_of_a_doc_id_of_many_texts(spark):
+    """Rows that repeat a doc_id under other texts, and a null doc_id, lie in many shards and lots and get their own words."""
+    rng = random.Random(6)
+    made = [(7 if k % 3 else None, " ".join(f"w{k}x{i}" for i in range(rng.randint(0, 90))), "a" if k % 4 else None) for k in range(300)]
+    t = spark.createDataFrame(made, "doc_id long, text string, source string").withColumn("n_chars", F.char_length("text").cast("long"))
+    sized = mixing.materialize(mixing.sized_documents(t), "test-sizes")
+    got = rows(mixing.mix(sized, block_words=8, shard_words=400, lot_shards=3))
+    assert len(got) == len(made) and len({(r["source"], r["shard"]) for r in got}) > 15
+    size, taken = Counter(), Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = brute.mix_targets(size)
+    assert all(abs(taken[s] - x) <= 0.02 * x + 64 for s, x in want.items())
+    plan = {(r["doc_id"], r["text_md5"]): r["taken"] for r in rows(mixing.mix(sized, block_words=8, shard_words=400))}
+    words = Counter()
+    for r in rows(mixing.mixed_documents(t, block_words=8, shard_words=400)):
+        for w in brute.WORD.findall(r["text"]):
+            words[w.split("x")[0]] += 1
+    for k, (d, text, _) in enumerate(made):
+        if text:
+            assert words[f"w{k}"] == plan[d, hashlib.md5(text.encode()).hexdigest()]
+
+
 # ---- 4
 
 def test_chat_round_trip(spark, sf):
