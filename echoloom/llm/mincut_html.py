@@ -3,13 +3,15 @@
 A page becomes a list of text blocks with their DOM paths. A linear classifier turns each block's features into the
 cost of either label, which become the capacities to the two terminals; blocks that are adjacent in the page or share a
 near ancestor get smoothness edges. The minimum cut, found with max-flow, labels each block content or boilerplate at
-least total cost. Blocks that can never be article text (scripts, styles, forms, navigation, ...) are not nodes.
+least total cost. All text blocks are nodes and all neighbours are joined, whatever they are marked as, so a block that
+the classifier doubts follows those around it; marks (article, menus, footers, forms, ...) are features of great weight.
 
 Each page is one row of work in a Python worker; memory is bounded by one Arrow batch and its largest page.
 
 Defined results: null, empty or unreadable html gives the empty text; markup that never closes ends with the page;
-repeated pages give the same text each; a page whose every block looks like boilerplate gives the empty text. Only
-page_id, url and html are read, so further columns cannot clash.
+repeated pages give the same text each; a page whose every block looks like boilerplate gives the empty text, an empty
+table no row; a very long page is one graph of its blocks, with two or three edges each; a block that costs the same
+either way is boilerplate. Only page_id, url and html are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ BLOCKS = set(
     "tbody td tfoot th thead tr ul xmp".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style template noscript iframe object svg math canvas audio video head title textarea select button datalist noframes applet map".split())
+HIDDEN = set("script style template noscript iframe object svg canvas audio video head title textarea select button datalist noframes applet map".split())
 NEVER = set("nav footer aside form menu dialog search".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening element of the key's set closes when left open.
@@ -40,7 +42,7 @@ BAD_NAMES = set(
     "consent cookie cookies gdpr copyright disclaimer footer foot masthead topbar login signin signup register menu menus navbar nav navigation navlist "
     "newsletter subscribe subscription notice notices notification notifications alert popup modal overlay pagination pager paywall popular promo promos promotion "
     "promoted related recommended recommendations rss search searchbox share sharing sharebar shares sidebar sidebars side sidenav skip skiplink social sponsor sponsored sponsors "
-    "tagcloud tags teaser toc toolbar trending widget widgets navigation complementary contentinfo tablist outbrain taboola hidden meta byline postmeta bio".split()
+    "tagcloud tags teaser toc toolbar trending widget widgets navigation complementary contentinfo tablist outbrain taboola hidden".split()
 )
 #: Words that say what a page has rather than what an element is: `has-sidebar` marks no sidebar.
 HAVING = set("has with without no not is show js".split())
@@ -50,10 +52,13 @@ GOOD_NAMES = set("article articlebody articlecontent body content contents entry
 WEIGHTS = {"bias": -0.3, "words": 0.9, "link_share": -5.0, "sentence": 0.8, "good": 5.0, "bad": -8.0, "never": -12.0, "heading": 0.6, "list": -0.6, "header": -9.0, "copyright": -4.0, "outside": -3.5}
 #: Words inside marked content from which blocks outside it count as outside the article.
 ENOUGH_WORDS = 25
-SMOOTH_NEXT = 0.8
+SMOOTH_NEXT = 1.2
 SMOOTH_PARENT = 0.6
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|aria-label)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A tag's attributes: a quotation mark opens a value only after an equals sign, as in HTML.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?|[^>=])*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""", re.S)
+#: The slash that closes an element with its opening tag is a mark of its own, not the end of an unquoted value.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"[\s]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noframes", "xmp", "iframe", "noscript", "template")}
@@ -70,9 +75,11 @@ def _names(attributes: str) -> tuple[set[str], bool]:
     """Words of class, id and role, and whether the element is hidden."""
     found, hidden = set(), False
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
+        if key == "role":
+            found.add("role=" + value.strip())
         if key in ("class", "id", "role"):
             for name in value.split():
                 parts = [p for p in _SPLIT_NAME.split(name) if p]
@@ -143,18 +150,18 @@ def blocks(html: str) -> list[Block]:
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table"):
                         break
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
-            continue
         if tag in _RAW_END:
             e = _RAW_END[tag].search(html, at)
             at = e.end() if e else n
             continue
+        if tag in VOID or tag not in BLOCKS and _CLOSED.search(m[3]):
+            continue
         up = stack[-1]
         names, hidden = _names(m[3]) if m[3] else ((), False)
         number += 1
         # the innermost mark counts: a bad part stays bad whatever it holds, but for the page's main element
         good, bad = up[3], up[4]
-        if tag == "main" or names and "main" in names and "role" in m[3].lower():
+        if tag == "main" or "role=main" in names:
             good, bad = 1, 0
         elif names and tag not in ("body", "html", "article") and not names.isdisjoint(BAD_NAMES):
             good, bad = 0, 1
@@ -249,30 +256,26 @@ def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> l
 
 def label(found: list[Block]) -> list[bool]:
     """Content or not, for each block, by the minimum cut of costs and smoothness."""
-    nodes = [i for i, b in enumerate(found) if not b.never]
-    marked = sum(b.text.count(" ") + 1 for b in found if b.good and not b.bad and not b.never) >= ENOUGH_WORDS
-    terminal = [cost(found[i]) + WEIGHTS["outside"] * (marked and not found[i].good) for i in nodes]
+    terminal = costs(found)
     edges = []
     last: dict[int, int] = {}
-    for k, i in enumerate(nodes):
-        b = found[i]
+    for k, b in enumerate(found):
         if k:
-            a = found[nodes[k - 1]]
-            if (a.bad > 0) == (b.bad > 0) and (a.good > 0) == (b.good > 0) and a.header == b.header:
-                shared = sum(x == y for x, y in zip(a.path, b.path, strict=False))
-                edges.append((k - 1, k, SMOOTH_NEXT * shared / max(len(a.path), len(b.path))))
+            a = found[k - 1]
+            shared = sum(x == y for x, y in zip(a.path, b.path, strict=False))
+            edges.append((k - 1, k, SMOOTH_NEXT * shared / max(len(a.path), len(b.path))))
         # DOM proximity: the block before under the same parent or grandparent
         for up in b.path[-3:-1]:
             if up in last and last[up] != k - 1:
-                a = found[nodes[last[up]]]
-                if (a.bad > 0) == (b.bad > 0):
-                    edges.append((last[up], k, SMOOTH_PARENT / 2))
+                edges.append((last[up], k, SMOOTH_PARENT / 2))
             last[up] = k
-    side = minimum_cut(terminal, edges)
-    out = [False] * len(found)
-    for k, i in enumerate(nodes):
-        out[i] = side[k]
-    return out
+    return minimum_cut(terminal, edges)
+
+
+def costs(found: list[Block]) -> list[float]:
+    """Terminal capacities: the classifier's logits, less for blocks outside a marked article of some length."""
+    marked = sum(b.text.count(" ") + 1 for b in found if b.good and not b.bad and not b.never) >= ENOUGH_WORDS
+    return [cost(b) + WEIGHTS["outside"] * (marked and not b.good) for b in found]
 
 
 def main_text(html: str | None) -> str:

@@ -74,6 +74,50 @@ def test_html_of_common_page_shapes(html, want):
     assert mincut_html.main_text(html).split("\n") == want
 
 
+@pytest.mark.parametrize("inner,want", [
+    ('<p>{P} <a href="/hidden-gems">the linked words</a></p>', "{P} the linked words"),
+    ('<p title="the hidden truth">{P}</p>', "{P}"),
+    ('<p data-hidden="false">{P}</p>', "{P}"),
+    ('<p data-id="comments">{P}</p>', "{P}"),
+    ("<p title=it's>{P}</p>", "{P}"),
+    ("<script src=/x/>var leaked = 1;</script><p>{P}</p>", "{P}"),
+    ("<p>{P} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "{P} x=2 holds."),
+    ('<p class="meta">{P}</p>', "{P}"),
+    ('<p alt="a > b" class=x>{P}</p>', "{P}"),
+    ("<p class='a&#32;b' \"odd>{P}</p>", "{P}"),
+    ("<p>{P}<br/>after<img src=a/>it<span class=k/>and on.</p>", "{P} afteritand on."),
+    ("<p>{P}</p><div hidden>secret words</div><div style='Display: NONE'>more</div><div aria-hidden=true>and more</div>", "{P}"),
+])
+def test_html_attributes_are_read_as_html_reads_them(inner, want):
+    page = f"<body><nav><a>Home</a></nav><article><h1>Head</h1>{inner.replace('{P}', P)}<p>{P}</p></article><footer>End</footer></body>"
+    assert mincut_html.main_text(page) == f"Head\n{want.replace('{P}', P)}\n{P}"
+
+
+def test_the_cut_overrules_the_classifier():
+    """A line of links between paragraphs of an unmarked page: doubtful alone, content among its neighbours."""
+    doubtful = '<p><a href="x">Thaner reon</a> ing haer dor ea th</p>'
+    page = f"<body><div><p>{P}</p><p>{P}</p>{doubtful}<p>{P}</p><p>{P}</p></div></body>"
+    found = mincut_html.blocks(page)
+    alone = [c > 0 for c in mincut_html.costs(found)]
+    assert alone == [True, True, False, True, True] and mincut_html.label(found) == [True] * 5
+    assert mincut_html.main_text(f"<body><div>{doubtful}</div></body>") == ""
+    # and a sentence among menu lines goes with them
+    menu = "".join(f'<li><a href="{k}">Thaner reon</a></li>' for k in range(6))
+    lines = mincut_html.blocks(f"<body><ul>{menu}<li>Haer ing re.</li>{menu}</ul></body>")
+    assert mincut_html.label(lines) == [False] * 13
+
+
+def test_pages_of_odd_input(spark):
+    huge = "<article>" + f"<p>{P}</p>" * 4000 + "</article>"
+    made = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", huge), (5, "u", PAGE), (5, "u", PAGE), (None, "u", "<p>" + P), (6, "u", "<div>" * 3000 + P), (7, "u", "<a " + "=\"" * 5000)]
+    t = spark.createDataFrame(made, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit("clash")})
+    got = rows(mincut_html.extract(t))
+    assert len(got) == len(made) and all(r["n_chars"] == len(r["text"]) for r in got)
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text[1] == text[2] == text[7] == "" and text[4] == "\n".join([P] * 4000) and text[None] == text[6] == P
+    assert len({r["text"] for r in got if r["page_id"] == 5}) == 1
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(3)
     for _ in range(40):
