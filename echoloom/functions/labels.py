@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Spellings of the two classes.
-POSITIVE = ("1", "1.0", "pos", "positive", "broken_wire", "brokenwire", "bk", "defect", "fault", "true", "yes")
-NEGATIVE = ("0", "0.0", "neg", "negative", "noise", "normal", "flow_noise", "flow", "false", "no")
+POSITIVE = ("1", "pos", "positive", "broken_wire", "brokenwire", "bk", "defect", "fault", "断丝")
+NEGATIVE = ("0", "neg", "negative", "noise", "normal", "flow_noise", "流噪声")
 #: Time formats in order of trial.
 TIME_FORMATS = ("yyyyMMdd'T'HHmmss.SSSSSS", "yyyyMMdd'T'HHmmss.SSS", "yyyyMMdd'T'HHmmss", "yyyyMMddHHmmss.SSSSSS", "yyyyMMddHHmmss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss")
 
@@ -20,8 +20,9 @@ def type_code(text: Column) -> Column:
 
 
 def normalize_label(c: Column) -> Column:
-    """0 or 1; anything else that isn't a number raises."""
+    """0 or 1, of a boolean, a number (cut to a whole one) or one of the spellings; anything else raises."""
     t = F.lower(F.trim(c.cast("string")))
+    t = F.when(F.typeof(c) == "boolean", F.when(t == "true", "1").otherwise("0")).otherwise(t)
     n = t.try_cast("double").cast("int")
     return F.when(t.isin(*POSITIVE), 1).when(t.isin(*NEGATIVE), 0).when(n.isNotNull(), n).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(t, F.lit("null")))).cast("int"))
 
@@ -30,14 +31,14 @@ def base_domain(path: Column) -> Column:
     """File stem without split suffix and set prefix, in capitals."""
     stem = F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"\.[^.]*$", "")
     stem = F.regexp_replace(stem, r"(?i)_(train|test|tr|te)$", "")
-    return F.upper(F.regexp_replace(stem, r"(?i)^[a-z]+14[_-]", ""))
+    return F.upper(F.regexp_replace(F.regexp_replace(stem, "(?i)^BK14_", ""), "(?i)^BK14-", ""))
 
 
 def infer_split(explicit: Column, folder: Column) -> Column:
     """train or test from the column, else from the folder's suffix, else unknown."""
-    e, f = F.lower(F.trim(explicit)), F.lower(folder)
+    e, f = F.lower(F.trim(explicit)), F.lower(F.trim(folder))
     return (
-        F.when(e.isin("train", "tr"), "train").when(e.isin("test", "te"), "test")
+        F.when(e.isin("train", "tr", "training"), "train").when(e.isin("test", "te", "testing"), "test")
         .when(f.rlike("_(tr|train)$"), "train").when(f.rlike("_(te|test)$"), "test").otherwise("unknown")
     )
 

@@ -7,54 +7,44 @@ import math
 import numpy as np
 
 
-def cross_correlation(sig: np.ndarray, ref: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lags, correlation): phase transform, plain, or normalised by both norms."""
-    n = len(sig) + len(ref)
-    cross = np.fft.rfft(sig, n) * np.conj(np.fft.rfft(ref, n))
+def correlations(data: np.ndarray, reference: int, method: str) -> tuple[np.ndarray, np.ndarray]:
+    """(lags, correlations): a column a channel, all against the reference channel by one transform; phase transform
+    (gcc_phat), plain (fft_xcorr) or normalised by both norms (ncc)."""
+    m = len(data)
+    spectrum = np.fft.rfft(data, 2 * m, axis=0)
+    cross = spectrum * np.conj(spectrum[:, [reference]])
     if method == "gcc_phat":
-        full = np.fft.irfft(cross / np.maximum(np.abs(cross), 1e-12), n)
-        lags = np.arange(-(n // 2), n - n // 2)
+        lags, scale = np.arange(-m, m), np.ones(data.shape[1])
+        cross /= np.maximum(np.abs(cross), 1e-12)
     elif method in ("fft_xcorr", "ncc"):
-        full = np.fft.irfft(cross, n)
-        lags = np.arange(-(len(ref) - 1), len(sig))
-        if method == "ncc":
-            full = full / (np.linalg.norm(sig) * np.linalg.norm(ref) + 1e-12)
+        norms = np.linalg.norm(data, axis=0)
+        lags, scale = np.arange(1 - m, m), norms * norms[reference] + 1e-12 if method == "ncc" else np.ones(data.shape[1])
     else:
         raise ValueError(f"unknown method: {method}")
-    return lags, full[lags % n]
+    return lags, np.fft.irfft(cross, 2 * m, axis=0)[lags % (2 * m)] / scale
 
 
-def peak_to_sidelobe(c: np.ndarray, at: int, guard: int = 3) -> float:
-    side = np.concatenate([c[: max(0, at - guard)], c[at + guard + 1 :]])
-    return float((c[at] + 1e-12) / (side.mean() + 1e-12)) if len(side) else 0.0
-
-
-def estimate_delays(data: np.ndarray, rate: float, reference: int, method: str = "gcc_phat", max_tau: float | None = None, least_psr: float = 6.0) -> dict[str, np.ndarray]:
+def estimate_delays(data: np.ndarray, rate: float, reference: int, method: str = "gcc_phat", max_tau: float | None = None, least_psr: float = 6.0, guard: int = 3) -> dict[str, np.ndarray]:
     """Delay, peak and peak-to-sidelobe ratio of every channel (column) against the reference channel.
 
-    The peak of the magnitude within the physical lags, refined by the parabola through its neighbours.
+    Each column's greatest magnitude within the physical lags, moved to the top of the parabola through its neighbours;
+    sidelobes are the lags more than `guard` away from it.
     """
-    out = {k: [] for k in ("delay", "psr", "peak")}
-    for c in range(data.shape[1]):
-        lags, corr = cross_correlation(data[:, c], data[:, reference], method)
-        if max_tau is not None:
-            keep = np.abs(lags) <= int(max_tau * rate)
-            lags, corr = lags[keep], corr[keep]
-        size = np.abs(corr)
-        k = int(np.argmax(size))
-        shift = 0.0
-        if 0 < k < len(size) - 1:
-            a, b, d = size[k - 1 : k + 2]
-            bend = a - 2 * b + d
-            shift = 0.5 * (a - d) / bend if abs(bend) > 1e-12 else 0.0
-        out["delay"].append((lags[k] + shift) / rate)
-        out["psr"].append(peak_to_sidelobe(size, k))
-        out["peak"].append(float(size[k]))
-    got = {k: np.array(v) for k, v in out.items()}
-    got["delay"][reference] = 0.0
-    got["valid"] = got["psr"] >= least_psr
-    got["valid"][reference] = True
-    return got
+    lags, found = correlations(data, reference, method)
+    physical = slice(None) if max_tau is None else np.abs(lags) <= int(max_tau * rate)
+    lags, size = lags[physical], np.abs(found[physical])
+    top = size.argmax(axis=0)
+    columns = np.arange(size.shape[1])
+    peak = size[top, columns]
+    before, after = size[np.maximum(top - 1, 0), columns], size[np.minimum(top + 1, len(size) - 1), columns]
+    bend = before - 2 * peak + after
+    curved = (top > 0) & (top < len(size) - 1) & (np.abs(bend) > 1e-12)
+    shift = np.where(curved, 0.5 * (before - after) / np.where(curved, bend, 1.0), 0.0)
+    aside = np.abs(np.arange(len(size))[:, None] - top) > guard
+    count = aside.sum(axis=0)
+    psr = np.where(count > 0, (peak + 1e-12) / ((size * aside).sum(axis=0) / np.maximum(count, 1) + 1e-12), 0.0)
+    own = columns == reference
+    return {"delay": np.where(own, 0.0, (lags[top] + shift) / rate), "psr": psr, "peak": peak, "valid": own | (psr >= least_psr)}
 
 
 def snr_proxy(data: np.ndarray) -> np.ndarray:
@@ -89,6 +79,16 @@ def _weights(r: np.ndarray, loss: str) -> np.ndarray:
     raise ValueError(f"unknown loss: {loss}")
 
 
+def _losses(r: np.ndarray, loss: str) -> float:
+    """The loss whose derivatives _weights() gives."""
+    s = r * r
+    if loss == "linear":
+        return float(s.sum())
+    if loss == "huber":
+        return float(np.where(s <= 1, s, 2 * np.sqrt(s) - 1).sum())
+    return float((2 * np.sqrt(1 + s) - 2).sum() if loss == "soft_l1" else np.log1p(s).sum())
+
+
 def fit_hyperbola(x, t, xr, v, xb, zb, loss: str = "linear", start: tuple[float, float] | None = None, steps: int = 100) -> dict:
     """Bounded damped least squares of (xs, z) from the best grid point; bounds hold by clipping each step."""
     p = np.array(start or coarse_start(x, t, xr, v, xb, zb))
@@ -96,7 +96,7 @@ def fit_hyperbola(x, t, xr, v, xb, zb, loss: str = "linear", start: tuple[float,
 
     def cost(q):
         r = hyperbola(x, q[0], q[1], v, xr) - t
-        return r, float((_weights(r, loss) * r * r).sum())
+        return r, _losses(r, loss)
 
     r, now = cost(p)
     damp, done = 1e-3, False
@@ -125,22 +125,47 @@ def fit_hyperbola(x, t, xr, v, xb, zb, loss: str = "linear", start: tuple[float,
     return {"model": "hyperbola", "xs": float(p[0]), "z": float(p[1]), "rmse": float(np.sqrt(((pred - t) ** 2).mean())), "success": done, "loss": loss}
 
 
-def fit_ransac(x, t, xr, v, xb, zb, rounds: int = 200, limit: float = 8e-4, loss: str = "linear", seed: int = 20260518) -> dict:
-    """Samples of four channels vote; the largest agreeing set is fitted."""
-    if len(x) < 4:
-        return fit_hyperbola(x, t, xr, v, xb, zb, loss) | {"used_ransac": False, "inliers": len(x)}
-    rng, best = np.random.default_rng(seed), np.zeros(len(x), bool)
-    for _ in range(rounds):
-        some = np.sort(rng.choice(len(x), 4, replace=False))
-        f = fit_hyperbola(x[some], t[some], xr, v, xb, zb, start=coarse_start(x[some], t[some], xr, v, xb, zb, 24, 16), steps=30)
-        agree = np.abs(hyperbola(x, f["xs"], f["z"], v, xr) - t) <= limit
-        if agree.sum() > best.sum():
-            best = agree
-            if best.all():
-                break
-    if best.sum() < 4:
-        return fit_hyperbola(x, t, xr, v, xb, zb, loss) | {"used_ransac": False, "inliers": len(x)}
-    return fit_hyperbola(x[best], t[best], xr, v, xb, zb, loss) | {"used_ransac": True, "inliers": int(best.sum())}
+def consensus(x, t, xr, v, xb, zb, rounds: int, limit: float, seed: int, grid: tuple[int, int] = (120, 80), steps: int = 20) -> np.ndarray:
+    """The channels that agree, within `limit`, with the source that most channels agree with, among the sources of
+    `rounds` random samples of four channels. All samples go through the grid and the damped steps together."""
+    picks = np.argsort(np.random.default_rng(seed).random((rounds, len(x))), axis=1)[:, :4]
+    gx, gz = (g.ravel() for g in np.meshgrid(np.linspace(*xb, grid[0]), np.linspace(*zb, grid[1]), indexing="ij"))
+    off = ((np.hypot(x - gx[:, None], gz[:, None]) - np.hypot(xr - gx, gz)[:, None]) / v - t) ** 2
+    start = np.array([off[:, pick].sum(axis=1).argmin() for pick in picks])
+    place = np.column_stack([gx[start], gz[start]])
+    low, high = np.array([xb[0], zb[0]]), np.array([xb[1], zb[1]])
+    px, pt = x[picks], t[picks]
+
+    def misfit(at: np.ndarray, cx: np.ndarray, ct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Residuals of every sample's source at its channels, and the distances to the channels and to the reference."""
+        far, near = np.hypot(cx - at[:, :1], at[:, 1:]), np.hypot(xr - at[:, :1], at[:, 1:])
+        return (far - near) / v - ct, np.maximum(far, 1e-12), np.maximum(near, 1e-12)
+
+    damp = np.full(rounds, 1e-3)
+    for _ in range(steps):
+        r, far, near = misfit(place, px, pt)
+        slope = np.stack([(place[:, :1] - px) / far - (place[:, :1] - xr) / near, place[:, 1:] / far - place[:, 1:] / near], axis=2) / v
+        normal = np.einsum("rci,rcj->rij", slope, slope)
+        diagonal = np.maximum(np.einsum("rii->ri", normal), 1e-30)
+        normal = normal + np.einsum("ri,ij->rij", (damp[:, None] + 1e-9) * diagonal, np.eye(2))
+        move = np.linalg.solve(normal, -np.einsum("rci,rc->ri", slope, r)[..., None])[..., 0]
+        tried = np.clip(place + move, low, high)
+        better = (misfit(tried, px, pt)[0] ** 2).sum(axis=1) <= (r**2).sum(axis=1)
+        place = np.where(better[:, None], tried, place)
+        damp = np.where(better, np.maximum(damp / 5, 1e-12), damp * 5)
+    r = np.abs(misfit(place, x[None, :], t[None, :])[0])
+    agree = r <= limit
+    # among equal votes, the smaller misfit of those who agree
+    best = np.lexsort(((r * agree).sum(axis=1), -agree.sum(axis=1)))[0]
+    return agree[best]
+
+
+def fit_consensus(x, t, xr, v, xb, zb, rounds: int = 200, limit: float = 8e-4, loss: str = "linear", seed: int = 97) -> dict:
+    """The hyperbola through the channels that agree; through all of them where fewer than four do."""
+    agree = consensus(x, t, xr, v, xb, zb, rounds, limit, seed) if len(x) >= 4 else np.zeros(len(x), bool)
+    enough = int(agree.sum()) >= 4
+    used = agree if enough else np.ones(len(x), bool)
+    return {**fit_hyperbola(x[used], t[used], xr, v, xb, zb, loss), "used_ransac": enough, "inliers": int(used.sum())}
 
 
 def fit_parabola(x: np.ndarray, t: np.ndarray) -> dict:

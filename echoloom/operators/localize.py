@@ -27,7 +27,7 @@ class LocateConfig:
     x_bounds: tuple[float, float] | None = None
     z_bounds: tuple[float, float] = (0.1, 50.0)
     use_ransac: bool = True
-    ransac_rounds: int = 60
+    ransac_rounds: int = 200
     ransac_limit: float = 8e-4
     loss: str = "linear"
     model: str = "hyperbola"
@@ -72,7 +72,7 @@ def locate(data: np.ndarray, rate: float, c: LocateConfig) -> dict:
         a, b, _ = f["coef"]
         f |= {"xs": float(-b / (2 * a)) if abs(a) > 1e-15 else None, "z": None}
     elif c.use_ransac:
-        f = A.fit_ransac(px, pt, at[ref], c.velocity, xb, c.z_bounds, c.ransac_rounds, c.ransac_limit, c.loss)
+        f = A.fit_consensus(px, pt, at[ref], c.velocity, xb, c.z_bounds, c.ransac_rounds, c.ransac_limit, c.loss)
     else:
         f = A.fit_hyperbola(px, pt, at[ref], c.velocity, xb, c.z_bounds, c.loss)
     others = np.arange(n) != ref

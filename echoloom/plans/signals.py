@@ -121,7 +121,7 @@ def _array_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gcc_phat_locations(spark, sf_dir):
     """#169-#174: delays by phase transform, hyperbola by consensus, status."""
-    c = LO.LocateConfig(spacing=1.0, velocity=1500.0, max_tau=0.02, least_psr=3.0, z_bounds=(0.5, 20.0), ransac_rounds=20)
+    c = LO.LocateConfig(spacing=1.0, velocity=1500.0, max_tau=0.02, least_psr=3.0, z_bounds=(0.5, 20.0))
     return LO.locate_windows(_array_frames(spark, sf_dir), "window", "frame", "channels", 4000.0, c)
 
 

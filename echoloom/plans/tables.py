@@ -42,26 +42,27 @@ def type_code(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_type").distinct().select("p_type", L.type_code(F.col("p_type")).alias("type_code"))
 
 
-@query("""SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 0 ELSE 3 END AS label FROM supplier""")
+@query("""SELECT s_suppkey, CASE s_suppkey % 9 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN 0 WHEN 6 THEN 3 WHEN 7 THEN 1 ELSE 0 END AS label FROM supplier""")
 def label_normalise(spark, sf_dir):
     """#44, #49: spellings of both classes, and a number as it is."""
-    raw = F.element_at(F.array(*[F.lit(x) for x in (" Positive", "NOISE", "bk", "flow_noise ", "1", "0", "3.7")]), (F.col("s_suppkey") % 7 + 1).cast("int"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in (" Positive", "NOISE", "bk", "flow_noise ", "1", "0", "3.7", "断丝", "流噪声")]), (F.col("s_suppkey") % 9 + 1).cast("int"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", L.normalize_label(raw).alias("label"))
 
 
-@query(r"""WITH n AS (SELECT n_nationkey, '/data/' || lower(n_name) || '/BK14_' || n_name || CASE n_nationkey % 3 WHEN 0 THEN '_tr' WHEN 1 THEN '_test' ELSE '' END || '.csv' AS path FROM nation)
- SELECT n_nationkey, upper(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', ''), '(?i)_(train|test|tr|te)$', ''), '(?i)^[a-z]+14[_-]', '')) AS domain FROM n""")
+@query(r"""WITH n AS (SELECT n_nationkey, '/data/' || lower(n_name) || CASE n_nationkey % 4 WHEN 0 THEN '/BK14_' WHEN 1 THEN '/bk14-' WHEN 2 THEN '/FL14_' ELSE '/BK14_BK14-' END || n_name || CASE n_nationkey % 3 WHEN 0 THEN '_tr' WHEN 1 THEN '_test' ELSE '' END || '.csv' AS path FROM nation)
+ SELECT n_nationkey, upper(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', ''), '(?i)_(train|test|tr|te)$', ''), '(?i)^(BK14_)?(BK14-)?', '')) AS domain FROM n""")
 def path_domain_token(spark, sf_dir):
-    """#45."""
-    path = F.concat(F.lit("/data/"), F.lower("n_name"), F.lit("/BK14_"), F.col("n_name"), F.when(F.col("n_nationkey") % 3 == 0, "_tr").when(F.col("n_nationkey") % 3 == 1, "_test").otherwise(""), F.lit(".csv"))
+    """#45: one set's prefix goes, in either spelling, other sets keep theirs."""
+    prefix = F.element_at(F.array(*[F.lit(x) for x in ("/BK14_", "/bk14-", "/FL14_", "/BK14_BK14-")]), F.col("n_nationkey") % 4 + 1)
+    path = F.concat(F.lit("/data/"), F.lower("n_name"), prefix, F.col("n_name"), F.when(F.col("n_nationkey") % 3 == 0, "_tr").when(F.col("n_nationkey") % 3 == 1, "_test").otherwise(""), F.lit(".csv"))
     return table(spark, sf_dir, "nation").select("n_nationkey", L.base_domain(path).alias("domain"))
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'train' ELSE 'unknown' END AS split FROM nation""")
+@query("""SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'train' WHEN 3 THEN 'train' WHEN 4 THEN 'test' ELSE 'unknown' END AS split FROM nation""")
 def split_infer(spark, sf_dir):
     """#46."""
-    k = F.col("n_nationkey") % 4
-    return table(spark, sf_dir, "nation").select("n_nationkey", L.infer_split(F.when(k == 0, "Train"), F.when(k == 1, "x_te").when(k == 2, "y_train").otherwise("z")).alias("split"))
+    k = F.col("n_nationkey") % 6
+    return table(spark, sf_dir, "nation").select("n_nationkey", L.infer_split(F.when(k == 0, "Train").when(k == 3, " training").when(k == 4, "TESTING"), F.when(k == 1, "x_te").when(k == 2, "y_train").otherwise("z")).alias("split"))
 
 
 @query("""WITH l AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'BK00' WHEN 1 THEN 'BK05' WHEN 2 THEN 'FL00' WHEN 3 THEN 'FL05' WHEN 4 THEN 'QJ00' ELSE 'zz' END AS label FROM part)

@@ -178,7 +178,7 @@ def test_locations_from_exact_delays_and_outliers():
     f = arrays.fit_hyperbola(x, t, x[5], 1500.0, (0, 100), (0.5, 40))
     assert abs(f["xs"] - 37) < 1e-3 and abs(f["z"] - 8) < 1e-3
     bad = t + np.where(np.arange(21) % 7 == 3, 0.01, 0)
-    f = arrays.fit_ransac(x, bad, x[5], 1500.0, (0, 100), (0.5, 40), rounds=40)
+    f = arrays.fit_consensus(x, bad, x[5], 1500.0, (0, 100), (0.5, 40), rounds=40)
     assert f["used_ransac"] and f["inliers"] == 18 and abs(f["xs"] - 37) < 0.1
 
 
