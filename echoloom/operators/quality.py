@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +40,17 @@ def quantiles_from(shares: tuple[float, ...], weight: str = "n", value: str = "v
     return {f"q{k}_{e}": order_statistic(value, weight, f(last * F.lit(s))) for k, s in enumerate(shares) for e, f in (("lo", F.floor), ("hi", F.ceil))}
 
 
+def interpolated(k: int, share: float, count: str = "_n") -> Column:
+    """The share's quantile between its neighbours q<k>_lo and q<k>_hi of quantiles_from()."""
+    h = (F.col(count) - 1) * F.lit(share)
+    return F.col(f"q{k}_lo") + (F.col(f"q{k}_hi") - F.col(f"q{k}_lo")) * (h - F.floor(h))
+
+
+def folded(long: DataFrame) -> DataFrame:
+    """feature, value, n of the values that are there."""
+    return long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def feature_quality(long: DataFrame) -> DataFrame:
     """Missing rate, distinct values, mean, population deviation, median, quartile range, range and the rate beyond
     three quartile ranges.
@@ -49,7 +60,7 @@ def feature_quality(long: DataFrame) -> DataFrame:
     """
     shares = (0.25, 0.5, 0.75)
     missing = long.groupBy("feature").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"))
-    v = materialize(long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), "quality-values")
+    v = materialize(folded(long), "quality-values")
     x = F.col("value")
     r = running(v, ["feature"], "value", ["n"], {"_mean": F.sum(F.col("n") * x) / F.sum("n")})
     s = r.groupBy("feature").agg(
@@ -57,8 +68,7 @@ def feature_quality(long: DataFrame) -> DataFrame:
         F.first("low").alias("min"), F.first("high").alias("max"), F.first("all_n").alias("_n"), *[e.alias(c) for c, e in quantiles_from(shares).items()],
     )
     for k, share in enumerate(shares):
-        h = (F.col("_n") - 1) * F.lit(share)
-        s = s.withColumn(f"_q{k}", F.col(f"q{k}_lo") + (F.col(f"q{k}_hi") - F.col(f"q{k}_lo")) * (h - F.floor(h)))
+        s = s.withColumn(f"_q{k}", interpolated(k, share))
     s = materialize(s.select("feature", "n_unique", "mean", "std", F.col("_q1").alias("median"), "_q0", "_q2", (F.col("_q2") - F.col("_q0")).alias("iqr"), "min", "max", "_n"), "quality-features")
     far = (x < F.col("_q0") - 3 * F.col("iqr")) | (x > F.col("_q2") + 3 * F.col("iqr"))
     rates = v.join(s.select("feature", "_q0", "_q2", "iqr"), "feature").groupBy("feature").agg((F.sum(F.when(far, F.col("n")).otherwise(0)) / F.sum("n")).alias("outlier_rate"))
@@ -75,15 +85,24 @@ def validate_features(long_raw: DataFrame) -> DataFrame:
 
 
 def describe(long: DataFrame, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    q = F.percentile("value", F.array(*map(F.lit, shares))).alias("_q")
-    t = long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q, F.max("value").alias("max"))
-    return t.select("feature", "count", "mean", "std", "min", *[F.col("_q")[k].alias(f"p{int(s * 100)}") for k, s in enumerate(shares)], "max")
+    """Count, mean, sample deviation, extremes and exact interpolated quantiles from folded values; a feature without values
+    keeps its row with count 0."""
+    x, n = F.col("value"), F.col("n")
+    r = running(folded(long), ["feature"], "value", ["n"], {"_mean": F.sum(n * x) / F.sum("n")})
+    s = r.groupBy("feature").agg(
+        F.first("all_n").alias("_n"), F.first("_mean").alias("mean"), F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean"))).alias("_ss"),
+        F.first("low").alias("min"), F.first("high").alias("max"), *[e.alias(c) for c, e in quantiles_from(shares).items()],
+    )
+    s = s.select("feature", "mean", F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - 1))).alias("std"), "min", *[interpolated(k, q).alias(f"p{int(q * 100)}") for k, q in enumerate(shares)], "max")
+    return long.groupBy("feature").agg(F.count("value").alias("count")).join(s, "feature", "left")
 
 
 def median_impute(df: DataFrame, features: list[str]) -> DataFrame:
-    """Exact column medians in one aggregation; an all-missing column becomes 0."""
-    row = df.agg(*[F.percentile(clean(F.col(c)), F.lit(0.5)).alias(c) for c in features]).first()
-    return df.withColumns({c: F.coalesce(clean(F.col(c)), F.lit(float(row[c]) if row[c] is not None else 0.0)) for c in features})
+    """Exact column medians of all features from running sums over folded values; an all-missing column becomes 0."""
+    r = running(folded(long_features(df, [], features)), ["feature"], "value", ["n"])
+    s = r.groupBy("feature").agg(F.first("all_n").alias("_n"), *[e.alias(c) for c, e in quantiles_from((0.5,)).items()])
+    medians = {m["feature"]: float(m["median"]) for m in s.select("feature", interpolated(0, 0.5).alias("median")).collect()}  # a row per feature
+    return df.withColumns({c: F.coalesce(clean(F.col(c)), F.lit(medians.get(c, 0.0))) for c in features})
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

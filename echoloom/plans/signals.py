@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from .. import features_engine as E
 from ..kernels import features as K
-from ..kernels import spectra
+from ..kernels import filters, spectra
 from ..ml import models as ML
 from ..ml import subset as SB
 from ..operators import localize as LO
 from ..operators import mixtures as MX
 from ..operators import records as R
 from ..operators import splits as SP
-from ..session import shared_dir
+from ..session import new_path, shared_dir
+from ..sources import decode as DC
+from ..sources import files as SF
 from ..streaming import windows as ST
 from .stats import FEATURES
 from .tables import table
@@ -181,6 +183,28 @@ def rfecv(spark, sf_dir):
     return spark.createDataFrame([(r["n"], ";".join(r["features"]), r["f1"], r["dropped"]) for r in rows], "n int, features string, f1 double, dropped string")
 
 
+@query()
+def classification_tests(spark, sf_dir):
+    """#164: comparisons of classes made of line status and label, by a fixed order of features."""
+    t = _labelled(spark, sf_dir).withColumns({"cls": F.concat("l_linestatus", F.col("label").cast("string")), "k": F.xxhash64("l_orderkey", *FEATURES)}).drop("label")
+    tests = {"F1_vs_F0": (("F1",), ("F0",)), "1_vs_0": (("F1", "O1"), ("F0", "O0"))}
+    order = dict.fromkeys(tests, ["l_quantity", "l_discount", "l_tax"])
+    return ML.classification_tests(t, tests, order, "cls", "l_orderkey", "k", (3,))[0]
+
+
+@query()
+def importance_rankings(spark, sf_dir):
+    """#160."""
+    return ML.importance(_labelled(spark, sf_dir), FEATURES, 20, 3)
+
+
+@query()
+def multi_model_metrics(spark, sf_dir):
+    """#168: metrics of three models at their own thresholds, with the area under the precision-recall curve."""
+    pool = [c for c in ML.candidates(len(FEATURES), 10) if c.name in ("lr_c1", "svm_linear", "rf")]
+    return ML.multi_model(_labelled(spark, sf_dir), FEATURES, "l_orderkey", 2, pool)["metrics"]
+
+
 @query()
 def pca2(spark, sf_dir):
     """#165."""
@@ -200,6 +224,45 @@ def subset_search(spark, sf_dir):
     return prefixes.union(spark.createDataFrame(more, "name string, features array<string>, auc double, separation double"))
 
 
+@query("SELECT s_suppkey, 'rec-FIP-64K-' || s_suppkey || '.npz' AS file_name, 16::BIGINT AS npts, 64000.0::DOUBLE AS sample_rate, 'BK00' AS type, round(120 * 0.5 + 16 * (s_suppkey % 7), 6)::DOUBLE AS total, 0::BIGINT AS n_failed FROM supplier")
+def npz_round_trip(spark, sf_dir):
+    """#1, #4, #6, #10, #17, #27, #28: records written as containers to the shared folder, found and decoded again."""
+    k = F.col("s_suppkey")
+    wave = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: i * 0.5 + k % 7)
+    t = table(spark, sf_dir, "supplier").select(F.concat(F.lit("rec-FIP-64K-"), k.cast("string"), F.lit(".npz")).alias("file_name"), wave.alias("signal"), F.lit(RATE).alias("sample_rate"), F.lit("20260101T000000.000").alias("starttime"), F.lit("BK00").alias("type"))
+    folder = new_path(spark, "npz")
+    DC.write_npz(t, f"{folder}/BK00").count()
+    found = DC.decode(SF.with_names(SF.discover(spark, folder))).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    total = F.round(F.aggregate("signal", F.lit(0.0), lambda s, x: s + x), 6)
+    return found.select(
+        F.regexp_extract("file_name", r"-(\d+)\.npz$", 1).cast(dict(table(spark, sf_dir, "supplier").dtypes)["s_suppkey"]).alias("s_suppkey"), "file_name", F.size("signal").cast("long").alias("npts"),
+        "sample_rate", "type", total.alias("total"), (F.col("status") == "failed").cast("long").alias("n_failed"),
+    )
+
+
+@query("SELECT vec_id, true AS round_trip, true AS rows_apart, true AS fast_is_scaled FROM embeddings")
+def signal_invariants(spark, sf_dir):
+    """#59, #70-#72 on every record: the transform and back within 1e-10, band filters that don't mix rows, and the unscaled
+    fast power against its definition."""
+
+    def run(frames):
+        for f in frames:
+            x = np.stack(f["signal"].map(np.asarray).to_list()).astype(float)
+            _, _, z = spectra.stft(x, RATE, 1.0, 0.75)
+            back = np.abs(spectra.istft(z, RATE, 1.0, 0.75, x.shape[1]) - x).max(axis=1)
+            wide, alone = filters.band_filter(x, RATE, (1_000.0, 10_000.0)), [filters.band_filter(r, RATE, (1_000.0, 10_000.0)) for r in x]
+            _, _, power = spectra.fast_power(x, RATE, 1.0, 0.75)
+            size = spectra.frame_sizes(RATE, 1.0, 0.75, None)[0]
+            middle = np.abs(np.fft.rfft(x[:, :size] * np.hanning(size), n=2 * (power.shape[1] - 1), axis=1)) ** 2
+            hop = spectra.frame_sizes(RATE, 1.0, 0.75, None)[1]
+            yield pd.DataFrame({
+                "vec_id": f["vec_id"], "round_trip": back < 1e-10,
+                "rows_apart": np.abs(wide - np.stack(alone)).max(axis=1) < 1e-10, "fast_is_scaled": np.isclose(power[:, :, size // 2 // hop], middle, rtol=1e-9, atol=1e-12).all(axis=1),
+            })
+
+    return tiled(spark, sf_dir).select("vec_id", "signal").mapInPandas(run, "vec_id long, round_trip boolean, rows_apart boolean, fast_is_scaled boolean")
+
+
 _STREAM_SQL = """SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""
 
 

@@ -226,3 +226,28 @@ def encode_npz(signal, rate: float, **extra) -> bytes:
     out, wave = io.BytesIO(), np.asarray(signal, float)
     np.savez(out, phase_data=wave, sample_rate=np.float64(rate), comm_count=len(wave), npts=len(wave), **{k: v for k, v in extra.items() if v is not None})
     return out.getvalue()
+
+
+def write_npz(samples: DataFrame, folder: str) -> DataFrame:
+    """file_name, signal, sample_rate and any string columns -> one container a row in the (shared) folder, through the store
+    of its URI; returns file_name and bytes. A task that is tried again writes the same files anew.
+
+    A row without name, signal or rate is an error. Lazy, as every DataFrame is: the files exist once the result is read.
+    """
+    extra = [c for c, k in samples.dtypes if k == "string" and c != "file_name"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            sizes = []
+            for r in b.to_pylist():
+                data = encode_npz(r["signal"], r["sample_rate"], **{c: r[c] for c in extra})
+                with store.open_output_stream(f"{root}/{r['file_name']}") as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([b.column("file_name"), pa.array(sizes, pa.int64())], names=["file_name", "bytes"])
+
+    return samples.select("file_name", "signal", "sample_rate", *extra).mapInArrow(run, "file_name string, bytes long")

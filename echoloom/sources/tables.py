@@ -82,6 +82,28 @@ def data_info(specs: DataFrame, window_s: float) -> DataFrame:
     return specs.withColumn("data_info", F.to_json(F.struct(*fields, F.lit(window_s).alias("window_duration_s"))))
 
 
+#: The keys of a mixed sample's description, in order, and those of one value.
+INFO_KEYS = (
+    "sample_type dataset_name build_mode source_noise_file source_bk_file source_noise_dataset source_bk_method target_sample_rate_hz window_duration_s window_start_offset_t_s "
+    "w1 w2 noise_rms bk_rms mixed_rms resample_noise_action resample_bk_action random_seed build_time builder_version output_file_name output_starttime output_timestamp"
+).split()
+INFO_FIXED = {"sample_type": "BK14", "build_mode": "noise_plus_broken_wire", "window_duration_s": 0.02, "builder_version": "2026-05-05"}
+
+
+def sample_info(samples: DataFrame) -> DataFrame:
+    """samples with data_info, the JSON of all keys: fixed ones, the build's time, and the columns of the key's name; a key
+    without column is null."""
+    given = {c: F.col(c) for c in INFO_KEYS if c in samples.columns}
+    fixed = {k: F.lit(v) for k, v in INFO_FIXED.items()} | {"build_time": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")}
+    fields = [(given.get(k, fixed.get(k)) if k in given or k in fixed else F.lit(None).cast("string")).alias(k) for k in INFO_KEYS]
+    return samples.withColumn("data_info", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
+def write_curves(curves: DataFrame, path: str, method: str = "method") -> None:
+    """One folder of CSV files per method, so that a reader of one method lists only its own."""
+    curves.repartition(method).write.mode("errorifexists").partitionBy(method).option("header", "true").csv(path)
+
+
 def feature_index(features: list[str], spark: SparkSession) -> DataFrame:
     """Name to position of an exported feature table."""
     return spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, position int")

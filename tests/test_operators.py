@@ -17,6 +17,7 @@ from echoloom.ml import subset as SB
 from echoloom.operators import correlation as C
 from echoloom.operators import gates as G
 from echoloom.operators import localize as LO
+from echoloom.operators import metrics as M
 from echoloom.operators import mixtures as MX
 from echoloom.operators import quality as Q
 from echoloom.operators import records as R
@@ -364,3 +365,63 @@ def test_subsets_are_scored_on_every_row(spark, sf):
         auc = (r[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
         assert got[f"top{k}"]["auc"] == pytest.approx(abs(auc - 0.5) + 0.5, abs=1e-4)
         assert got[f"top{k}"]["separation"] == pytest.approx((s[y].mean() - s[~y].mean()) / np.sqrt((s[y].var() + s[~y].var()) / 2), rel=1e-6)
+
+
+def test_pairs_skip_missing_values_and_constants(spark):
+    rng = np.random.default_rng(21)
+    f = pd.DataFrame(rng.normal(size=(400, 3)) + 1e6, columns=["a", "b", "c"])
+    f["b"] += f["a"]
+    f.loc[::7, "a"], f.loc[3::11, "b"], f["d"] = np.nan, np.inf, 0.1
+    got = {(r[0], r[1]): r[2] for r in C.pairs(spark.createDataFrame(f).repartition(5), list("dcba")).collect()}
+    want = f.replace(np.inf, np.nan).corr()
+    assert len(got) == 6 and all(v == pytest.approx(0.0 if "d" in k else want.loc[k], abs=1e-9) for k, v in got.items())
+    empty = C.pairs(spark.createDataFrame(f).where("a < 0"), ["a", "b"]).collect()
+    assert [r["corr"] for r in empty] == [0.0]
+
+
+def test_ranks_keep_rows_of_repeated_keys(spark):
+    f = pd.DataFrame({"k": [1, 1, 2, 2, 2], "a": [3.0, 1.0, 3.0, np.nan, 2.0], "b": [np.nan] * 5})
+    got = C.with_ranks(spark.createDataFrame(f), ["a", "b"], ["k"]).toPandas()
+    assert sorted(got["k"]) == [1, 1, 2, 2, 2] and got["b"].isna().all()
+    assert sorted(got["a"].dropna()) == [1.0, 2.0, 3.5, 3.5] and len(got) == 5
+
+
+def test_describe_and_medians_equal_pandas(spark):
+    rng = np.random.default_rng(22)
+    f = pd.DataFrame({"a": rng.normal(size=301), "b": rng.integers(0, 4, 301) * 1.0, "c": [np.nan] * 300 + [5.0], "none": [np.nan] * 301})
+    got = Q.describe(Q.long_features(spark.createDataFrame(f), [], list(f))).toPandas().set_index("feature")
+    for c in ("a", "b"):
+        want = f[c].describe(percentiles=[0.1, 0.25, 0.5, 0.75, 0.9])
+        assert np.allclose(got.loc[c, ["count", "mean", "std", "min", "p10", "p25", "p50", "p75", "p90", "max"]].astype(float), want)
+    assert got.loc["c", "count"] == 1 and np.isnan(got.loc["c", "std"]) and got.loc["none", "count"] == 0
+    filled = Q.median_impute(spark.createDataFrame(f), list(f)).toPandas()
+    assert np.allclose(filled["c"], 5.0) and np.allclose(filled["none"], 0.0) and np.allclose(filled["a"], f["a"])
+
+
+def test_permuted_rows_give_their_values_once(spark):
+    t = spark.createDataFrame(pd.DataFrame({"a": np.arange(500) * 1.0, "b": np.arange(500) * 2.0, "label": np.arange(500) % 2}))
+    got = ML.permuted(t, ["a", "b"], 2, 7, block=64).toPandas()
+    for _, r in got.groupby("repeat"):
+        donors = [d["a"] for d in r["_donor"]]
+        assert sorted(donors) == list(range(500)) and (np.array(donors) != r["a"].to_numpy()).mean() > 0.95
+
+
+def test_curves_and_average_precision(spark):
+    f = pd.DataFrame({"m": ["x"] * 6, "label": [1, 0, 1, 1, 0, 0], "score": [0.9, 0.8, 0.8, 0.4, 0.3, 0.1]})
+    curve = M.roc_curve(spark.createDataFrame(f), "label", "score", ["m"])
+    got = {r["threshold"]: (r["tpr"], r["fpr"], r["precision"]) for r in curve.collect()}
+    assert got[0.8] == pytest.approx((2 / 3, 1 / 3, 2 / 3)) and got[0.1] == pytest.approx((1, 1, 0.5))
+    assert M.average_precision(curve, ["m"]).first()["average_precision"] == pytest.approx(1 / 3 + (1 / 3) * (2 / 3) + (1 / 3) * (3 / 4))
+
+
+def test_sample_info_has_all_keys(spark):
+    import json
+
+    got = json.loads(T.sample_info(spark.createDataFrame([(0.5, "n.npz")], "w1 double, source_noise_file string")).first()["data_info"])
+    assert list(got) == T.INFO_KEYS and len(got) == 23
+    assert got["w1"] == 0.5 and got["window_duration_s"] == 0.02 and got["mixed_rms"] is None
+
+
+def test_curves_are_written_by_method(spark, tmp_path):
+    T.write_curves(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "method string, psd double"), f"{tmp_path}/curves")
+    assert sorted(p.name for p in tmp_path.glob("curves/method=*")) == ["method=a", "method=b"]
