@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ def recording_features(records: DataFrame, bands: dict[str, tuple[float, float]]
     """One row per window of each recording: key, window geometry, features, status and message.
 
     A recording that fails gives one failed row. A row's memory is one recording, its bands and one window at a time.
-    With chunks, a recording goes to that many tasks, each of which repeats the band filters (a twentieth of the work) and
-    takes its run of windows: the values are the same, the latency of a single long recording is shared.
+    With chunks, a recording is cut to that many pieces, each the samples of a run of windows and as many around them as
+    the filters remember: values are the same up to rounding, and a long recording's work is shared by many tasks.
     """
     effective = target_rate if target_rate and target_rate > rate else rate
     plans = K.plan_bands(bands, effective, families)
@@ -46,27 +47,46 @@ def recording_features(records: DataFrame, bands: dict[str, tuple[float, float]]
     head = f"{key} {dict(records.dtypes)[key]}, window_id long, window_start_index long, window_end_index long, sample_rate_hz double, status string, message string"
     fixed = [c.split()[0] for c in head.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    around = K.memory(plans, effective)
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pieces of recordings: the samples that a run of windows and its filters need, and where they lie."""
         for f in frames:
-            for name, x, part in zip(f[key], f[signal], f["_chunk"], strict=True):
+            for name, x in zip(f[key], f[signal], strict=True):
                 try:
-                    wave, r = filters.upsample_to(x, rate, effective) if effective > rate else (x, rate)
+                    wave, r = filters.upsample_to(x, rate, effective) if effective > rate else (np.asarray(x, float), rate)
                     every = window_ranges(len(wave), r, seconds, overlap)
-                    geometry = every[len(every) * part // chunks : len(every) * (part + 1) // chunks]
-                    rows = [
-                        {key: name, "window_id": g[0], "window_start_index": g[1], "window_end_index": g[2], "sample_rate_hz": r, "status": "ok", "message": None, **row}
-                        for g, row in zip(geometry, K.recording_windows(wave, r, plans, [(g[1], g[2]) for g in geometry]), strict=True)
-                    ]
+                    mean = float(wave.mean()) if len(wave) else 0.0
+                    for part in range(chunks):
+                        first, end = len(every) * part // chunks, len(every) * (part + 1) // chunks
+                        if first < end:
+                            a, b = max(0, every[first][1] - around), min(len(wave), every[end - 1][2] + around)
+                            yield pd.DataFrame({key: [name], "_first": first, "_end": end, "_at": a, "_length": len(wave), "_rate": r, "_mean": mean, "_wave": [wave[a:b]], "_failed": None})
                 except Exception as e:  # the row carries it
-                    rows = [{key: name, "status": "failed", "message": f"{type(e).__name__}: {e}"}] if part == 0 else []
-                if rows:
-                    yield pd.DataFrame(rows).reindex(columns=[*fixed, *columns]).astype({"window_id": "Int64", "window_start_index": "Int64", "window_end_index": "Int64"})
+                    yield pd.DataFrame([[name, *[None] * (len(piece_columns) - 2), f"{type(e).__name__}: {e}"]], columns=piece_columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for p in f.itertuples(index=False, name="Piece"):
+                name, first, end, at, length, r, mean, wave, failed = p
+                try:
+                    if failed is not None:
+                        rows = [{key: name, "status": "failed", "message": failed}]
+                    else:
+                        geometry = window_ranges(int(length), r, seconds, overlap)[int(first) : int(end)]
+                        made = K.recording_windows(wave, r, plans, [(g[1] - int(at), g[2] - int(at)) for g in geometry], mean)
+                        rows = [{key: name, "window_id": g[0], "window_start_index": g[1], "window_end_index": g[2], "sample_rate_hz": r, "status": "ok", "message": None, **row} for g, row in zip(geometry, made, strict=True)]
+                except Exception as e:  # the row carries it
+                    rows = [{key: name, "status": "failed", "message": f"{type(e).__name__}: {e}"}] if first == 0 else []
+                yield pd.DataFrame(rows).reindex(columns=[*fixed, *columns]).astype({"window_id": "Int64", "window_start_index": "Int64", "window_end_index": "Int64"})
 
+    piece = f"{key} {dict(records.dtypes)[key]}, _first long, _end long, _at long, _length long, _rate double, _mean double, _wave array<double>, _failed string"
+    piece_columns = [c.split()[0] for c in piece.split(", ")]
+    pieces = records.select(key, signal).mapInPandas(cut, piece)
     if chunks > 1:
-        parts = records.select(key, signal, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk")).repartition(key, "_chunk")
-    else:
-        parts = records.select(key, signal, F.lit(0).alias("_chunk"))
-    return parts.mapInPandas(run, schema_of(plans, head))
+        # a number keeps small pieces from being merged into few tasks; rows are dealt in turn
+        pieces = pieces.repartition(max(chunks, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return pieces.mapInPandas(run, schema_of(plans, head))
 
 
 def with_window_time(rows: DataFrame, start: str) -> DataFrame:

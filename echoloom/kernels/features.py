@@ -723,11 +723,21 @@ def shared_intermediates(xs: np.ndarray, rate: float, plan: BandPlan) -> list[di
     return out
 
 
-def recording_windows(signal: np.ndarray, rate: float, plans: dict[str, BandPlan], windows: list[tuple[int, int]]):
-    """Features of equally long windows of a long recording: bands are filtered once over all of it, each window is scaled
-    by its MAD."""
+def memory(plans: dict[str, BandPlan], rate: float) -> int:
+    """Samples around a window that its bands depend on."""
+    return max(filters.reach(rate, b) for p in plans.values() for b in (p.main, p.high))
+
+
+def recording_windows(signal: np.ndarray, rate: float, plans: dict[str, BandPlan], windows: list[tuple[int, int]], mean: float | None = None):
+    """Features of equally long windows of a long recording: bands are filtered once over the run of windows and as far
+    around it as the filters remember, each window is scaled by its MAD. mean: of the recording that signal is a part of."""
+    if not windows:
+        return
     x = np.asarray(signal, float)
-    x = x - x.mean()
+    mean, around = float(x.mean()) if mean is None else mean, memory(plans, rate)
+    first, last = max(0, min(a for a, _ in windows) - around), min(len(x), max(b for _, b in windows) + around)
+    x = x[first:last] - mean
+    windows = [(a - first, b - first) for a, b in windows]
     bands = {n: filters.band_filter(x, rate, p.main) for n, p in plans.items()}
     highs = {n: filters.band_filter(x, rate, p.high) for n, p in plans.items()}
     normalize = next(iter(plans.values())).normalize

@@ -145,6 +145,15 @@ def band_filter(x: np.ndarray, rate: float, band: tuple[float, float], order: in
     return out[0] if one else out
 
 
+@lru_cache(maxsize=128)
+def reach(rate: float, band: tuple[float, float], order: int = 4) -> int:
+    """Samples after which what band_filter() remembers has fallen below 1e-16: from the pole nearest to the circle."""
+    nyquist = rate / 2
+    low, high = max(0.0, band[0]) / nyquist, min(band[1], 0.999 * nyquist) / nyquist
+    slowest = max(float(np.abs(np.roots(s[3:])).max()) for s in _band_sos(low, high, order))
+    return math.ceil(math.log(1e-16) / math.log(min(slowest, 1 - 1e-9)))
+
+
 def high_pass(x: np.ndarray, rate: float, edge: float, order: int = 2) -> np.ndarray:
     if not 0 < edge < rate / 2:
         raise ValueError("the edge must lie between 0 and half the rate")

@@ -22,7 +22,6 @@ def build_session(app: str = "echoloom", cpus: int | str | None = None, shuffle_
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
-        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
     )
     for k, v in (extra or {}).items():
         b = b.config(k, v)

@@ -209,6 +209,16 @@ def test_recording_windows_skip_nothing_and_batch_alike():
         assert np.isclose(v, rows[2][k], rtol=1e-8, atol=1e-10, equal_nan=True)
 
 
+def test_filters_forget_what_lies_beyond_their_reach():
+    x = np.random.default_rng(3).normal(size=400_000)
+    for band in ((100.0, 60_000.0), (5_000.0, 15_000.0), (1_000.0, 5_000.0)):
+        around = filters.reach(RATE, band)
+        a, b = 150_000, 160_000
+        assert around < a
+        part = filters.band_filter(x[a - around : b + around], RATE, band)[around:-around]
+        assert np.abs(part - filters.band_filter(x, RATE, band)[a:b]).max() < 1e-9
+
+
 def test_first_definitions_differ_where_they_should():
     from dataclasses import replace
 
