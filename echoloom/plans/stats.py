@@ -311,12 +311,28 @@ def paired_mean_gaps(spark, sf_dir):
     return SB.paired_gaps(long_lineitem(spark, sf_dir).select("l_returnflag", "feature", "value"), ["l_returnflag", "feature"], [20, 100, 400], 40)
 
 
+def _labelled(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
 @query()
 def distance_convergence(spark, sf_dir):
-    """#149, #153: distance of growing samples to 2000 rows a label, by Fourier features and by means."""
-    l = table(spark, sf_dir, "lineitem").select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in FEATURES])
-    a = SB.distance_curve(l, "l_returnflag", FEATURES, [50, 200, 800], 3, 2000)
-    return a.join(SB.mean_errors(l, "l_returnflag", FEATURES, [50, 200, 800], 10, 2000), ["l_returnflag", "size"])
+    """#149: distance of growing samples to all rows of a label, by Fourier features."""
+    return SB.distance_curve(_labelled(spark, sf_dir), "l_returnflag", ["l_orderkey", "l_linenumber"], FEATURES, [50, 200, 800, 3200], 5)
+
+
+_SAMPLED = "(SELECT l_returnflag, r, row_number() OVER (PARTITION BY l_returnflag, r ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || r || '|42'), l_orderkey, l_linenumber, {0}) AS place, {0} FROM lineitem, (SELECT unnest(range(0, 5)) AS r))".format(", ".join(FEATURES))
+_MEANS = ", ".join(f"avg({c}) FILTER (WHERE place <= size) AS m{k}" for k, c in enumerate(FEATURES))
+_WHOLE = ", ".join(f"avg({c}) AS a{k}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS d{k}" for k, c in enumerate(FEATURES))
+_APART = " + ".join(f"power((m{k} - a{k}) / d{k}, 2)" for k in range(len(FEATURES)))
+
+
+@query(f"""WITH z AS (SELECT unnest([50, 200, 800, 3200])::BIGINT AS size), m AS (SELECT l_returnflag, r, size, {_MEANS} FROM {_SAMPLED}, z GROUP BY ALL), w AS (SELECT l_returnflag, count(*) AS n, {_WHOLE} FROM lineitem GROUP BY 1)
+ SELECT l_returnflag, size, round(avg(sqrt({_APART})), 6) AS l2 FROM m JOIN w USING (l_returnflag) WHERE size <= n GROUP BY ALL""")
+def mean_convergence(spark, sf_dir):
+    """#153: distance of sample means to the mean of all rows of a label, on scaled columns."""
+    t = SB.mean_errors(_labelled(spark, sf_dir), "l_returnflag", ["l_orderkey", "l_linenumber"], FEATURES, [50, 200, 800, 3200], 5)
+    return t.withColumn("l2", F.round("l2", 6))
 
 
 @query()
