@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import signals, stats, tables, wave
+from . import signals, spectra, stats, tables, wave
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (wave, tables, stats, signals):
+for _part in (wave, spectra, tables, stats, signals):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
