@@ -756,21 +756,94 @@ def test_empty_tables(spark, nothing):
 
 # ---- pipeline
 
-def test_pipeline_stages(spark, sf):
+def recorded(P, monkeypatch):
+    """What each stage of run() got and gave, by stage."""
+    seen = []
+
+    def keeping(stage):
+        def kept(spark, docs, sf_dir):
+            out = P.materialize(stage(spark, docs, sf_dir), "test-stage")
+            seen.append((docs, out))
+            return out
+
+        return kept
+
+    monkeypatch.setattr(P, "STAGES", [(name, keeping(stage)) for name, stage in P.STAGES])
+    return seen
+
+
+def pieces_by_hand(texts):
+    """doc_id, start, doc_tokens and ids of every piece of (doc_id, text) rows."""
+    tok, out = library("byte_bpe_50k.json"), Counter()
+    for d, t in texts:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 1024):
+            out[d, k, len(ids), tuple(ids[k : k + 1024])] += 1
+    return out
+
+
+def packed_pieces(result):
+    import numpy as np
+
+    return Counter((r["doc_id"], r["start"], r["doc_tokens"], tuple(np.frombuffer(r["ids"], "<u2").tolist())) for r in result)
+
+
+def test_pipeline_equals_brute_force_stage_by_stage(spark, sf, monkeypatch):
+    import corpus_pipeline as P
+
+    seen = recorded(P, monkeypatch)
+    result = rows(P.run(spark, sf))
+    assert [out.columns for _, out in seen[:-1]] == [seen[0][0].columns] * 4
+    # classifier: the rows that it accepts, as they were
+    before, after = (rows(x) for x in seen[0])
+    verdict = {r["doc_id"]: r["kept"] for r in rows(cotraining.classify(seen[0][0], table(spark, sf, "labels")))}
+    assert sorted(map(str, after)) == sorted(str(r) for r in before if verdict[r["doc_id"]])
+    good = {r["doc_id"] for r in rows(table(spark, sf, "labels")) if r["quality"] and not r["toxic"]}
+    assert len(good & {r["doc_id"] for r in after}) >= 0.98 * len(good)
+    # join: the least of each class of all pairs
+    before, after = (rows(x) for x in seen[1])
+    least = {c for _, c, _ in brute.near_classes([(r["doc_id"], r["text"]) for r in before])}
+    assert sorted(map(str, after)) == sorted(str(r) for r in before if r["doc_id"] in least)
+    # secrets: every row stays, its base spans become marks
+    before, after = (rows(x) for x in seen[2])
+    assert {r["doc_id"]: r["text"] for r in after} == {r["doc_id"]: redacted_by_hand(r["text"]) for r in before} and len(after) == len(before)
+    # mix: sources come near their targets, no text more than twice, words in order and none of another text
+    before, after = (rows(x) for x in seen[3])
+    words, source, taken = {r["doc_id"]: brute.WORD.findall(r["text"] or "") for r in before}, Counter(), Counter()
+    for r in before:
+        source[r["source"]] += len(words[r["doc_id"]])
+    got = Counter()
+    for r in after:
+        mine, rest = brute.WORD.findall(r["text"]), iter(words[r["doc_id"]])
+        assert mine and all(w in rest for w in mine)
+        taken[r["doc_id"]] += len(mine)
+        got[r["source"]] += len(mine)
+    assert all(n <= 2 * len(words[d]) for d, n in taken.items())
+    for s, target in brute.mix_targets(source).items():
+        assert abs(got[s] - target) <= max(0.02 * target, 600), s
+    # packing: exactly the ids of those texts
+    assert packed_pieces(result) == pieces_by_hand([(r["doc_id"], r["text"]) for r in after])
+    places = defaultdict(list)
+    for r in result:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in places.values():
+        assert sum(n for _, n in v) <= 1024 and all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:]))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, nothing, tmp_path, monkeypatch):
+    """Nulls, repeated rows and clashing columns: no labels reject nothing but texts without words, copies become one row,
+    columns last to the stage before packing; an empty table gives an empty result."""
     import corpus_pipeline as P
 
-    docs = table(spark, sf, "documents")
-    columns = docs.columns
-    for k, (_, stage) in enumerate(P.STAGES):
-        before = docs.count()
-        docs = P.materialize(stage(spark, docs, sf), "test-stage")
-        if k < len(P.STAGES) - 1:
-            assert docs.columns == columns
-        if k < 2:
-            assert docs.count() <= before
-        if k == 2:
-            assert docs.count() == before
-    assert docs.count() > 0
+    seen = recorded(P, monkeypatch)
+    for name, t in (("odd", odd), ("empty", nothing)):
+        t.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+    result = rows(P.run(spark, f"file://{tmp_path}/odd"))
+    assert [out.columns for _, out in seen[:-1]] == [odd.columns] * 4
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows(seen[1][1])) == [(False, 0), (True, 4), (True, 5), (True, 6)]
+    assert packed_pieces(result) == pieces_by_hand([(r["doc_id"], r["text"]) for r in rows(seen[3][1])])
+    assert P.run(spark, f"file://{tmp_path}/empty").count() == 0
 
 
 def test_hash_of_nothing():
