@@ -23,6 +23,7 @@ from echoloom.operators import quality as Q
 from echoloom.operators import records as R
 from echoloom.operators import selection as SL
 from echoloom.operators import splits as SP
+from echoloom.operators import stability as STAB
 from echoloom.operators import windows as WN
 from echoloom.plans import signals
 from echoloom.sources import decode as D
@@ -331,6 +332,33 @@ def test_bootstrap_and_neighbours_use_every_row(spark):
     assert ST2.neighbour_information_table(apart, ["feature"]).first()["mi_knn"] < 0.001
 
 
+def test_distance_curve_equals_all_rows_in_one_array(spark):
+    """Samples by hash order, the label's mean of all rows and the distances, computed again in one array."""
+    import hashlib
+
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 2)) * [1.0, 5.0], 3)
+    made = [("a" if i < 200 else "b", i, float(p), float(q)) for i, (p, q) in enumerate(x)] + [("a", 900, None, 1.0)]
+    t = spark.createDataFrame(made, "label string, k long, p double, q double")
+    got = {(r["label"], r["size"]): r["mmd"] for r in STAB.distance_curve(t, "label", ["k"], ["p", "q"], [20, 60], 3, components=64, picked=1000).collect()}
+    assert set(got) == {(l, n) for l, most in (("a", 200), ("b", 100)) for n in (20, 60, most)}
+    base_rng = np.random.default_rng(42)
+    base, phase = base_rng.normal(0, 1, (2, 64)), base_rng.uniform(0, 2 * np.pi, 64)
+    for label, part in (("a", made[:200]), ("b", made[200:300])):
+        v = np.array([r[2:] for r in part])
+        low, mid, high = (np.sort(v, axis=0)[math.ceil(f * len(v)) - 1] for f in (0.25, 0.5, 0.75))
+        z = (v - mid) / (high - low)
+        d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+        phi = np.sqrt(2 / 64) * np.cos(z @ base / np.median(d[d > 0]) + phase)
+        for n in (20, 60):
+            each = []
+            for r in range(3):
+                order = sorted(range(len(part)), key=lambda i: hashlib.md5(f"{part[i][1]}|{r}|42".encode()).hexdigest())[:n]
+                each.append(((phi[order].mean(0) - phi.mean(0)) ** 2).sum())
+            assert abs(got[label, n] - np.mean(each)) < 1e-9
+        assert got[label, len(part)] == 0.0
+
+
 def test_stage_scores_take_the_neighbour_estimate(spark):
     from echoloom.operators import stability as ST2
 
