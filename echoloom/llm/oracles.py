@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fill_middle import MARKS, MIDDLE, PREFIX, RATE, SPM_RATE, SUFFIX, UNIT
+from .fill_middle import SEED as FIM_SEED
 from .mixing import BLOCK_WORDS, LOT_SHARDS, MAX_REPEATS, SEED, SHARD_WORDS, SHARE, WEIGHTS
 from .ownership_secrets import ADDED, BASE, MAX_OWNERS, MAX_REPOSITORIES, MIN_DISTINCT, ORDER
 from .quality_divergence import COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_REFERENCE_WORDS, MIN_WORDS
@@ -98,3 +100,12 @@ MIX = rf"""WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS h, source, len(l
  g AS (SELECT f.id, sum(greatest(0, least(before + k * shard_size + size, (block + 1) * {BLOCK_WORDS}) - greatest(before + k * shard_size, block * {BLOCK_WORDS}))) AS taken FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source AND f.shard = h.shard JOIN b ON b.source IS NOT DISTINCT FROM f.source AND b.shard = f.shard, (SELECT unnest(range(0, {MAX_REPEATS})) AS k) r GROUP BY f.id)
  SELECT f.doc_id, f.size, f.source_size, round(f.target, 6) AS target, CASE WHEN h.quota >= h.blocks THEN CASE WHEN h.quota > 0 THEN {MAX_REPEATS} * f.size ELSE 0 END ELSE coalesce(g.taken, 0) END::BIGINT AS taken
  FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source AND f.shard = h.shard LEFT JOIN g ON f.id = g.id"""
+
+_DRAW = "('0x' || substr(h, {0}, 8))::UBIGINT".format
+FILL_MIDDLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{FIM_SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ u AS (SELECT *, regexp_extract_all(t, {_quote(UNIT)}) AS units FROM d), n AS (SELECT *, len(units) AS n FROM u),
+ c AS (SELECT *, least({_DRAW(1)} % (n + 1), {_DRAW(9)} % (n + 1))::BIGINT AS a, greatest({_DRAW(1)} % (n + 1), {_DRAW(9)} % (n + 1))::BIGINT AS b,
+  CASE WHEN t = '' OR {" OR ".join(f"contains(t, '{m}')" for m in MARKS)} OR {_DRAW(17)} % 100 >= {RATE} THEN 'plain' WHEN {_DRAW(25)} % 100 < {SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM n),
+ p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{PREFIX}' || prefix || '{SUFFIX}' || suffix || '{MIDDLE}' || middle ELSE '{SUFFIX}' || suffix || '{PREFIX}' || prefix || '{MIDDLE}' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""

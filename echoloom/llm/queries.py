@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, elias_fano, ffd_packing, lsh_forest, mincut_html, mixing, oracles, ownership_secrets, quality_divergence, reply_trees, spot_signatures
+from . import cotraining, elias_fano, ffd_packing, fill_middle, lsh_forest, mincut_html, mixing, oracles, ownership_secrets, prefix_tokens, quality_divergence, reply_trees, spot_signatures, turn_repair
 from .common import new_path
 
 
@@ -69,6 +69,23 @@ def op10_jaccard_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_quality_divergence, op3_mix_sainte_lague, op4_chat_reply_trees, op5_pack_ffd, op6_secret_ownership, op7_quality_cotraining, op8_token_output_elias_fano, op9_spot_signatures, op10_jaccard_lsh_forest)}
-#: op9 hashes by a function SQL lacks; the others train, cut, tokenize or min-hash. Tests compare those with brute force.
-ORACLE_SQL: dict[str, str] = {"op2_quality_divergence": oracles.QUALITY, "op3_mix_sainte_lague": oracles.MIX, "op4_chat_reply_trees": oracles.CHAT, "op6_secret_ownership": oracles.SECRETS}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.contract_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op12_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.budget_answers(_table(spark, sf_dir, "documents"))
+
+
+def op13_fim_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    form, output = F.col("_fim.form"), F.col("_fim.output")
+    return t.select(
+        F.col("_row.doc_id").alias("doc_id"), F.col("_fim.n").alias("n"), form.alias("form"), F.col("_fim.prefix_chars").alias("prefix_chars"), F.col("_fim.middle_chars").alias("middle_chars"),
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(fill_middle.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_quality_divergence, op3_mix_sainte_lague, op4_chat_reply_trees, op5_pack_ffd, op6_secret_ownership, op7_quality_cotraining, op8_token_output_elias_fano, op9_spot_signatures, op10_jaccard_lsh_forest, op11_turn_repair, op12_prefix_tokens, op13_fim_streaming)}
+#: op9 and op11 hash by functions SQL lacks; the others train, cut, tokenize or min-hash. Tests compare those with brute force.
+ORACLE_SQL: dict[str, str] = {"op2_quality_divergence": oracles.QUALITY, "op3_mix_sainte_lague": oracles.MIX, "op4_chat_reply_trees": oracles.CHAT, "op6_secret_ownership": oracles.SECRETS, "op13_fim_streaming": oracles.FILL_MIDDLE}
