@@ -5,6 +5,8 @@ cost of either label, which become the capacities to the two terminals; blocks t
 near ancestor get smoothness edges. The minimum cut, found with max-flow, labels each block content or boilerplate at
 least total cost. All text blocks are nodes and all neighbours are joined, whatever they are marked as, so a block that
 the classifier doubts follows those around it; marks (article, menus, footers, forms, ...) are features of great weight.
+Names are marks only of elements that hold others and only if all their words name parts of pages: a name on running text
+or with other words in it is a hint, and headings' names, which are made of their text, are nothing.
 
 Each page is one row of work in a Python worker; memory is bounded by one Arrow batch and its largest page.
 
@@ -17,8 +19,9 @@ either way is boilerplate. Only page_id, url and html are read, so further colum
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -48,8 +51,17 @@ BAD_NAMES = set(
 HAVING = set("has with without no not is show js".split())
 HEADER_NAMES = set("header head banner masthead titlebar".split())
 GOOD_NAMES = set("article articlebody articlecontent body content contents entry entrycontent hentry main maincontent post postbody postcontent story storybody text".split())
+#: Words that, beside those above, names of page parts are made of. A name with any other word is a subject, not a part:
+#: `comments-and-replies` and `copyright-law` are what a section is about.
+LAYOUT_NAMES = set(
+    "area author avatar bar block body bottom box btn button buttons card cards center col column container content desktop display div entry field fixed float form global group holder "
+    "icon icons id image img inline inner item items label left link links list logo main message meta mobile module my native outer page panel policy post posts primary recent right row "
+    "secondary section site slot small space sticky text thread tile title top unit view wrap wrapper zone button google gpt dfp js has is the".split()
+)
+#: Elements that hold running text: their own names say little, and those of headings nothing, as they are made of their text.
+TEXT_TAGS = set("p li dd dt blockquote pre td th figcaption caption summary".split())
 #: Classifier: costs are its logits. Positive speaks for content.
-WEIGHTS = {"bias": -0.3, "words": 0.9, "link_share": -5.0, "sentence": 0.8, "good": 5.0, "bad": -8.0, "never": -12.0, "heading": 0.6, "list": -0.6, "header": -9.0, "copyright": -4.0, "outside": -3.5}
+WEIGHTS = {"bias": -0.3, "words": 0.9, "link_share": -5.0, "sentence": 0.8, "good": 5.0, "bad": -8.0, "never": -12.0, "heading": 0.6, "list": -0.6, "header": -9.0, "copyright": -4.0, "outside": -3.5, "subject": -1.0, "labelled": -2.2, "paragraph": 1.0, "bare": -0.8, "early": -1.5}
 #: Words inside marked content from which blocks outside it count as outside the article.
 ENOUGH_WORDS = 25
 SMOOTH_NEXT = 1.2
@@ -59,27 +71,49 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""", re.S)
 #: The slash that closes an element with its opening tag is a mark of its own, not the end of an unquoted value.
 _CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
+#: Elements of lists and tables, and those among them beyond which nothing is closed.
+_SCOPES, LISTS = set("li dd dt tr td th option ul ol dl table".split()), set("ul ol dl table".split())
 _SPLIT_NAME = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"[\s]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noframes", "xmp", "iframe", "noscript", "template")}
 
 
-class Block:
-    __slots__ = ("text", "linked", "path", "never", "good", "bad", "heading", "listed", "header")
+@dataclass(slots=True)
+class Element:
+    """An open element: where it is (its parent and depth; no path is kept) and what holds for its text."""
+
+    tag: str
+    parent: Element | None
+    depth: int
+    never: bool = False
+    good: int = 0
+    bad: int = 0
+    hint: int = 0
+    heading: bool = False
+    listed: bool = False
+    header: bool = False
+    hidden: bool = False
+    link: bool = False
+    block: str = ""
+
 
-    def __init__(self, text: str, linked: int, path: tuple, never: bool, good: int, bad: int, heading: bool, listed: bool, header: bool):
-        self.text, self.linked, self.path, self.never, self.good, self.bad, self.heading, self.listed, self.header = text, linked, path, never, good, bad, heading, listed, header
+@dataclass(slots=True)
+class Block:
+    text: str
+    linked: int
+    at: Element
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    found, hidden = set(), False
+def _names(attributes: str) -> tuple[list[set[str]], set[str], bool]:
+    """The names of class, id and role as sets of words, all their words (and joined names), and whether the element is hidden."""
+    names, found, hidden = [], set(), False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
         if key == "role":
             found.add("role=" + value.strip())
+            names.append({value.strip()})
         if key in ("class", "id", "role"):
             for name in value.split():
                 parts = [p for p in _SPLIT_NAME.split(name) if p]
@@ -87,32 +121,49 @@ def _names(attributes: str) -> tuple[set[str], bool]:
                     continue
                 found.update(parts)
                 found.add("".join(parts))
-    return found, hidden
+                names.append(set(parts) if "".join(parts) not in BAD_NAMES else {"".join(parts)})
+    return names, found, hidden
+
+
+def _marks(tag: str, names: list[set[str]], words: set[str]) -> tuple[bool, int]:
+    """Whether names say that an element is a part of the page beside its main text, and else the hint: 1 for a name of other
+    words too (a subject), 2 for such a part's name on running text (a label)."""
+    if tag in HEADINGS or words.isdisjoint(BAD_NAMES):
+        return False, 0
+    part = any(not n.isdisjoint(BAD_NAMES) and all(w in BAD_NAMES or w in LAYOUT_NAMES or w in HEADER_NAMES or w.isdigit() for w in n) for n in names)
+    return part and tag not in TEXT_TAGS, 1 + (part and tag in TEXT_TAGS)
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order. A stack of open elements gives each block its path and its marks."""
+    """Text blocks in page order. A stack of open elements gives each block its place and its marks."""
     out: list[Block] = []
-    # an open element: (tag, number, never, good, bad, heading, listed, header, hidden, link)
-    root = ("", 0, False, 0, 0, False, False, False, False, False)
-    stack, buffer, linked, number = [root], [], 0, 0
+    stack, buffer, linked = [Element("", None, 0)], [], 0
+    opened: Counter = Counter()  # open elements by tag
+    scopes: list[int] = []  # where in the stack elements of lists and tables are
 
-    def flush(state: tuple) -> None:
+    def flush(state: Element) -> None:
         nonlocal buffer, linked
         if buffer:
             text = _SPACE.sub(" ", "".join(buffer)).strip()
             if text:
-                out.append(Block(text, min(linked, len(text)), tuple(e[1] for e in stack), state[2], state[3], state[4], state[5], state[6], state[7]))
+                out.append(Block(text, min(linked, len(text)), state))
             buffer, linked = [], 0
 
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            opened[e.tag] -= 1
+        del stack[k:]
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
+
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
         end = m.start() if m else n
-        if end > at and not stack[-1][8]:
+        if end > at and not stack[-1].hidden:
             text = unescape(html[at:end])
             buffer.append(text)
-            if stack[-1][9]:
+            if stack[-1].link:
                 linked += len(text.strip())
         if not m:
             break
@@ -123,12 +174,13 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if tag in BLOCKS:
                 flush(stack[-1])
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if any(e[0] in BLOCKS for e in stack[k:]):
-                        flush(stack[-1])
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                if any(e.tag in BLOCKS for e in stack[k:]):
+                    flush(stack[-1])
+                cut(k)
             continue
         if tag == "br":
             buffer.append(" ")
@@ -136,19 +188,20 @@ def blocks(html: str) -> list[Block]:
         if tag in BLOCKS:
             flush(stack[-1])
             # an open paragraph ends where another block begins; its open inline elements end with it
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if opened["p"]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p":
+                        cut(k)
+                        break
+                    if stack[k].tag in BLOCKS:
+                        break
             closes = CLOSED_BY.get(tag)
             if closes:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in closes:
-                        del stack[k:]
+                for k in reversed(scopes):
+                    if stack[k].tag in closes:
+                        cut(k)
                         break
-                    if stack[k][0] in ("ul", "ol", "dl", "table"):
+                    if stack[k].tag in LISTS:
                         break
         if tag in _RAW_END:
             e = _RAW_END[tag].search(html, at)
@@ -157,19 +210,25 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID or tag not in BLOCKS and _CLOSED.search(m[3]):
             continue
         up = stack[-1]
-        names, hidden = _names(m[3]) if m[3] else ((), False)
-        number += 1
+        names, words, hidden = _names(m[3]) if m[3] else ((), (), False)
         # the innermost mark counts: a bad part stays bad whatever it holds, but for the page's main element
-        good, bad = up[3], up[4]
-        if tag == "main" or "role=main" in names:
-            good, bad = 1, 0
-        elif names and tag not in ("body", "html", "article") and not names.isdisjoint(BAD_NAMES):
-            good, bad = 0, 1
-        elif not bad and tag not in ("body", "html") and (tag == "article" or names and not names.isdisjoint(GOOD_NAMES)):
+        good, bad, hint = up.good, up.bad, up.hint
+        if tag == "main" or "role=main" in words:
+            good, bad, hint = 1, 0, 0
+        elif tag not in ("body", "html", "article") and words:
+            part, doubt = _marks(tag, names, words)
+            if part:
+                good, bad = 0, 1
+            else:
+                hint = max(hint, doubt)
+        if not bad and tag not in ("body", "html") and (tag == "article" or words and not words.isdisjoint(GOOD_NAMES)):
             good = 1
-        stack.append((
-            tag, number, up[2] or tag in NEVER, good, bad, up[5] or tag in HEADINGS, up[6] or tag in ("li", "dt", "dd"),
-            up[7] or tag == "header" or bool(names) and tag not in ("body", "html", *HEADINGS) and not names.isdisjoint(HEADER_NAMES), up[8] or hidden or tag in HIDDEN, up[9] or tag == "a",
+        if tag in _SCOPES:
+            scopes.append(len(stack))
+        opened[tag] += 1
+        stack.append(Element(
+            tag, up, up.depth + 1, up.never or tag in NEVER, good, bad, hint, up.heading or tag in HEADINGS, up.listed or tag in ("li", "dt", "dd"),
+            up.header or tag == "header" or bool(words) and tag not in ("body", "html", *HEADINGS) and not words.isdisjoint(HEADER_NAMES), up.hidden or hidden or tag in HIDDEN, up.link or tag == "a", tag if tag in BLOCKS else up.block,
         ))
     flush(stack[-1])
     return out
@@ -177,14 +236,19 @@ def blocks(html: str) -> list[Block]:
 
 def cost(b: Block) -> float:
     """The classifier's logit: what labelling the block boilerplate costs more than labelling it content."""
-    w, n = WEIGHTS, b.text.count(" ") + 1
+    w, n, at = WEIGHTS, b.text.count(" ") + 1, b.at
     share = b.linked / max(1, len(b.text))
     z = w["bias"] + w["words"] * min(4.0, (n / 8.0) ** 0.5) + w["link_share"] * share
     z += w["sentence"] * (b.text[-1] in ".!?…:;\"'»”)")
-    z += w["good"] * b.good + w["bad"] * b.bad + w["never"] * b.never
-    z += w["heading"] * b.heading + w["list"] * b.listed + w["header"] * (b.header and not (b.heading and b.good))
+    # a hint takes the mark's credit away, but leaves the text and its neighbours to decide
+    z += w["good"] * (at.good and not at.hint) + w["bad"] * at.bad + w["never"] * at.never + (0.0, w["subject"], w["labelled"])[0 if at.bad else at.hint]
+    z += w["heading"] * at.heading + w["list"] * at.listed + w["header"] * (at.header and not (at.heading and at.good))
+    if at.block in ("p", "blockquote", "pre"):
+        z += w["paragraph"] * (at.hint < 2)
+    elif not (at.good or at.heading or at.listed):
+        z += w["bare"]
     if n < 40 and re.search(r"©|\(c\) \d{4}|all rights reserved", b.text, re.I):
-        z += w["copyright"] * (not b.good)
+        z += w["copyright"] * (not at.good)
     return z
 
 
@@ -254,6 +318,17 @@ def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> l
                 cap[e ^ 1] += flow
 
 
+def _shared(a: Element, b: Element) -> int:
+    """Depth of the innermost element around both, the page itself counting one. All such walks of a page take as many steps
+    as it opens and closes elements."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a.depth + 1
+
+
 def label(found: list[Block]) -> list[bool]:
     """Content or not, for each block, by the minimum cut of costs and smoothness."""
     terminal = costs(found)
@@ -262,20 +337,29 @@ def label(found: list[Block]) -> list[bool]:
     for k, b in enumerate(found):
         if k:
             a = found[k - 1]
-            shared = sum(x == y for x, y in zip(a.path, b.path, strict=False))
-            edges.append((k - 1, k, SMOOTH_NEXT * shared / max(len(a.path), len(b.path))))
+            edges.append((k - 1, k, SMOOTH_NEXT * _shared_of(a, b)))
         # DOM proximity: the block before under the same parent or grandparent
-        for up in b.path[-3:-1]:
-            if up in last and last[up] != k - 1:
-                edges.append((last[up], k, SMOOTH_PARENT / 2))
-            last[up] = k
+        one = b.at.parent
+        for up in (one.parent if one else None, one):
+            if up is None:
+                continue
+            if id(up) in last and last[id(up)] != k - 1:
+                edges.append((last[id(up)], k, SMOOTH_PARENT / 2))
+            last[id(up)] = k
     return minimum_cut(terminal, edges)
 
 
+def _shared_of(a: Block, b: Block) -> float:
+    return _shared(a.at, b.at) / (max(a.at.depth, b.at.depth) + 1)
+
+
 def costs(found: list[Block]) -> list[float]:
-    """Terminal capacities: the classifier's logits, less for blocks outside a marked article of some length."""
-    marked = sum(b.text.count(" ") + 1 for b in found if b.good and not b.bad and not b.never) >= ENOUGH_WORDS
-    return [cost(b) + WEIGHTS["outside"] * (marked and not b.good) for b in found]
+    """Terminal capacities: the classifier's logits, less for blocks outside a marked article of some length, and for bare
+    text before a page's first heading."""
+    marked = sum(b.text.count(" ") + 1 for b in found if b.at.good and not b.at.bad and not b.at.never) >= ENOUGH_WORDS
+    first = next((k for k, b in enumerate(found) if b.at.heading), 0)
+    early = [k < first and b.at.block not in TEXT_TAGS and not b.at.good for k, b in enumerate(found)]
+    return [cost(b) + WEIGHTS["outside"] * (marked and not b.at.good) + WEIGHTS["early"] * e for b, e in zip(found, early, strict=True)]
 
 
 def main_text(html: str | None) -> str:
