@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .kernels import features as K
 from .kernels import filters
-from .operators.windows import window_ranges
+from .operators.windows import window_ranges, windows_between
+from .session import broadcast_within, materialize
 
 
 def schema_of(plans: dict[str, K.BandPlan], head: str) -> str:
@@ -43,10 +44,6 @@ def recording_features(records: DataFrame, bands: dict[str, tuple[float, float]]
     """
     effective = target_rate if target_rate and target_rate > rate else rate
     plans = K.plan_bands(bands, effective, families)
-    columns = K.output_columns(plans)
-    head = f"{key} {dict(records.dtypes)[key]}, window_id long, window_start_index long, window_end_index long, sample_rate_hz double, status string, message string"
-    fixed = [c.split()[0] for c in head.split(", ")]
-
     around = K.memory(plans, effective)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,34 +58,73 @@ def recording_features(records: DataFrame, bands: dict[str, tuple[float, float]]
                         first, end = len(every) * part // chunks, len(every) * (part + 1) // chunks
                         if first < end:
                             a, b = max(0, every[first][1] - around), min(len(wave), every[end - 1][2] + around)
-                            yield pd.DataFrame({key: [name], "_first": first, "_end": end, "_at": a, "_length": len(wave), "_rate": r, "_mean": mean, "_wave": [wave[a:b]], "_failed": None})
+                            yield pd.DataFrame({key: [name], "_from": every[first][1], "_to": every[end - 1][1] + 1, "_at": a, "_length": len(wave), "_rate": r, "_mean": mean, "_wave": [wave[a:b]], "_failed": None})
                 except Exception as e:  # the row carries it
                     yield pd.DataFrame([[name, *[None] * (len(piece_columns) - 2), f"{type(e).__name__}: {e}"]], columns=piece_columns)
 
+    piece = f"{key} {dict(records.dtypes)[key]}, {_PIECE}"
+    piece_columns = [c.split()[0] for c in piece.split(", ")]
+    pieces = records.select(key, signal).mapInPandas(cut, piece)
+    if chunks > 1:
+        # a number keeps small pieces from being merged into few tasks; rows are dealt in turn
+        pieces = pieces.repartition(max(chunks, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return _piece_features(pieces, plans, [key], seconds, overlap)
+
+
+#: Recordings (a mean each) of which the table may be broadcast.
+MAX_BROADCAST = 200_000
+_PIECE = "_from long, _to long, _at long, _length long, _rate double, _mean double, _wave array<double>, _failed string"
+
+
+def _piece_features(pieces: DataFrame, plans: dict[str, K.BandPlan], keys: list[str], seconds: float, overlap: float) -> DataFrame:
+    """Windows that begin at samples `_from` to `_to` of recordings of which a piece, from sample `_at` on, is at hand."""
+    columns = K.output_columns(plans)
+    kinds = dict(pieces.dtypes)
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", window_id long, window_start_index long, window_end_index long, sample_rate_hz double, status string, message string"
+    fixed = [c.split()[0] for c in head.split(", ")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for p in f.itertuples(index=False, name="Piece"):
-                name, first, end, at, length, r, mean, wave, failed = p
+            for p in f.to_dict("records"):
+                name, start, at = {k: p[k] for k in keys}, p["_from"], p["_at"]
                 try:
-                    if failed is not None:
-                        rows = [{key: name, "status": "failed", "message": failed}]
+                    if p["_failed"] is not None:
+                        rows = [{**name, "status": "failed", "message": p["_failed"]}]
                     else:
-                        geometry = window_ranges(int(length), r, seconds, overlap)[int(first) : int(end)]
-                        made = K.recording_windows(wave, r, plans, [(g[1] - int(at), g[2] - int(at)) for g in geometry], mean)
-                        rows = [{key: name, "window_id": g[0], "window_start_index": g[1], "window_end_index": g[2], "sample_rate_hz": r, "status": "ok", "message": None, **row} for g, row in zip(geometry, made, strict=True)]
+                        geometry = windows_between(int(p["_length"]), p["_rate"], seconds, overlap, int(start), int(p["_to"]))
+                        made = K.recording_windows(p["_wave"], p["_rate"], plans, [(g[1] - int(at), g[2] - int(at)) for g in geometry], p["_mean"]) if geometry else []
+                        rows = [{**name, "window_id": g[0], "window_start_index": g[1], "window_end_index": g[2], "sample_rate_hz": p["_rate"], "status": "ok", "message": None, **row} for g, row in zip(geometry, made, strict=True)]
                 except Exception as e:  # the row carries it
-                    rows = [{key: name, "status": "failed", "message": f"{type(e).__name__}: {e}"}] if first == 0 else []
-                yield pd.DataFrame(rows).reindex(columns=[*fixed, *columns]).astype({"window_id": "Int64", "window_start_index": "Int64", "window_end_index": "Int64"})
+                    rows = [{**name, "status": "failed", "message": f"{type(e).__name__}: {e}"}] if start == 0 else []
+                if rows:
+                    yield pd.DataFrame(rows).reindex(columns=[*fixed, *columns]).astype({"window_id": "Int64", "window_start_index": "Int64", "window_end_index": "Int64"})
 
-    piece = f"{key} {dict(records.dtypes)[key]}, _first long, _end long, _at long, _length long, _rate double, _mean double, _wave array<double>, _failed string"
-    piece_columns = [c.split()[0] for c in piece.split(", ")]
-    pieces = records.select(key, signal).mapInPandas(cut, piece)
-    if chunks > 1:
-        # a number keeps small pieces from being merged into few tasks; rows are dealt in turn
-        pieces = pieces.repartition(max(chunks, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return pieces.mapInPandas(run, schema_of(plans, head))
 
 
+def range_margins(bands: dict[str, tuple[float, float]], rate: float, seconds: float, families: dict | None = None) -> tuple[int, int]:
+    """Samples before and after a range that the windows beginning in it and their filters need: options of the range reader."""
+    around = K.memory(K.plan_bands(bands, rate, families), rate)
+    return around, around + int(round(seconds * rate))
+
+
+def range_features(ranges: DataFrame, bands: dict[str, tuple[float, float]], rate: float, seconds: float, overlap: float, families: dict | None = None) -> DataFrame:
+    """recording_features of recordings read by ranges (with range_margins): path, channel_index and the same rows.
+
+    A task holds a range, never a recording. The mean that filters take off first is that of the whole recording, so the
+    ranges are read once for their sums and once for their windows; the means are a row a recording. Recordings of another rate give a failed row.
+    """
+    plans = K.plan_bands(bands, rate, families)
+    keys = ["path", "channel_index"]
+    own = F.slice("signal", F.col("lead") + 1, (F.col("last") - F.col("first")).cast("int"))
+    sums = ranges.where("status = 'ok'").select(*keys, F.aggregate(own, F.lit(0.0), lambda s, x: s + x).alias("_sum"), (F.col("last") - F.col("first")).alias("_n"))
+    means = broadcast_within(materialize(sums.groupBy(*keys).agg((F.sum("_sum") / F.sum("_n")).alias("_mean")), "recording-means"), MAX_BROADCAST)
+    failed = F.when(F.col("status") != "ok", F.col("message")).when(F.col("sample_rate") != rate, F.concat(F.lit("sample_rate is "), F.col("sample_rate").cast("string")))
+    t = ranges.where((F.col("status") != "ok") | (F.col("sample_rate") == rate) | (F.col("first") == 0))
+    pieces = t.select(*keys, F.col("first").alias("_from"), F.col("last").alias("_to"), (F.col("first") - F.col("lead")).alias("_at"), F.col("total").alias("_length"), F.col("sample_rate").alias("_rate"), F.col("signal").alias("_wave"), failed.alias("_failed"))
+    return _piece_features(pieces.join(means, keys, "left"), plans, keys, seconds, overlap)
+
+
 def with_window_time(rows: DataFrame, start: str) -> DataFrame:
     """Start time of each window from the recording's start time."""
     from .functions.labels import add_seconds

@@ -1,39 +1,112 @@
-"""Running sums in order of a value, for groups of any size.
+"""Running sums in order of a value, for groups of any size: a prefix scan over range partitions.
 
-A window over a whole group is one task. Here each group is cut at approximate quantiles of its distinct values, windows
-run inside the pieces, and what lies before a piece comes from a table of a row per piece. The result is exact: the cuts
-only decide where pieces end.
+Rows are sorted by group and value over range partitions, whose number follows the rows. One narrow pass gives each row
+the sums of its group before it within its partition; a second adds what the partitions before hold of the group, which
+only groups that cross a border need: at most two rows a partition. No window or task holds a group, however large.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import broadcast_within, discard, materialize
+
+#: Rows of one partition of the scan, and groups whose table of totals may be broadcast.
+PIECE_ROWS, MAX_BROADCAST = 2_000_000, 300_000
+
+
+def _leaves(column: pa.Array) -> list[pa.Array]:
+    return [x for c in column.flatten() for x in _leaves(c)] if pa.types.is_struct(column.type) else [column]
+
 
-from ..session import materialize
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Which rows begin a group of equal neighbours; nulls are equal to nulls."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in (x for column in columns for x in _leaves(column)):
+        gone = np.asarray(c.is_null())
+        apart = np.asarray(pc.fill_null(pc.not_equal(c[1:], c[:-1]), False))
+        new[1:] |= apart | (gone[1:] != gone[:-1])
+    return new
 
-#: Pieces of a group. Their number bounds a task's share of a group; raise it with the data.
-PIECES = 16
 
+def _scanned(batches: Iterator[pa.RecordBatch], by: list[str], value: str, sums: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with the sums before them and the value after them, inside this partition."""
+    from pyspark import TaskContext
 
-def running(v: DataFrame, by: list[str], value: str, sums: list[str], totals: dict[str, Column] | None = None, pieces: int = PIECES) -> DataFrame:
+    piece = TaskContext.get().partitionId()
+    carried: dict[str, float] = dict.fromkeys(sums, 0)
+    held: pa.RecordBatch | None = None  # the last row, whose next value isn't known yet, with the sums before it carried
+
+    def done(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        columns = {c: t.column(c).combine_chunks() for c in t.column_names}
+        new = _starts([columns[c] for c in by])
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        keep = len(new) if last else len(new) - 1
+        before = {}
+        for c in sums:
+            x = columns[c].to_numpy(zero_copy_only=False)
+            run = np.cumsum(x) - x
+            run = run - run[first][group]
+            run[group == 0] += carried[c]
+            before[f"before_{c}"] = pa.array(run[:keep])
+            carried[c] = run[-1].item()
+        same_next = pa.array(np.r_[~new[1:], False][:keep])
+        shifted = pa.concat_arrays([columns[value][1:], pa.nulls(1, columns[value].type)])[:keep]
+        if keep:
+            out = [*(columns[c][:keep] for c in t.column_names), *before.values(), pc.if_else(same_next, shifted, pa.scalar(None, columns[value].type)), pa.array(np.full(keep, piece), pa.int32())]
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(out, schema, strict=True)], schema=schema)
+        held = None if last else t.slice(keep).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            yield from done(pa.Table.from_batches([held, batch] if held is not None else [batch]), False)
+    if held is not None:
+        yield from done(pa.Table.from_batches([held]), True)
+
+
+def running(v: DataFrame, by: list[str], value: str, sums: list[str], totals: dict[str, Column] | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """v, one row per distinct value of each group, with before_<c> and all_<c> for each of `sums`, next_value (NULL at the
-    end), low, high and distinct of the group, and further group aggregates `totals`.
+    end), low, high and distinct of the group, and further group aggregates `totals`. Groups with a null key are left out.
 
-    v is read three times, so it is written to the shared folder once; what made it runs once.
+    v is written to the shared folder once, so what made it runs once and its rows are known; so is the scanned table,
+    whose partitions' borders must not change when an executor is lost.
     """
     keys = by or ["_one"]
     base = materialize(v if by else v.withColumn("_one", F.lit(0)), "ordered-values")
-    cuts = F.percentile_approx(value, [k / pieces for k in range(1, pieces)], 1000) if pieces > 1 else F.array().cast("array<double>")
-    group = base.groupBy(*keys).agg(cuts.alias("_cuts"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("distinct"), *[F.sum(c).alias(f"all_{c}") for c in sums], *[e.alias(n) for n, e in (totals or {}).items()])
-    x = F.col(value)
-    t = base.join(group, keys).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < x))).drop("_cuts")
+    pieces = max(int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // piece_rows))
+    kinds = {f.name: f.dataType for f in base.schema}
+    fields = [*base.schema.fields, *[T.StructField(f"before_{c}", T.DoubleType() if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else T.LongType()) for c in sums], T.StructField("next_value", kinds[value]), T.StructField("_piece", T.IntegerType())]
+    spark_schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(spark_schema)
+    ordered = base.repartitionByRange(pieces, *keys, value).sortWithinPartitions(*keys, value)
+    t = materialize(ordered.mapInArrow(lambda batches: _scanned(batches, keys, value, sums, schema), spark_schema), "ordered-scanned")
+    discard(base)
+    group = t.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("distinct"), *[F.sum(c).alias(f"all_{c}") for c in sums], *[e.alias(n) for n, e in (totals or {}).items()])
+    group = broadcast_within(materialize(group, "ordered-groups"), MAX_BROADCAST)
     edges = t.groupBy(*keys, "_piece").agg(F.min(value).alias("_first"), *[F.sum(c).alias(f"_in_{c}") for c in sums])
-    order = W.partitionBy(*keys).orderBy("_piece")
-    edges = edges.select(*keys, "_piece", F.lead("_first").over(order).alias("_next"), *[F.coalesce(F.sum(f"_in_{c}").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_off_{c}") for c in sums])
-    w = W.partitionBy(*keys, "_piece").orderBy(value)
-    out = t.join(edges, [*keys, "_piece"]).withColumns({**{f"before_{c}": F.col(f"_off_{c}") + F.sum(c).over(w) - F.col(c) for c in sums}, "next_value": F.coalesce(F.lead(value).over(w), F.col("_next"))})
+    order = W.partitionBy(*keys).orderBy("_piece")  # at most as many rows as there are partitions
+    edges = edges.select(
+        *keys, "_piece", F.lead("_first").over(order).alias("_next"), F.lag("_piece").over(order).alias("_before"),
+        *[F.coalesce(F.sum(f"_in_{c}").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_off_{c}") for c in sums],
+    ).where(F.col("_next").isNotNull() | F.col("_before").isNotNull()).drop("_before")
+    # groups that cross a border: at most two a partition, whatever the data
+    out = t.join(F.broadcast(edges), [*keys, "_piece"], "left").join(group, keys)
+    out = out.withColumns({**{f"before_{c}": F.col(f"before_{c}") + F.coalesce(f"_off_{c}", F.lit(0)) for c in sums}, "next_value": F.coalesce("next_value", "_next")})
     return out.drop("_piece", "_next", *[f"_off_{c}" for c in sums], *([] if by else ["_one"]))
 
 

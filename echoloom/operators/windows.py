@@ -11,15 +11,26 @@ from pyspark.sql import functions as F
 from ..functions import signal as S
 
 
-def window_ranges(n: int, rate: float, seconds: float, overlap: float) -> list[tuple[int, int, int, int, int]]:
-    """(id, start, end, length, step) of the full windows; lengths round half to even."""
+def window_geometry(rate: float, seconds: float, overlap: float) -> tuple[int, int]:
+    """Samples of a window and from one to the next; both round half to even."""
     length = int(round(seconds * rate))
     if length <= 0:
         raise ValueError("the window has no samples")
-    step = max(1, int(round(length * (1 - overlap))))
+    return length, max(1, int(round(length * (1 - overlap))))
+
+
+def window_ranges(n: int, rate: float, seconds: float, overlap: float) -> list[tuple[int, int, int, int, int]]:
+    """(id, start, end, length, step) of the full windows."""
+    length, step = window_geometry(rate, seconds, overlap)
     return [(k, s, s + length, length, step) for k, s in enumerate(range(0, n - length + 1, step))]
 
 
+def windows_between(n: int, rate: float, seconds: float, overlap: float, first: int, last: int) -> list[tuple[int, int, int, int, int]]:
+    """Those of window_ranges() that start at samples first to last, without making the others."""
+    length, step = window_geometry(rate, seconds, overlap)
+    return [(s // step, s, s + length, length, step) for s in range(-(-max(0, first) // step) * step, min(last, n - length + 1), step)]
+
+
 def frame_windows(n: Column, length: int, step: int) -> Column:
     """Starts of windows over frames; a recording no longer than a window is one whole window."""
     if length <= 0 or step <= 0:

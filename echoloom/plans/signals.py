@@ -21,6 +21,7 @@ from ..operators import splits as SP
 from ..session import new_path, shared_dir
 from ..sources import decode as DC
 from ..sources import files as SF
+from ..sources import ranges as RG
 from ..streaming import windows as ST
 from .stats import FEATURES
 from .tables import table
@@ -240,6 +241,73 @@ def npz_round_trip(spark, sf_dir):
     )
 
 
+#: Order keys of one stand-in recording, samples of one range of it, and the margins of the range queries.
+BLOCK, RANGE_SAMPLES, BEFORE, AFTER = 2048, 100, 7, 9
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of neighbouring orders, at most BLOCK samples: rec, a (prices) and b (keys modulo 97) by order key."""
+    t = table(spark, sf_dir, "orders").select((F.col("o_orderkey").cast("long") / BLOCK).cast("long").alias("rec"), F.struct(F.col("o_orderkey").cast("long").alias("k"), F.col("o_totalprice").cast("double").alias("p")).alias("s"))
+    held = t.groupBy("rec").agg(F.array_sort(F.collect_list("s")).alias("xs"))
+    return held.select("rec", F.transform("xs", lambda s: s["p"]).alias("a"), F.transform("xs", lambda s: (s["k"] % 97).cast("double")).alias("b"))
+
+
+def _range_sql(channels: dict[str, str], scale: str = "1") -> str:
+    """Rows of every range of every channel from the orders themselves: own samples, margins, and sums of both."""
+    all_channels = " UNION ALL ".join(f"SELECT rec, i, n, {c} AS channel_index, ({e}) * {scale} AS v FROM o" for c, e in channels.items())
+    return f"""WITH o AS (SELECT o_orderkey // {BLOCK} AS rec, o_orderkey AS k, o_totalprice::DOUBLE AS p, row_number() OVER (PARTITION BY o_orderkey // {BLOCK} ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderkey // {BLOCK}) AS n FROM orders),
+ v AS ({all_channels}), r AS (SELECT DISTINCT rec, channel_index, n, i // {RANGE_SAMPLES} AS part FROM v)
+ SELECT r.rec::BIGINT AS rec, r.channel_index::INTEGER AS channel_index, (part * {RANGE_SAMPLES})::BIGINT AS first, least(r.n, (part + 1) * {RANGE_SAMPLES})::BIGINT AS last, r.n::BIGINT AS total, least(part * {RANGE_SAMPLES}, {BEFORE})::INTEGER AS lead, count(*)::BIGINT AS samples,
+ round(sum(v) FILTER (i // {RANGE_SAMPLES} = part), 2) AS own_sum, round(sum(v * (i - part * {RANGE_SAMPLES} + {BEFORE} + 1)), 2) AS weighted, 64000.0::DOUBLE AS sample_rate
+ FROM r JOIN v ON v.rec = r.rec AND v.channel_index = r.channel_index AND v.i >= part * {RANGE_SAMPLES} - {BEFORE} AND v.i < (part + 1) * {RANGE_SAMPLES} + {AFTER} GROUP BY ALL"""
+
+
+def _range_rows(ranges: DataFrame) -> DataFrame:
+    own = F.aggregate(RG.owned(), F.lit(0.0), lambda s, x: s + x)
+    weighted = F.aggregate(F.zip_with("signal", F.sequence(F.lit(1), F.size("signal")), lambda x, i: x * (i + BEFORE - F.col("lead"))), F.lit(0.0), lambda s, x: s + x)
+    return ranges.select(
+        F.regexp_extract("path", r"rec(\d+)[^/]*$", 1).cast("long").alias("rec"), "channel_index", "first", "last", "total", "lead", F.size("signal").cast("long").alias("samples"), F.round(own, 2).alias("own_sum"), F.round(weighted, 2).alias("weighted"), "sample_rate",
+    )
+
+
+@query(_range_sql({"0": "p", "1": "k % 97"}))
+def npz_ranges(spark, sf_dir):
+    """#4-#8, #10, #104: two-channel containers of whole recordings, every third compressed, read by ranges with margins."""
+
+    def encode(r: dict) -> bytes:
+        return DC.encode_npz(np.column_stack([r["a"], r["b"]]), RATE, compressed=r["rec"] % 3 == 0, starttime="20260101T000000.000")
+
+    folder = new_path(spark, "npz-ranges")
+    DC.write_files(_blocks(spark, sf_dir).withColumn("file_name", F.concat(F.lit("rec"), F.col("rec"), F.lit(".npz"))), folder, encode).count()
+    return _range_rows(RG.read_ranges(spark, folder, range_values=2 * RANGE_SAMPLES, before=BEFORE, after=AFTER))
+
+
+@query(_range_sql({"0": "round(p)", "1": "k % 97"}, "(pi() / 32767)"))
+def bin_ranges(spark, sf_dir):
+    """#11: frames of two points of whole numbers, read by ranges with margins and scaled to radians."""
+
+    def encode(r: dict) -> bytes:
+        return DC.encode_bin(np.column_stack([r["whole"], r["b"]]))
+
+    folder = new_path(spark, "bin-ranges")
+    t = _blocks(spark, sf_dir).withColumn("whole", F.transform("a", lambda v: F.round(v))).withColumn("file_name", F.concat(F.lit("rec"), F.col("rec"), F.lit("-2pt-64000Hz-.bin")))
+    DC.write_files(t, folder, encode).count()
+    return _range_rows(RG.read_ranges(spark, folder, range_values=2 * RANGE_SAMPLES, before=BEFORE, after=AFTER))
+
+
+@query(_range_sql({"0": "p"}))
+def tdms_ranges(spark, sf_dir):
+    """#9: segmented files of two channels, every other one interleaved; the table of files is planned by tasks."""
+
+    def encode(r: dict) -> bytes:
+        return DC.encode_tdms({"noise": r["b"], "phase": r["a"]}, {"sample_rate": RATE}, segment=333, interleaved=r["rec"] % 2 == 1)
+
+    folder = new_path(spark, "tdms-ranges")
+    DC.write_files(_blocks(spark, sf_dir).withColumn("file_name", F.concat(F.lit("rec"), F.col("rec"), F.lit(".tdms"))), folder, encode).count()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tdms").load(folder)
+    return _range_rows(RG.ranges_of(files, RANGE_SAMPLES, BEFORE, AFTER))
+
+
 @query("SELECT vec_id, true AS round_trip, true AS rows_apart, true AS fast_is_scaled FROM embeddings")
 def signal_invariants(spark, sf_dir):
     """#59, #70-#72 on every record: the transform and back within 1e-10, band filters that don't mix rows, and the unscaled

@@ -335,10 +335,31 @@ def mean_convergence(spark, sf_dir):
     return t.withColumn("l2", F.round("l2", 6))
 
 
-@query()
+def _psi_sql(x: str) -> str:
+    y = f"({x} + 6.0)"
+    return f"(ln{y} - 0.5 / {y} - 1 / {y} ** 2 / 12 + 1 / {y} ** 4 / 120 - 1 / {y} ** 6 / 252 - " + " - ".join(f"1 / ({x} + {i}.0)" for i in range(6)) + ")"
+
+
+# neighbours by lists of the three values on both sides, places inside by as-of joins on cumulative counts
+_NEAR = ", ".join(f"{{'gap': abs({f}(value, {i}) OVER w - value), 'at': {f}(value, {i}) OVER w, 'n': {f}(n, {i}) OVER w}}" for f in ("lag", "lead") for i in (1, 2, 3))
+_TAKEN = "list_sum(list_transform(list_filter(near, lambda x: x.gap {} r), lambda x: x.n))"
+
+
+@query(f"""WITH d AS (SELECT feature, side, value, count(*) AS n FROM {SIDED} GROUP BY ALL),
+ a AS (SELECT feature, value, sum(n) AS here, sum(sum(n)) OVER (PARTITION BY feature ORDER BY value) AS upto FROM d GROUP BY feature, value),
+ b AS (SELECT feature, side, value, n, sum(n) OVER (PARTITION BY feature, side) AS size, list_filter([{_NEAR}], lambda x: x.at IS NOT NULL) AS near FROM d WINDOW w AS (PARTITION BY feature, side ORDER BY value)),
+ e AS (SELECT *, least(3, size - 1) AS k FROM b WHERE size > 1),
+ g AS (SELECT *, CASE WHEN n <= k THEN list_min(list_filter(list_transform(near, lambda y: CASE WHEN n - 1 + list_sum(list_transform(list_filter(near, lambda x: x.gap <= y.gap), lambda x: x.n)) >= k THEN y.gap END), lambda z: z IS NOT NULL)) END AS r FROM e),
+ h AS (SELECT *, list_filter(near, lambda x: x.gap = r)[1].at AS side_at, coalesce({_TAKEN.format('<')}, 0) AS inside, coalesce({_TAKEN.format('=')}, 0) AS shell FROM g),
+ i AS (SELECT *, k - (n - 1) - inside AS ord, CASE WHEN side_at < value THEN side_at ELSE value - r END AS lo, CASE WHEN side_at < value THEN value + r ELSE side_at END AS hi FROM h),
+ j AS (SELECT i.*, coalesce(x.upto, 0) AS upto_lo, coalesce(y.upto, 0) AS below_hi FROM i ASOF LEFT JOIN a x ON i.feature = x.feature AND i.lo >= x.value ASOF LEFT JOIN a y ON i.feature = y.feature AND i.hi > y.value),
+ l AS (SELECT j.*, coalesce(x.here, 0) + coalesce(y.here, 0) - shell AS others, z.here FROM j LEFT JOIN a x ON j.feature = x.feature AND j.lo = x.value LEFT JOIN a y ON j.feature = y.feature AND j.hi = y.value JOIN a z ON j.feature = z.feature AND j.value = z.value),
+ m AS (SELECT *, CASE WHEN n > k THEN {_psi_sql('k')} + {_psi_sql('here')} - {_psi_sql('n')} ELSE {_psi_sql('greatest(1.0, below_hi - upto_lo + ord - 1 + greatest(0, others) * ord / (shell + 1.0))')} END AS q FROM l)
+ SELECT feature, round(greatest(0.0, {_psi_sql('sum(n)')} + sum(n * {_psi_sql('k')}) / sum(n) - sum(n * {_psi_sql('size')}) / sum(n) - sum(n * q) / sum(n)), 6) AS mi_knn FROM m GROUP BY feature""")
 def neighbour_information(spark, sf_dir):
     """#132."""
-    return SB.neighbour_information_table(sided(spark, sf_dir).select("feature", "side", "value"), ["feature"])
+    t = SB.neighbour_information_table(sided(spark, sf_dir).select("feature", "side", "value"), ["feature"])
+    return t.withColumn("mi_knn", F.round("mi_knn", 6))
 
 
 @query(f"""WITH n AS (SELECT feature, side, count(*) AS n FROM {SIDED} GROUP BY ALL), c AS (SELECT feature, CASE WHEN max(n) >= 1.2 * min(n) THEN min(n) ELSE max(n) END AS cap FROM n GROUP BY feature),

@@ -67,20 +67,25 @@ def read_npz(data: bytes, path: str) -> list[dict]:
 
 def read_bin(data: bytes, path: str) -> list[dict]:
     """Little-endian 32-bit frames by points, scaled to radians; points and rate come from the name."""
-    name = path.rsplit("/", 1)[-1]
-    points, rate = re.search(r"-(\d+)pt-", name), re.search(r"-(\d+)Hz-", name)
-    if not points:
-        raise ValueError("the name has no point count")
+    n, r = points_and_rate(path)
     if not data:
         raise ValueError("the file is empty")
-    raw, n = np.frombuffer(data, "<i4"), int(points[1])
+    raw = np.frombuffer(data, "<i4")
     if len(raw) % n:
         raise ValueError(f"{len(raw)} values are no multiple of {n} points")
     frames = raw.reshape(-1, n) * PHASE_SCALE
-    r = float(rate[1]) if rate else None
     return [{"channel_index": c, "channel_name": f"ch{c}", "signal": frames[:, c], "sample_rate": r, "starttime": None, "arrival_time": None, "type": None, "metadata": {}} for c in range(n)]
 
 
+def points_and_rate(path: str) -> tuple[int, float | None]:
+    """What the name of a file of frames says: points a frame, and samples a second where it does."""
+    name = path.rsplit("/", 1)[-1]
+    points, rate = re.search(r"-(\d+)pt-", name), re.search(r"-(\d+)Hz-", name)
+    if not points or not int(points[1]):
+        raise ValueError("the name has no point count")
+    return int(points[1]), float(rate[1]) if rate else None
+
+
 #: Numbers of the segment format's data types and their NumPy kinds.
 _TDMS_KINDS = {1: "<i1", 2: "<i2", 3: "<i4", 4: "<i8", 5: "<u1", 6: "<u2", 7: "<u4", 8: "<u8", 9: "<f4", 10: "<f8"}
 
@@ -112,19 +117,20 @@ class _Reader:
         return v[0].item()
 
 
-def tdms_channels(data: bytes) -> tuple[dict[str, np.ndarray], dict[str, dict]]:
-    """Numeric channels and the properties of all objects of a segmented file (contiguous or interleaved raw data)."""
+def tdms_places(read: Callable[[int, int], bytes], size: int) -> tuple[dict[str, list[tuple[int, int, int, str]]], dict[str, dict]]:
+    """Where the numeric channels' samples lie (offset, count, bytes from one to the next, kind), and the properties of all
+    objects of a segmented file, contiguous or interleaved. Only lead-ins and metadata are read: read(offset, bytes)."""
     order: list[str] = []
     layout: dict[str, tuple[int, int]] = {}
-    parts: dict[str, list[np.ndarray]] = {}
+    places: dict[str, list[tuple[int, int, int, str]]] = {}
     properties: dict[str, dict] = {}
     at = 0
-    while at + 28 <= len(data) and data[at : at + 4] == b"TDSm":
-        toc, _, ahead, raw_at = struct.unpack_from("<IIQQ", data, at + 4)
+    while at + 28 <= size and (lead := read(at, 28))[:4] == b"TDSm":
+        toc, _, ahead, raw_at = struct.unpack_from("<IIQQ", lead, 4)
         start = at + 28
-        end = len(data) if ahead == 0xFFFFFFFFFFFFFFFF else start + ahead
+        end = size if ahead == 0xFFFFFFFFFFFFFFFF else start + ahead
         if toc & 2:
-            r = _Reader(data, start)
+            r = _Reader(read(start, min(raw_at, size - start) if raw_at else end - start), 0)
             if toc & 4:
                 order = []
             for _ in range(r.take("I")):
@@ -140,33 +146,40 @@ def tdms_channels(data: bytes) -> tuple[dict[str, np.ndarray], dict[str, dict]]:
                     key = r.text()
                     properties.setdefault(name, {})[key] = r.value(r.take("I"))
         pos, live = start + raw_at, [n for n in order if n in layout and layout[n][0] in _TDMS_KINDS]
-        if toc & 8 and live:
-            block = sum(np.dtype(_TDMS_KINDS[layout[n][0]]).itemsize * layout[n][1] for n in live)
-            while block and pos + block <= end:
+        widths = [np.dtype(_TDMS_KINDS[layout[n][0]]).itemsize for n in live]
+        block = sum(w * layout[n][1] for n, w in zip(live, widths, strict=True)) if toc & 8 else 0
+        while block and pos + block <= end:
+            inside = 0
+            for n, w in zip(live, widths, strict=True):
+                kind, count = _TDMS_KINDS[layout[n][0]], layout[n][1]
                 if toc & 32:
-                    table = np.frombuffer(data, [(str(i), _TDMS_KINDS[layout[n][0]]) for i, n in enumerate(live)], layout[live[0]][1], pos)
-                    for i, n in enumerate(live):
-                        parts.setdefault(n, []).append(table[str(i)].astype(float))
-                    pos += block
+                    # one sample of each channel in turn
+                    places.setdefault(n, []).append((pos + inside, layout[live[0]][1], sum(widths), kind))
+                    inside += w
                 else:
-                    for n in live:
-                        v = np.frombuffer(data, _TDMS_KINDS[layout[n][0]], layout[n][1], pos)
-                        parts.setdefault(n, []).append(v.astype(float))
-                        pos += v.nbytes
+                    places.setdefault(n, []).append((pos + inside, count, w, kind))
+                    inside += w * count
+            pos += block
         at = end
-    return {n: np.concatenate(v) for n, v in parts.items()}, properties
+    return places, properties
 
 
-def read_tdms(data: bytes, path: str, channel: str | None = None, fallback_rate: float | None = None) -> list[dict]:
-    """One channel: the named one, else a preferred name, else the longest. Rate from properties, wf_increment, name, fallback."""
-    waves, properties = tdms_channels(data)
-    if not waves:
+def tdms_channels(data: bytes) -> tuple[dict[str, np.ndarray], dict[str, dict]]:
+    """Numeric channels and the properties of all objects of a segmented file that is in memory."""
+    places, properties = tdms_places(lambda at, n: data[at : at + n], len(data))
+    return {n: np.concatenate([np.ndarray(count, kind, data, offset, step).astype(float) for offset, count, step, kind in v]) for n, v in places.items()}, properties
+
+
+def tdms_choice(lengths: dict[str, int], properties: dict[str, dict], path: str, channel: str | None, fallback_rate: float | None) -> tuple[str, str, float, dict]:
+    """The channel to read (the named one, else a preferred name, else the longest), its short name, its rate (from properties,
+    wf_increment, the file's name, the fallback) and the properties that hold for it."""
+    if not lengths:
         raise ValueError("no numeric channel")
-    short = {n: n.rsplit("'/'", 1)[-1].strip("/'") for n in waves}
+    short = {n: n.rsplit("'/'", 1)[-1].strip("/'") for n in lengths}
     by = {s.lower(): n for n, s in short.items()}
     if channel is not None and channel.lower() not in by:
         raise ValueError(f"no channel named {channel}")
-    name = by.get((channel or "").lower()) or next((by[p] for p in PREFERRED_CHANNELS if p in by), None) or max(waves, key=lambda n: len(waves[n]))
+    name = by.get((channel or "").lower()) or next((by[p] for p in PREFERRED_CHANNELS if p in by), None) or max(lengths, key=lengths.__getitem__)
     merged: dict[str, object] = {}
     for scope in ("/", name.rsplit("/'", 1)[0], name):
         merged |= {k.lower(): v for k, v in properties.get(scope, {}).items()}
@@ -175,7 +188,14 @@ def read_tdms(data: bytes, path: str, channel: str | None = None, fallback_rate:
     rate = _number(merged.get("sample_rate")) or (1 / step if step else None) or (float(token[1]) * (1e6 if token[2].lower() == "m" else 1e3) if token else None) or fallback_rate
     if not rate:
         raise ValueError("no sample rate")
-    return [{"channel_index": 0, "channel_name": short[name], "signal": waves[name], "sample_rate": float(rate), "starttime": _text(merged.get("starttime")), "arrival_time": _text(merged.get("arrival_time")), "type": _text(merged.get("type")), "metadata": {k: str(v) for k, v in merged.items()}}]
+    return name, short[name], float(rate), merged
+
+
+def read_tdms(data: bytes, path: str, channel: str | None = None, fallback_rate: float | None = None) -> list[dict]:
+    """One channel: the named one, else a preferred name, else the longest. Rate from properties, wf_increment, name, fallback."""
+    waves, properties = tdms_channels(data)
+    name, short, rate, merged = tdms_choice({n: len(w) for n, w in waves.items()}, properties, path, channel, fallback_rate)
+    return [{"channel_index": 0, "channel_name": short, "signal": waves[name], "sample_rate": rate, "starttime": _text(merged.get("starttime")), "arrival_time": _text(merged.get("arrival_time")), "type": _text(merged.get("type")), "metadata": {k: str(v) for k, v in merged.items()}}]
 
 
 READERS: dict[str, Callable[[bytes, str], list[dict]]] = {".npz": read_npz, ".tdms": read_tdms, ".bin": read_bin}
@@ -221,13 +241,40 @@ def dead_letters(records: DataFrame) -> DataFrame:
     return records.where(F.col("status") == "failed").select("path", "message")
 
 
-def encode_npz(signal, rate: float, **extra) -> bytes:
+def encode_npz(signal, rate: float, compressed: bool = False, **extra) -> bytes:
     """The waveform container with its counts."""
     out, wave = io.BytesIO(), np.asarray(signal, float)
-    np.savez(out, phase_data=wave, sample_rate=np.float64(rate), comm_count=len(wave), npts=len(wave), **{k: v for k, v in extra.items() if v is not None})
+    (np.savez_compressed if compressed else np.savez)(out, phase_data=wave, sample_rate=np.float64(rate), comm_count=len(wave), npts=len(wave), **{k: v for k, v in extra.items() if v is not None})
     return out.getvalue()
 
 
+def encode_bin(frames) -> bytes:
+    """Frames (samples by points) of whole numbers, as read_bin reads them before scaling."""
+    return np.asarray(frames, "<i4").tobytes()
+
+
+def encode_tdms(channels: dict[str, np.ndarray], properties: dict | None = None, segment: int | None = None, interleaved: bool = False, group: str = "g") -> bytes:
+    """A segmented file of 64-bit floats: the root's properties and one group's channels, `segment` samples a segment."""
+
+    def text(s: str) -> bytes:
+        b = s.encode()
+        return struct.pack("<I", len(b)) + b
+
+    def described(p: dict) -> bytes:
+        return struct.pack("<I", len(p)) + b"".join(text(k) + (struct.pack("<I", 0x20) + text(v) if isinstance(v, str) else struct.pack("<Id", 10, v)) for k, v in p.items())
+
+    longest, out = max((len(x) for x in channels.values()), default=0), b""
+    size = segment or max(1, longest)
+    for a in range(0, max(1, longest), size):
+        parts = {n: np.asarray(x, "<f8")[a : a + size] for n, x in channels.items()}
+        meta = struct.pack("<I", 1 + len(parts)) + text("/") + struct.pack("<I", 0xFFFFFFFF) + described((properties or {}) if a == 0 else {})
+        for n, x in parts.items():
+            meta += text(f"/'{group}'/'{n}'") + struct.pack("<IIIQ", 20, 10, 1, len(x)) + described({})
+        raw = np.column_stack(list(parts.values())).tobytes() if interleaved else b"".join(x.tobytes() for x in parts.values())
+        out += b"TDSm" + struct.pack("<IIQQ", 2 | 4 | 8 | (32 if interleaved else 0), 4713, len(meta) + len(raw), len(meta)) + meta + raw
+    return out
+
+
 def write_npz(samples: DataFrame, folder: str) -> DataFrame:
     """file_name, signal, sample_rate and any string columns -> one container a row in the (shared) folder, through the store
     of its URI; returns file_name and bytes. A task that is tried again writes the same files anew.
@@ -235,6 +282,11 @@ def write_npz(samples: DataFrame, folder: str) -> DataFrame:
     A row without name, signal or rate is an error. Lazy, as every DataFrame is: the files exist once the result is read.
     """
     extra = [c for c, k in samples.dtypes if k == "string" and c != "file_name"]
+    return write_files(samples.select("file_name", "signal", "sample_rate", *extra), folder, lambda r: encode_npz(r["signal"], r["sample_rate"], **{c: r[c] for c in extra}))
+
+
+def write_files(samples: DataFrame, folder: str, encode: Callable[[dict], bytes]) -> DataFrame:
+    """One file a row, named by file_name, of what encode(row) gives; as write_npz otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -244,10 +296,10 @@ def write_npz(samples: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             sizes = []
             for r in b.to_pylist():
-                data = encode_npz(r["signal"], r["sample_rate"], **{c: r[c] for c in extra})
+                data = encode(r)
                 with store.open_output_stream(f"{root}/{r['file_name']}") as out:
                     out.write(data)
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([b.column("file_name"), pa.array(sizes, pa.int64())], names=["file_name", "bytes"])
 
-    return samples.select("file_name", "signal", "sample_rate", *extra).mapInArrow(run, "file_name string, bytes long")
+    return samples.mapInArrow(run, "file_name string, bytes long")

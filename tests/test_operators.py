@@ -266,8 +266,8 @@ def test_running_sums_over_pieces(spark):
     rng = np.random.default_rng(9)
     rows = [(g, float(v), int(rng.integers(0, 4))) for g in "ab" for v in sorted(rng.permutation(500)[:200])] + [("c", 1.0, 2)]
     t = spark.createDataFrame(rows, "g string, v double, p long")
-    for pieces in (1, 3, 16):
-        got = running(t, ["g"], "v", ["p"], pieces=pieces).orderBy("g", "v").collect()
+    for rows_each in (10_000, 150, 7):
+        got = running(t, ["g"], "v", ["p"], piece_rows=rows_each).orderBy("g", "v").collect()
         for g in "abc":
             mine = sorted((v, p) for k, v, p in rows if k == g)
             before = np.concatenate([[0], np.cumsum([p for _, p in mine])[:-1]]).tolist()
