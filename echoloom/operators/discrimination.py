@@ -92,11 +92,12 @@ def discrimination_table(long: DataFrame, label: str, comparisons: dict[str, tup
     """
     listed = F.array(*[F.struct(F.lit(n).alias("comparison"), F.array(*map(F.lit, p)).alias("p"), F.array(*map(F.lit, q)).alias("q")) for n, (p, q) in comparisons.items()])
     l, x = F.col(label), F.col(value)
-    t = long.where(x.isNotNull()).select("feature", label, value)
+    # folded by label first: what fans out to the comparisons is a row per label and distinct value
+    t = long.where(x.isNotNull()).groupBy("feature", label, value).agg(F.count(F.lit(1)).alias("_n"))
     t = t.withColumn("_c", F.explode(F.filter(listed, lambda c: F.array_contains(c["p"], l) | F.array_contains(c["q"], l))))
-    positive = F.array_contains(F.col("_c.p"), l).cast("long")
+    positive = F.array_contains(F.col("_c.p"), l)
     by = ["comparison", "feature"]
-    v = t.groupBy(F.col("_c.comparison").alias("comparison"), "feature", value).agg(F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
+    v = t.groupBy(F.col("_c.comparison").alias("comparison"), "feature", value).agg(F.sum(F.when(positive, F.col("_n")).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(F.col("_n"))).alias("q"))
     v = running(v, by, value, ["p", "q"], {"_mp": F.try_divide(F.sum(F.col("p") * x), F.sum("p")), "_mq": F.try_divide(F.sum(F.col("q") * x), F.sum("q"))})
     total = F.col("all_p") + F.col("all_q")
     bins = F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.sqrt(total)))).cast("int")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .ordered import ordinal
+
 #: Features that may be undefined in a complete file.
 MAY_BE_NAN = frozenset({"beta_H", "alpha_hat", "H2_ratio", "epsilon_2x", "C_h", "R_2_1", "R_h", "T_half_high"})
 
@@ -38,16 +41,61 @@ def completion_gate(rows: DataFrame, expected: DataFrame, features: list[str], f
 
 
 def write_gated(rows: DataFrame, gate: DataFrame, path: str, ledger_path: str, retry_path: str, file: str = "file", files_per_part: int = 10) -> None:
-    """Complete files are appended in numbered parts, then listed in the ledger; others are listed for a retry.
+    """Complete files go to parts of `files_per_part` files each, in order of their names; the ledger lists them with their
+    parts; others are listed for a retry.
 
-    Data first, ledger second: after a crash in between a file is written again, never lost.
+    A part is named by the digest of its files and replaces one of its name, so writing it again gives the same rows once.
+    The ledger of a run is staged and published by one rename, which is when its parts count (see read_gated). Files that
+    the ledger has are left out. So a run that stops anywhere and is repeated ends as if it had run once: what it
+    staged without publishing is replaced, or never read.
     """
-    from pyspark.sql import Window as W
-
-    numbered = gate.where("complete").select(file, (F.floor((F.row_number().over(W.orderBy(file)) - 1) / files_per_part) + 1).cast("int").alias("part"))
-    rows.join(numbered, file).write.mode("append").partitionBy("part").parquet(path)
-    gate.where("complete").select(F.col(file).alias("path")).write.mode("append").parquet(ledger_path)
-    gate.where(~F.col("complete")).select(file, F.array_join("errors", ";").alias("errors")).write.mode("append").parquet(retry_path)
+    spark = rows.sparkSession
+    done = published(spark, ledger_path)
+    new = gate if done is None else gate.join(done.select(F.col("path").alias(file)), file, "left_anti")
+    listed = ordinal(new.where("complete").select(file, "n_windows"), [], [file]).withColumn("_part", F.floor(F.col("_ordinal") / files_per_part))
+    # at most files_per_part names meet in one row
+    names = listed.groupBy("_part").agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.col(file).cast("string")))), 256).alias("part"))
+    parts = materialize(listed.join(names, "_part").select(file, "n_windows", "part"), "gated-parts")
+    run = parts.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.bit_xor(F.xxhash64(file, "part")).cast("string")), 256)).first()[0]
+    if parts.limit(1).count():
+        rows.join(parts.select(file, "part"), file).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        publish(parts.select(F.col(file).alias("path"), "part", "n_windows"), ledger_path, run)
+    failed = new.where(~F.col("complete")).select(file, F.array_join("errors", ";").alias("errors"))
+    failed.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(retry_path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def publish(ledger: DataFrame, ledger_path: str, run: str) -> None:
+    """A run's ledger under its digest, all or nothing: written beside it under a name that readers pass over, then renamed."""
+    spark = ledger.sparkSession
+    fs, of = _file_system(spark, ledger_path)
+    staged, there = of(f"{ledger_path}/.staged-{run}"), of(f"{ledger_path}/run={run}")
+    ledger.write.mode("overwrite").parquet(staged.toString())
+    if fs.exists(there):
+        fs.delete(staged, True)
+    elif not fs.rename(staged, there):
+        raise OSError(f"could not publish {there.toString()}")
+
+
+def published(spark: SparkSession, ledger_path: str) -> DataFrame | None:
+    """path, part, n_windows, run of all published files; None before the first."""
+    fs, of = _file_system(spark, ledger_path)
+    if not fs.exists(of(ledger_path)) or not any(s.getPath().getName().startswith("run=") for s in fs.listStatus(of(ledger_path))):
+        return None
+    return spark.read.parquet(ledger_path)
+
+
+def read_gated(spark: SparkSession, path: str, ledger_path: str) -> DataFrame | None:
+    """Rows of the published parts; folders that no ledger lists aren't read. None before the first is published."""
+    done = published(spark, ledger_path)
+    if done is None:
+        return None
+    parts = done.select("part").distinct()
+    return spark.read.parquet(path).join(parts, "part", "left_semi")
 
 
 def audit_headers(headers: DataFrame, tolerance: float = 1e-6) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..functions.values import seeded_order
+from .ordered import ordinal
 
 
 def _draw(name: str, n: int, seed: int) -> Column:
@@ -29,7 +29,8 @@ def draw_specs(spark: SparkSession, count: int, n_noise: int, n_event: int, shif
 
 def numbered(records: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """records with `number` from 1 in seeded order. The order is of keys only; records join it after."""
-    keys = records.select(key).distinct().withColumn("number", F.row_number().over(W.orderBy(seeded_order(F.col(key), seed=seed), key)))
+    keys = ordinal(records.select(key).distinct().withColumn("_order", seeded_order(F.col(key), seed=seed)), [], ["_order", key])
+    keys = keys.select(key, (F.col("_ordinal") + 1).cast("int").alias("number"))
     return records.join(keys, key)
 
 

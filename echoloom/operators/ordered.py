@@ -110,6 +110,27 @@ def running(v: DataFrame, by: list[str], value: str, sums: list[str], totals: di
     return out.drop("_piece", "_next", *[f"_off_{c}" for c in sums], *([] if by else ["_one"]))
 
 
+def ordinal(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df with `_ordinal`, each row's place (from 0) in its group by the columns of `order`; ties in any order.
+
+    Rows are sorted over range partitions and written; places within a partition are the rows' numbers there, and what lies
+    before it is a row per group and partition.
+    """
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(pieces, *by, *order).sortWithinPartitions(*by, *order)
+    t = materialize(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "ordered-rows")
+    names = {c: f"_g{k}" for k, c in enumerate(by)}
+    piece = F.shiftright("_id", 33)
+    edges = t.groupBy(*[F.col(c).alias(g) for c, g in names.items()], piece.alias("_p")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*names.values()).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # at most a row a partition
+    edges = edges.select(*names.values(), "_p", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift"))
+    edges = broadcast_within(materialize(edges, "ordered-edges"), MAX_BROADCAST)
+    same = piece == F.col("_p")
+    for c, g in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(g))
+    return t.join(edges, same).select(*df.columns, (F.col("_id") + F.col("_shift")).alias("_ordinal"))
+
+
 def order_statistic(value: str, weight: str, k: Column) -> Column:
     """Aggregate over running() rows: the k-th (from 0) of the values repeated by their weight."""
     return F.max(F.when((F.col(f"before_{weight}") <= k) & (k < F.col(f"before_{weight}") + F.col(weight)), F.col(value)))
