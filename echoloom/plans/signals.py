@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from .. import features_engine as E
 from ..kernels import features as K
 from ..kernels import filters, spectra
+from ..ml import many as MY
 from ..ml import models as ML
 from ..ml import subset as SB
 from ..operators import localize as LO
 from ..operators import mixtures as MX
 from ..operators import records as R
+from ..operators import selection as SL
 from ..operators import splits as SP
 from ..session import new_path, shared_dir
 from ..sources import decode as DC
@@ -193,6 +195,22 @@ def classification_tests(spark, sf_dir):
     return ML.classification_tests(t, tests, order, "cls", "l_orderkey", "k", (3,))[0]
 
 
+@query()
+def cross_condition(spark, sf_dir):
+    """#156-#159: every set of training domains (return flags) with three numbers of leading features, elimination, the grid of
+    logistic and kernel machines, thresholds, and the test rows of every domain."""
+    l = table(spark, sf_dir, "lineitem")
+    y = (F.col("l_quantity") / 50 + 6 * F.col("l_discount") + F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) / 250.0 > 0.95).cast("int")
+    price, part = F.col("l_extendedprice"), F.col("l_discount")
+    made = {"net": price * (1 - part), "unit": price / F.col("l_quantity"), "day": F.dayofweek("l_shipdate").cast("double"), "rest": F.pmod("l_partkey", F.lit(97)).cast("double")}
+    t = SP.fold_split(l.select("l_orderkey", "l_returnflag", *[F.col(c).cast("double").alias(c) for c in FEATURES], *[e.alias(n) for n, e in made.items()], y.alias("label")), "l_orderkey", 0.7)
+    features = [*FEATURES, *made]
+    sets = ML.experiments(sorted(r[0] for r in t.select("l_returnflag").distinct().collect()))  # a row per domain
+    train = t.where("split = 'train'")
+    orders = SL.stage_orders(train, features, "label", "l_returnflag", {"+".join(s): list(s) for s in sets})
+    return MY.cross_condition(t, features, "l_returnflag", "l_orderkey", {s: orders["+".join(s)] for s in sets if orders["+".join(s)]}, top=(4, 6, 8), folds=3, least=3, points=48)
+
+
 @query()
 def importance_rankings(spark, sf_dir):
     """#160."""
