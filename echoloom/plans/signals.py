@@ -14,6 +14,7 @@ from ..kernels import features as K
 from ..kernels import filters, spectra
 from ..ml import many as MY
 from ..ml import models as ML
+from ..ml import nearest as NR
 from ..ml import subset as SB
 from ..operators import localize as LO
 from ..operators import mixtures as MX
@@ -231,6 +232,23 @@ def pca2(spark, sf_dir):
     return t.select("c_custkey", F.round("pc1", 5).alias("pc1"), F.round("pc2", 5).alias("pc2"))
 
 
+@query("""WITH t AS (SELECT c_custkey, c_mktsegment AS y, c_acctbal / 1000.0 AS a, c_nationkey / 5.0 AS b, (c_custkey % 11) / 3.0 AS c FROM customer)
+ SELECT t.c_custkey, round(min(sqrt((t.a - o.a) ** 2 + (t.b - o.b) ** 2 + (t.c - o.c) ** 2)) FILTER (WHERE t.y = o.y), 6) AS hit, round(min(sqrt((t.a - o.a) ** 2 + (t.b - o.b) ** 2 + (t.c - o.c) ** 2)) FILTER (WHERE t.y <> o.y), 6) AS miss
+ FROM t JOIN t o ON t.c_custkey <> o.c_custkey GROUP BY t.c_custkey""")
+def nearest_customers(spark, sf_dir):
+    """#163: exact nearest row of the same and of another segment, for every customer."""
+    t = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") / 1000.0).alias("a"), (F.col("c_nationkey") / 5.0).alias("b"), ((F.col("c_custkey") % 11) / 3.0).alias("c"))
+    found = NR.nearest_rows(t, ["a", "b", "c"], "c_mktsegment", cell_points=200)
+    points = t.withColumn("x", F.array("a", "b", "c")).select("c_custkey", "c_mktsegment", "x")
+    return points.join(found, ["c_mktsegment", "x"]).select("c_custkey", F.round("hit", 6).alias("hit"), F.round("miss", 6).alias("miss"))
+
+
+@query()
+def feature_relevance(spark, sf_dir):
+    """#163: nearest hit and miss relevance of all rows."""
+    return NR.relevance(_labelled(spark, sf_dir), FEATURES, "label").withColumn("relief", F.round("relief", 6))
+
+
 @query()
 def subset_search(spark, sf_dir):
     """#162, #163: prefixes scored by a discriminant and forward search over all rows, nearest hit/miss relevance on 4000."""
