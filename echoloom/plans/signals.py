@@ -7,6 +7,7 @@ import os
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import features_engine as E
@@ -212,6 +213,17 @@ def cross_condition(spark, sf_dir):
     return MY.cross_condition(t, features, "l_returnflag", "l_orderkey", {s: orders["+".join(s)] for s in sets if orders["+".join(s)]}, top=(4, 6, 8), folds=3, least=3, points=48)
 
 
+@query()
+def l1_stability(spark, sf_dir):
+    """#161: selection frequencies and weights of L1 logistic regression over seeded halves along a path of penalties, ranked by mean
+    less deviation at the loosest."""
+    t = _labelled(spark, sf_dir).withColumn("noise", F.pmod(F.xxhash64("l_orderkey", F.lit(5)), F.lit(1000)) / 1000.0)
+    found = MY.stability_selection(t, [*FEATURES, "noise"], "l_orderkey")
+    # a row per feature and penalty
+    order = W.partitionBy("C").orderBy(F.desc(F.col("mean") - F.col("std")), "feature")
+    return found.withColumn("rank", F.row_number().over(order)).select("feature", "C", "frequency", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "rank")
+
+
 @query()
 def importance_rankings(spark, sf_dir):
     """#160."""
