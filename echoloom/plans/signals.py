@@ -26,6 +26,7 @@ from ..session import new_path, shared_dir
 from ..sources import decode as DC
 from ..sources import files as SF
 from ..sources import ranges as RG
+from ..streaming import stateful as SW
 from ..streaming import windows as ST
 from .stats import FEATURES
 from .tables import table
@@ -403,3 +404,36 @@ def stream_scoring(spark, sf_dir):
     s = ST.alarms(ST.read_files(spark, f"{folder}/in", schema), {"value": 1 / 20}, -4.0, 0.5).select("event_id", "probability", "alarm")
     ST.write_once(s, f"{folder}/out", f"{folder}/ck")
     return spark.read.parquet(f"{folder}/out").select("event_id", F.round("probability", 6).alias("probability"), "alarm")
+
+
+_LATE_SQL = """WITH m AS (SELECT max(ts) - INTERVAL 7 DAY AS wm FROM events), e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('millisecond', ts), event_id, value) - 1 AS i FROM events, m WHERE (epoch_ms(ts) // 3600000 + 1) * 3600000 <= epoch_ms(wm)),
+ n AS (SELECT user_id, max(i) + 1 AS n FROM e GROUP BY 1), w AS (SELECT user_id, unnest(range(0, (n - 8) // 4 + 1)) AS window_id FROM n WHERE n >= 8)
+ SELECT w.user_id, w.window_id, round(avg(value), 6) AS mean, round(sqrt(avg(value * value)), 6) AS rms, round(max(abs(value)), 6) AS peak FROM w JOIN e ON e.user_id = w.user_id AND e.i >= 4 * window_id AND e.i < 4 * window_id + 8 GROUP BY ALL"""
+
+
+@query(_LATE_SQL)
+def stream_late_windows(spark, sf_dir):
+    """2.12c: windows of eight events, four apart, across the batches of a stream; weeks arrive one after the other and their
+    events in no order. Rows wait for the watermark, a week behind, and hours that it hasn't passed aren't out yet."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = new_path(spark, "late-stream")
+    week = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / (7 * 86_400_000))
+    weeks = [r[0] for r in events.select(week.alias("week")).distinct().orderBy("week").collect()]  # a row a week
+    for w in weeks:
+        events.where(week == w).write.mode("append").parquet(f"{folder}/in")
+    s = ST.timed(ST.read_files(spark, f"{folder}/in", events.schema, files_per_batch=1), "ts", "7 days")
+    ST.write_once(SW.late_windows(s, "user_id", "ts", "event_id", "value", 8, 4, 3600.0, 1e9), f"{folder}/out", f"{folder}/ck")
+    return spark.read.parquet(f"{folder}/out").select("user_id", "window_id", *[F.round(c, 6).alias(c) for c in ("mean", "rms", "peak")])
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS far FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+ SELECT user_id, min(ts) AS "start", max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf_dir):
+    """2.12d: session windows of a file stream, all that is there."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    folder = new_path(spark, "session-stream")
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(f"{folder}/in")
+    s = ST.sessions(ST.timed(ST.read_files(spark, f"{folder}/in", schema), "ts", "1 second"), "ts", ["user_id"], "6 hours")
+    name = "sessions_" + os.urandom(6).hex()
+    ST.run_once(s, name, f"{folder}/ck", "complete")
+    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
