@@ -43,6 +43,32 @@ def infer_split(explicit: Column, folder: Column) -> Column:
     )
 
 
+#: The classes, and spellings of them in the sources.
+SOURCE_LABELS = ("FL00", "FL05", "BK00", "BK05", "QJ00", "QJ05")
+SOURCE_ALIASES = {
+    "FL00": ("fl00", "flow00", "v0-flow", "0829-flow-v0", "flow-v0"),
+    "FL05": ("fl05", "flow05", "v0.5-flow", "v05-flow", "flow-v05", "flow-v0.5"),
+    "BK00": ("bk", "bk00", "v0-bk"),
+    "BK05": ("bk05", "v05-bk", "v0.5-bk"),
+    "QJ00": ("qj", "qj00", "v0-qj"),
+    "QJ05": ("qj05", "v05-qj", "v0.5-qj"),
+}
+
+
+def source_label(value: Column, fallback: Column) -> Column:
+    """The class that a source's spelling means; the fallback (the folder's class) for a missing, general or unknown one."""
+    t = F.lower(F.trim(value.cast("string")))
+    found = F.coalesce(*[F.when(t.isin(*names), k) for k, names in SOURCE_ALIASES.items()])
+    return F.coalesce(found, fallback)
+
+
+def target_label(source: Column) -> Column:
+    """BK or Other of a class; any other text is an error."""
+    t = F.trim(source)
+    known = F.when(t.isin(*SOURCE_LABELS), F.when(t.startswith("BK"), "BK").otherwise("Other"))
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("no class: "), F.coalesce(t, F.lit("null")))).cast("string"))
+
+
 def binary_label(label: Column) -> Column:
     return F.upper(label).startswith("BK").cast("int")
 

@@ -20,16 +20,29 @@ def moving_average(x: np.ndarray, width: int) -> np.ndarray:
     return (c[..., np.clip(first + width, 0, n)] - c[..., np.clip(first, 0, n)]) / width
 
 
-def envelope(x: np.ndarray, rate: float, smooth_ms: float) -> np.ndarray:
-    """Magnitude of the analytic signal, averaged over smooth_ms."""
+def analytic(x: np.ndarray) -> np.ndarray:
+    """The analytic signal: x and its quadrature as one complex signal."""
     n = x.shape[-1]
     gain = np.zeros(n)
     gain[0] = 1
     gain[1 : (n + 1) // 2] = 2
     if n % 2 == 0:
         gain[n // 2] = 1
-    analytic = np.fft.ifft(np.fft.fft(x, axis=-1) * gain, axis=-1)
-    return moving_average(np.abs(analytic), max(1, int(round(rate * smooth_ms / 1000))))
+    return np.fft.ifft(np.fft.fft(x, axis=-1) * gain, axis=-1)
+
+
+def envelope(x: np.ndarray, rate: float, smooth_ms: float) -> np.ndarray:
+    """Magnitude of the analytic signal, averaged over smooth_ms."""
+    return moving_average(np.abs(analytic(x)), max(1, int(round(rate * smooth_ms / 1000))))
+
+
+def estimate_arrival(x: np.ndarray, rate: float) -> int:
+    """First sample whose energy, averaged over half a millisecond, reaches mean + 6 deviations of the signal's first part (a
+    fifth of it, at most 10 ms and at least 10 samples); the strongest sample if none does."""
+    e = moving_average(np.abs(analytic(np.asarray(x, float))) ** 2, max(1, int(round(rate * 0.0005))))
+    base = e[: max(10, min(len(e) // 5, int(round(rate * 0.01))))]
+    over = np.flatnonzero(e >= base.mean() + 6.0 * base.std())
+    return int(over[0]) if len(over) else int(np.argmax(e))
 
 
 @lru_cache(maxsize=64)

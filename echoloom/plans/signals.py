@@ -26,6 +26,7 @@ from ..session import new_path, shared_dir
 from ..sources import decode as DC
 from ..sources import files as SF
 from ..sources import ranges as RG
+from ..sources import records as RC
 from ..streaming import stateful as SW
 from ..streaming import windows as ST
 from .stats import FEATURES
@@ -290,6 +291,24 @@ def npz_round_trip(spark, sf_dir):
     )
 
 
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS k FROM supplier WHERE s_suppkey % 4 < 3)
+ SELECT s_suppkey, CASE k WHEN 2 THEN 'F130' ELSE 'BK14' END AS dataset, CASE k WHEN 0 THEN 'corrosion' WHEN 1 THEN 'cut' END AS method, CASE WHEN k < 2 AND s_suppkey % 3 > 0 THEN 'labeled' ELSE 'estimated' END AS arrival_source,
+ CASE WHEN k < 2 AND s_suppkey % 3 > 0 THEN least(15, s_suppkey % 20)::BIGINT END AS arrival_index FROM s""")
+def dataset_routing(spark, sf_dir):
+    """#15, #16, #5: containers in the folders of two methods, of a flow set and of none, read by dataset; labelled arrivals to the
+    nearest sample within the signal (estimated ones are in wave_arrivals)."""
+    k, folder = F.col("s_suppkey"), new_path(spark, "datasets")
+    wave = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.sin(i * 0.7 + k % 7))
+    place = F.element_at(F.array(*map(F.lit, (f"{RC.EVENT_FOLDER}/corrosion", f"{RC.EVENT_FOLDER}/cut", "F130", "elsewhere"))), (k % 4 + 1).cast("int"))
+    stamp = F.concat(F.lit("20260101000000."), F.lpad((k % 20 * 50).cast("string"), 6, "0"))
+    t = table(spark, sf_dir, "supplier").select(place.alias("place"), F.concat(F.lit("rec-"), k.cast("string"), F.lit(".npz")).alias("file_name"), wave.alias("signal"), F.lit(20_000.0).alias("sample_rate"), F.lit("20260101T000000.000").alias("starttime"), F.when(k % 3 > 0, stamp).otherwise("None").alias("arrival_time"))
+    for p in (f"{RC.EVENT_FOLDER}/corrosion", f"{RC.EVENT_FOLDER}/cut", "F130", "elsewhere"):
+        DC.write_npz(t.where(F.col("place") == p).drop("place"), f"{folder}/{p.replace(' ', '%20')}").count()
+    found = RC.dataset_records(spark, folder, ["BK14", "F130"])
+    shown = F.when(F.col("arrival_source") == "labeled", F.col("arrival_index"))
+    return found.select(F.regexp_extract("path", r"-(\d+)\.npz$", 1).cast(dict(table(spark, sf_dir, "supplier").dtypes)["s_suppkey"]).alias("s_suppkey"), "dataset", "method", "arrival_source", shown.alias("arrival_index"))
+
+
 #: Order keys of one stand-in recording, samples of one range of it, and the margins of the range queries.
 BLOCK, RANGE_SAMPLES, BEFORE, AFTER = 2048, 100, 7, 9
 

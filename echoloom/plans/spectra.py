@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..kernels import features as K
-from ..kernels.spectra import DB4
+from ..kernels.spectra import DB4, welch_map
+from ..sources.records import with_arrivals
 from .wave import LONG, _waves
 
 QUERIES: dict = {}
@@ -160,3 +162,30 @@ def _halved(source: str, value: str, n: int) -> str:
 def wave_packet_features(spark, sf_dir):
     """#86, F40: energy shares of the four packet nodes at level two."""
     return _features(spark, sf_dir, _PACKET)
+
+
+@query(f"""WITH w AS ({LONG}), f AS (SELECT vec_id, t, j, coalesce(x, 0) AS x FROM (SELECT DISTINCT vec_id FROM w), (SELECT unnest(range(0, 4)) AS t), (SELECT unnest(range(0, 24)) AS j) LEFT JOIN (SELECT vec_id AS v, i, x FROM w) ON v = vec_id AND i = 16 * t + j),
+ m AS (SELECT *, (x - avg(x) OVER (PARTITION BY vec_id, t)) * (0.5 - 0.5 * cos(2 * pi() * j / 24)) AS y FROM f),
+ d AS (SELECT vec_id, t, k, sum(y * cos(2 * pi() * k * j / 24)) AS re, sum(y * sin(2 * pi() * k * j / 24)) AS im FROM m, (SELECT unnest(range(0, 13)) AS k) GROUP BY ALL)
+ SELECT vec_id, t::INTEGER AS frame, k::INTEGER AS bin, round(10 * log10(greatest((CASE WHEN k BETWEEN 1 AND 11 THEN 2 ELSE 1 END) * (re * re + im * im) / (64000.0 * 9), 1e-20)), 3) AS level FROM d""")
+def wave_welch_map(spark, sf_dir):
+    """#84: decibel spectra of outer frames of 24 samples, 16 apart, the last one partly filled."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for v, x in zip(f["vec_id"], f["x"], strict=True):
+                m = welch_map(np.asarray(x, float), RATE, 24, 16)
+                t, k = np.indices(m.shape)
+                yield pd.DataFrame({"vec_id": v, "frame": t.ravel(), "bin": k.ravel(), "level": m.ravel()})
+
+    return _waves(spark, sf_dir).select("vec_id", "x").mapInPandas(run, "vec_id long, frame int, bin int, level double").withColumn("level", F.round("level", 3))
+
+
+@query(f"""WITH w AS ({LONG}), h AS (SELECT a.vec_id, a.i, any_value(a.x) AS x, sum(CASE WHEN (a.i - b.i) % 2 <> 0 THEN b.x * 2 / 64 / tan(pi() * (a.i - b.i) / 64) ELSE 0 END) AS q FROM w a JOIN w b USING (vec_id) GROUP BY a.vec_id, a.i),
+ e AS (SELECT vec_id, i, sum(x * x + q * q) OVER (PARTITION BY vec_id ORDER BY i ROWS BETWEEN 16 PRECEDING AND 15 FOLLOWING) / 32 AS e FROM h),
+ b AS (SELECT vec_id, avg(e) FILTER (WHERE i < 12) + 6 * stddev_pop(e) FILTER (WHERE i < 12) AS limit_, arg_max(i, e) AS peak FROM e GROUP BY vec_id)
+ SELECT b.vec_id, coalesce(min(i) FILTER (WHERE e >= limit_), any_value(peak))::BIGINT AS arrival_index FROM b JOIN e USING (vec_id) GROUP BY b.vec_id""")
+def wave_arrivals(spark, sf_dir):
+    """#5: the estimated arrival of a record without a label."""
+    t = _waves(spark, sf_dir).select("vec_id", F.col("x").alias("signal"), F.lit(RATE).alias("sample_rate"), F.lit("20260101T000000.000").alias("starttime"), F.lit(None).cast("string").alias("arrival_time"))
+    return with_arrivals(t).select("vec_id", "arrival_index")

@@ -49,6 +49,16 @@ def label_normalise(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", L.normalize_label(raw).alias("label"))
 
 
+@query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN 'FL00' WHEN 1 THEN 'FL05' WHEN 2 THEN 'BK00' WHEN 3 THEN 'QJ05' WHEN 4 THEN 'BK05' WHEN 5 THEN 'QJ00' WHEN 6 THEN 'FL05' ELSE 'QJ00' END AS source_label FROM supplier)
+ SELECT s_suppkey, source_label, CASE WHEN source_label LIKE 'BK%' THEN 'BK' ELSE 'Other' END AS target_label FROM s""")
+def source_label_alias(spark, sf_dir):
+    """#49: spellings by the alias table, then the folder's class for missing, general and unknown ones."""
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("flow-v0", " V0.5-Flow ", "bk", "v05-qj", "BK05", "v0-qj", "flow", None)]), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    fallback = F.when(F.col("s_suppkey") % 8 == 6, "FL05").otherwise("QJ00")
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", L.source_label(raw, fallback).alias("source_label"))
+    return t.withColumn("target_label", L.target_label(F.col("source_label")))
+
+
 @query(r"""WITH n AS (SELECT n_nationkey, '/data/' || lower(n_name) || CASE n_nationkey % 4 WHEN 0 THEN '/BK14_' WHEN 1 THEN '/bk14-' WHEN 2 THEN '/FL14_' ELSE '/BK14_BK14-' END || n_name || CASE n_nationkey % 3 WHEN 0 THEN '_tr' WHEN 1 THEN '_test' ELSE '' END || '.csv' AS path FROM nation)
  SELECT n_nationkey, upper(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^.]*$', ''), '(?i)_(train|test|tr|te)$', ''), '(?i)^(BK14_)?(BK14-)?', '')) AS domain FROM n""")
 def path_domain_token(spark, sf_dir):

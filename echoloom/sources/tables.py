@@ -121,6 +121,24 @@ def markdown_report(counts: DataFrame, ranking: DataFrame | None = None, top: in
     return "\n".join(out) + "\n"
 
 
+def write_manifest(spark: SparkSession, path: str, run: dict, parts: DataFrame | None = None) -> None:
+    """A run's description as one JSON text: what is given, the time, the versions, and a list of its parts (a row each: an
+    experiment with its features, threshold and counts). It is staged and renamed, so a reader finds all of it or nothing."""
+    import json
+    from datetime import UTC, datetime
+
+    from ..operators.gates import _file_system
+
+    listed = [r.asDict(recursive=True) for r in parts.collect()] if parts is not None else []  # a row an experiment
+    body = {**run, "generated_at": datetime.now(UTC).isoformat(timespec="seconds"), "spark_version": spark.version, "experiments": listed}
+    fs, of = _file_system(spark, path)
+    staged = of(f"{path}.staged")
+    spark.createDataFrame([(json.dumps(body, default=str, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(staged.toString())
+    fs.delete(of(path), True)
+    if not fs.rename(staged, of(path)):
+        raise OSError(f"could not write {path}")
+
+
 def save_run(model, metrics: dict, path: str, spark: SparkSession) -> None:
     """A fitted pipeline and its metrics as a JSON table under one folder."""
     import json
