@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import EPS
-from .ordered import median_from, order_statistic, running
+from .ordered import group_quantiles, median_from, order_statistic, running
 
 
 def folded(long: DataFrame, by: list[str], side: str = "side", value: str = "value") -> DataFrame:
@@ -127,14 +127,14 @@ def discrimination_table(long: DataFrame, label: str, comparisons: dict[str, tup
 
 def coverage(real: DataFrame, other: DataFrame, by: list[str], value: str = "value", low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Share of `other` within the real data's quantile range, and below and above it."""
-    q = real.groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    q = group_quantiles(real, by, (low, high), value).select(*by, F.col("quantiles").alias("_q"))
     t = other.where(F.col(value).isNotNull()).join(q, by)
     below, above = F.col(value) < F.col("_q")[0], F.col(value) > F.col("_q")[1]
     return t.groupBy(*by).agg(F.avg((~below & ~above).cast("double")).alias("coverage"), F.avg(below.cast("double")).alias("lower_ratio"), F.avg(above.cast("double")).alias("upper_ratio"))
 
 
 def ood_ratio(real: DataFrame, other: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    q = real.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("_q"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    q = group_quantiles(real, by, (0.01, 0.99), value).select(*by, F.col("quantiles").alias("_q"), F.col("low").alias("_lo"), F.col("high").alias("_hi"))
     t = other.where(F.col(value).isNotNull()).join(q, by)
     out = (F.col(value) < F.col("_q")[0]) | (F.col(value) > F.col("_q")[1])
     extreme = (F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))

@@ -136,5 +136,15 @@ def order_statistic(value: str, weight: str, k: Column) -> Column:
     return F.max(F.when((F.col(f"before_{weight}") <= k) & (k < F.col(f"before_{weight}") + F.col(weight)), F.col(value)))
 
 
+def group_quantiles(df: DataFrame, by: list[str], shares: tuple[float, ...], value: str = "value") -> DataFrame:
+    """by, quantiles (array, interpolated), n, low, high of the values that are there: exact, and no task holds a group's values."""
+    x = F.col(value).cast("double")
+    v = df.where(x.isNotNull()).groupBy(*by, x.alias("_value")).agg(F.count(F.lit(1)).alias("n"))
+    places = [(F.col("all_n") - 1) * F.lit(s) for s in shares]
+    near = {f"_{k}{e}": order_statistic("_value", "n", f(h)) for k, h in enumerate(places) for e, f in (("a", F.floor), ("b", F.ceil))}
+    q = running(v, by, "_value", ["n"]).groupBy(*by).agg(*[F.first(c).alias(c) for c in ("all_n", "low", "high")], *[e.alias(n) for n, e in near.items()])
+    return q.select(*by, F.array(*[F.col(f"_{k}a") + (h - F.floor(h)) * (F.col(f"_{k}b") - F.col(f"_{k}a")) for k, h in enumerate(places)]).alias("quantiles"), F.col("all_n").alias("n"), "low", "high")
+
+
 def median_from(low: str, high: str) -> Column:
     return (F.col(low) + F.col(high)) / 2

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import filters, spectra
 from ..kernels.features import EPS, slope
+from .ordered import group_quantiles
 
 #: Bands of the peak-to-peak comparison in Hz.
 PEAK_BANDS = {"b1_5k": (1e3, 5e3), "b5_10k": (5e3, 1e4), "b10_20k": (1e4, 2e4), "b20_40k": (2e4, 4e4), "b40_60k": (4e4, 6e4), "b60_100k": (6e4, 1e5)}
@@ -106,11 +107,13 @@ def curve_summary(events: DataFrame, by: str, curve: str, grid: list[float]) ->
     """Median, 10 and 90 % and mean per grid point and group."""
     x = F.array(*[F.lit(float(v)) for v in grid])
     long = events.select(by, F.posexplode(curve).alias("i", "v"))
-    s = long.groupBy(by, "i").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("q"), F.avg("v").alias("mean"))
-    return s.select(by, F.get(x, F.col("i")).alias("x"), F.col("q")[0].alias("median"), F.col("q")[1].alias("p10"), F.col("q")[2].alias("p90"), "mean")
+    s = long.groupBy(by, "i").agg(F.avg("v").alias("mean")).join(group_quantiles(long, [by, "i"], (0.5, 0.1, 0.9), "v"), [by, "i"], "left")
+    return s.select(by, F.get(x, F.col("i")).alias("x"), *[F.col("quantiles")[k].alias(n) for k, n in enumerate(("median", "p10", "p90"))], "mean")
 
 
 def method_summary(events: DataFrame, by: str, features: list[str]) -> DataFrame:
     """Mean, median, deviation, range of each feature by method, long."""
     long = events.select(by, *features).unpivot([by], features, "feature", "value").where(~F.isnan("value"))
-    return long.groupBy(by, "feature").agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    s = long.groupBy(by, "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    medians = group_quantiles(long, [by, "feature"], (0.5,)).select(by, "feature", F.col("quantiles")[0].alias("median"))
+    return s.join(medians, [by, "feature"], "left").select(by, "feature", "mean", "median", "std", "min", "max")

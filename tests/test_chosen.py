@@ -100,3 +100,22 @@ def test_a_stopped_commit_is_repeated_without_doubles(spark, tmp_path, monkeypat
     ledger = G.published(spark, paths[1])
     assert ledger.count() == 9 and ledger.select("run").distinct().count() == 2 and ledger.groupBy("part").count().agg(F.max("count")).first()[0] == 3
     assert {r["file"] for r in spark.read.parquet(paths[2]).collect()} == {"bad"}
+
+
+def test_quantiles_of_groups_and_summaries(spark):
+    from echoloom.operators import records as R
+    from echoloom.operators.ordered import group_quantiles
+
+    rng = np.random.default_rng(1)
+    rows = [("ab"[k % 2], [float(v) for v in rng.normal(size=3)], float(rng.normal()), float(k % 5)) for k in range(101)] + [("c", [1.0, 2.0, 3.0], 4.0, None)]
+    t = spark.createDataFrame(rows, "m string, c array<double>, p double, q double")
+    for column, at in (("p", 2), ("q", 3)):
+        for r in group_quantiles(t, ["m"], (0.0, 0.31, 0.5, 1.0), column).collect():
+            v = [x[at] for x in rows if x[0] == r["m"] and x[at] is not None]
+            assert r["n"] == len(v) and r["quantiles"] == pytest.approx(np.quantile(v, [0, 0.31, 0.5, 1]).tolist())
+    for r in R.curve_summary(t, "m", "c", [0.1, 0.2, 0.3]).collect():
+        v = np.array([x[1][[0.1, 0.2, 0.3].index(r["x"])] for x in rows if x[0] == r["m"]])
+        assert [r["median"], r["p10"], r["p90"], r["mean"]] == pytest.approx([np.median(v), *np.quantile(v, [0.1, 0.9]), v.mean()])
+    for r in R.method_summary(t.where("m < 'c'"), "m", ["p", "q"]).collect():
+        v = np.array([x[2 if r["feature"] == "p" else 3] for x in rows if x[0] == r["m"]])
+        assert [r["median"], r["mean"], r["std"], r["min"], r["max"]] == pytest.approx([np.median(v), v.mean(), v.std(ddof=1), v.min(), v.max()])
