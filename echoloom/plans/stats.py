@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import correlation as C
 from ..operators import discrimination as D
 from ..operators import metrics as M
+from ..operators import quality as Q
 from ..operators import selection as SL
 from ..operators import stability as SB
 from .tables import FEATURES, LONG, long_lineitem, table
@@ -369,6 +370,8 @@ def neighbour_information(spark, sf_dir):
  SELECT feature, round(avg(auc), 6) AS auc, round(stddev_pop(auc), 6) AS auc_std FROM a GROUP BY feature""")
 def balanced_repeats(spark, sf_dir):
     """#116."""
-    s = sided(spark, sf_dir).withColumn("key", F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")))
-    t = SB.balanced_repeats(s.select("key", "feature", "side", "value"), "key", 3)
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    wide = table(spark, sf_dir, "lineitem").withColumns({"key": key, "side": (F.col("l_returnflag") == "R").cast("int")})
+    long = Q.long_features(wide.withColumn("hashes", SB.repeat_hashes("key", 3)), ["key", "side", "hashes"], FEATURES)
+    t = SB.balanced_repeats(long, "key", 3, hashes="hashes")
     return t.select("feature", F.round("auc", 6).alias("auc"), F.round("auc_std", 6).alias("auc_std"))
