@@ -34,6 +34,8 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double"
 _SCHEMA = pa.schema([(n, _ARROW[k]) for n, k in (c.split() for c in RANGE.split(", "))])
 #: Values (samples times channels) of one range, and files whose headers the planner reads at once.
 RANGE_VALUES, HEADER_THREADS = 1 << 20, 16
+#: Partitions made of small ranges, unless one would pass RANGE_VALUES values; files up to which the planner reads all headers.
+PARTITIONS, PLANNED_FILES = 128, 256
 #: Members of a container up to so many bytes are read as its description.
 SMALL_MEMBER = 1 << 16
 
@@ -86,6 +88,7 @@ class Piece:
 @dataclass
 class Share(InputPartition):
     pieces: list[Piece]
+    files: list[str] = field(default_factory=list)  # small ones, whose headers the task reads itself
 
 
 def _store(uri: str):
@@ -203,17 +206,47 @@ def cut(header: Header, values: int = RANGE_VALUES, before: int = 0, after: int
     return out
 
 
+def _size(p: Piece) -> int:
+    return sum(b - a for a, b in p.ranges) * len(p.header.groups[0].channels) if p.ranges else 1
+
+
+def together(pieces: list[Piece]) -> list[Piece]:
+    """Neighbouring ranges of one file over the same extents become one piece, which opens the file once."""
+    out: list[Piece] = []
+    for p in pieces:
+        if out and p.ranges and out[-1].ranges and out[-1].header == p.header and not p.header.groups[0].member:
+            out[-1] = Piece(p.header, [*out[-1].ranges, *p.ranges])
+        else:
+            out.append(p)
+    return out
+
+
 def shares(pieces: list[Piece], values: int = RANGE_VALUES) -> list[Share]:
-    """Partitions of about `values` values; small files share one."""
+    """Partitions of about `values` values, or of more where that gave over PARTITIONS of them: their number follows the
+    data, not the size of a range. Small files and neighbouring ranges share one."""
+    values = max(values, min(RANGE_VALUES, -(-sum(map(_size, pieces)) // PARTITIONS)))
     out, held, size = [], [], 0
     for p in pieces:
-        n = sum(b - a for a, b in p.ranges) * (len(p.header.groups[0].channels) if p.ranges else 1)
+        n = _size(p)
         if held and size + n > values:
-            out.append(Share(held))
+            out.append(Share(together(held)))
             held, size = [], 0
         held.append(p)
         size += n
-    return [*out, Share(held)] if held else out
+    return [*out, Share(together(held))] if held else out
+
+
+def dealt(files: list[tuple[str, int]]) -> list[Share]:
+    """Partitions of whole small files (path, bytes), whose headers nobody has read."""
+    most = max(1, min(8 * RANGE_VALUES, -(-sum(n for _, n in files) // PARTITIONS)))
+    out, held, size = [], [], 0
+    for path, n in files:
+        if held and size + n > most:
+            out.append(Share([], held))
+            held, size = [], 0
+        held.append(path)
+        size += n
+    return [*out, Share([], held)] if held else out
 
 
 def _values(data: bytes, extent: Extent, group: Group) -> np.ndarray:
@@ -283,27 +316,44 @@ def read_piece(piece: Piece, before: int = 0, after: int = 0) -> Iterator[pa.Rec
         return
     group = header.groups[0]
     spans = [(max(0, a - before), min(group.total, b + after)) for a, b in piece.ranges]
+
+    def rows(a: int, b: int, lo: int, wave: np.ndarray) -> pa.RecordBatch:
+        return _batch([{**_row(header), "channel_index": c, "channel_name": n, "first": a, "last": b, "total": group.total, "lead": a - lo, "signal": np.ascontiguousarray(wave[:, k])} for k, (c, n, _) in enumerate(group.channels)])
+
+    def failed(e: Exception) -> pa.RecordBatch:
+        return _batch([_row(header, "failed", f"{type(e).__name__}: {e}")])
+
+    left = 1 if group.member else len(spans)  # rows that a failure gives: one a range, or one for a stream that breaks
     try:
         store, inside = _store(header.path)
         with store.open_input_file(inside) as f:
-            waves = _streamed(f, group, spans) if group.member else (_direct(f, group, *s) for s in spans)
-            for (a, b), (lo, _), wave in zip(piece.ranges, spans, waves, strict=True):
-                yield _batch([{**_row(header), "channel_index": c, "channel_name": n, "first": a, "last": b, "total": group.total, "lead": a - lo, "signal": np.ascontiguousarray(wave[:, k])} for k, (c, n, _) in enumerate(group.channels)])
+            if group.member:
+                for (a, b), (lo, _), wave in zip(piece.ranges, spans, _streamed(f, group, spans), strict=True):
+                    yield rows(a, b, lo, wave)
+                return
+            for (a, b), span in zip(piece.ranges, spans, strict=True):
+                try:
+                    batch = rows(a, b, span[0], _direct(f, group, *span))
+                except (OSError, ValueError) as e:
+                    batch = failed(e)
+                left -= 1
+                yield batch
     except (OSError, ValueError, zipfile.BadZipFile) as e:
-        yield _batch([_row(header, "failed", f"{type(e).__name__}: {e}")])
+        for _ in range(left):
+            yield failed(e)
 
 
-def listed(path: str, pattern: str) -> list[str]:
-    """Files under a folder (or the one file) whose names match, in order."""
+def listed(path: str, pattern: str) -> list[tuple[str, int]]:
+    """Files under a folder (or the one file) whose names match, in order, with their bytes."""
     from pyarrow import fs
 
     store, inside = _store(path)
     info = store.get_file_info(inside)
     scheme = path[: len(path.rstrip("/")) - len(inside.rstrip("/"))] if path.rstrip("/").endswith(inside.rstrip("/")) else ""
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size or 0)]
     found = store.get_file_info(fs.FileSelector(inside, recursive=True))
-    return sorted(scheme + i.path for i in found if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, pattern))
+    return sorted((scheme + i.path, i.size or 0) for i in found if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, pattern))
 
 
 class _Reader(DataSourceReader):
@@ -316,14 +366,23 @@ class _Reader(DataSourceReader):
         if self.values < 1 or self.before < 0 or self.after < 0:
             raise ValueError("range_values is 1 or more, before and after are 0 or more")
 
+    def _pieces(self, path: str) -> list[Piece]:
+        return cut(read_header(path, self.channel, self.rate), self.values, self.before, self.after)
+
     def partitions(self) -> list[Share]:
+        files = listed(self.path, self.pattern)
+        # of many files only those that fill a partition are cut here
+        large = files if len(files) <= PLANNED_FILES else [f for f in files if f[1] > 8 * RANGE_VALUES]
         with ThreadPoolExecutor(HEADER_THREADS) as pool:
-            headers = pool.map(lambda p: read_header(p, self.channel, self.rate), listed(self.path, self.pattern))
-            return shares([p for h in headers for p in cut(h, self.values, self.before, self.after)], self.values)
+            planned = shares([p for c in pool.map(lambda f: self._pieces(f[0]), large) for p in c], self.values)
+        return planned if large is files else planned + dealt([f for f in files if f[1] <= 8 * RANGE_VALUES])
 
     def read(self, share: Share) -> Iterator[pa.RecordBatch]:
         for p in share.pieces if share is not None else ():
             yield from read_piece(p, self.before, self.after)
+        for path in share.files if share is not None else ():
+            for p in together(self._pieces(path)):
+                yield from read_piece(p, self.before, self.after)
 
 
 class RecordingRanges(DataSource):

@@ -28,3 +28,26 @@ def test_balanced_repeats_choose_by_hash_cells(spark, monkeypatch):
             a, b = (np.array([v for _, v in s[:small]]) for s in sides)
             aucs.append(((b[:, None] > a[None]) + 0.5 * (b[:, None] == a[None])).mean())
         assert got[f] == pytest.approx((np.mean(aucs), np.std(aucs))) and plain[f] == pytest.approx(got[f])
+
+
+def test_partitions_of_ranges_follow_the_data(spark, tmp_path, monkeypatch):
+    """Short ranges make no partitions of their own, and of many files tasks read the headers."""
+    from echoloom.sources import decode as D
+    from echoloom.sources import ranges as R
+
+    waves = {k: np.arange(1000.0) + 1000 * k for k in range(12)}
+    for k, x in waves.items():
+        (tmp_path / f"r{k}.npz").write_bytes(D.encode_npz(x, 1e3, compressed=k % 3 == 0))
+    said = lambda t: sorted((r["path"].rsplit("/", 1)[-1], r["first"], r["last"], r["lead"], tuple(r["signal"])) for r in t.collect())
+    ranges = lambda: R.read_ranges(spark, str(tmp_path), range_values=10, before=2, after=3)
+    want = said(ranges())
+    assert len(want) == 1200 and sum(b - a for _, a, b, *_ in want) == 12_000
+    assert ranges().rdd.getNumPartitions() <= R.PARTITIONS + len(waves)
+    reader = R._Reader({"path": str(tmp_path), "range_values": 10, "before": 2, "after": 3})
+    monkeypatch.setattr(R, "PLANNED_FILES", 3)
+    monkeypatch.setattr(R, "read_header", lambda *a: pytest.fail("a small file's header was read by the planner"))
+    planned = reader.partitions()
+    monkeypatch.undo()
+    assert sorted(f for s in planned for f in s.files) == sorted(f"{tmp_path}/r{k}.npz" for k in waves)
+    got = [r for s in planned for b in reader.read(s) for r in b.to_pylist()]
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["first"], r["last"], r["lead"], tuple(r["signal"])) for r in got) == want
