@@ -66,5 +66,12 @@ def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") ->
     df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def end_row(df: DataFrame, ts: str, later: str) -> DataFrame:
+    """One row of df's schema, NULL but for `ts`, which is `later` than all others: what a finished stream needs for its
+    watermark to pass all that came before, so that append mode gives everything and writes it from the tasks."""
+    last = df.agg((F.max(ts) + F.expr(f"INTERVAL {later}")).alias(ts)).where(F.col(ts).isNotNull())
+    return last.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+
+
 def write_once(df: DataFrame, path: str, checkpoint: str) -> None:
     df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

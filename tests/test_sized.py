@@ -51,3 +51,28 @@ def test_partitions_of_ranges_follow_the_data(spark, tmp_path, monkeypatch):
     assert sorted(f for s in planned for f in s.files) == sorted(f"{tmp_path}/r{k}.npz" for k in waves)
     got = [r for s in planned for b in reader.read(s) for r in b.to_pylist()]
     assert sorted((r["path"].rsplit("/", 1)[-1], r["first"], r["last"], r["lead"], tuple(r["signal"])) for r in got) == want
+
+
+def test_sessions_of_a_finished_stream_are_files(spark, sf, monkeypatch):
+    """The result is written by tasks: no table in the driver's memory, and all files in one batch."""
+    from echoloom.plans import signals
+    from echoloom.streaming import windows as ST
+
+    monkeypatch.setattr(ST, "run_once", lambda *a: pytest.fail("the result went through the driver"))
+    t = signals.stream_sessions(spark, sf)
+    assert t.inputFiles() and t.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_a_key_has_one_timer_a_batch():
+    from types import SimpleNamespace
+
+    from echoloom.streaming.stateful import Windows
+
+    timers, held = [], []
+    w = Windows("k", "ts", "n", "v", 2, 1, 10_000, 10**9)
+    w.handle = SimpleNamespace(registerTimer=timers.append)
+    w.waiting = SimpleNamespace(appendList=held.extend)
+    s = np.array([95, 31, 12, 47, 88])
+    f = pd.DataFrame({"ts": pd.to_datetime(s, unit="s"), "n": range(5), "v": 1.0})
+    list(w.handleInputRows(("a",), iter([f[:2], f[2:]]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert len(held) == 5 and timers == [20_000]
