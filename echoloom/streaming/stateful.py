@@ -31,14 +31,13 @@ class Windows(StatefulProcessor):
         self.place = handle.getValueState("place", "next_id long, last_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ends = set()
+        first = None
         for f in rows:
             ms = f[self.ts].to_numpy("datetime64[ms]").astype("int64")
             self.waiting.appendList(list(zip(ms.tolist(), f[self.order].astype("int64").tolist(), f[self.value].astype(float).tolist(), strict=True)))
-            ends.update(((ms // self.bucket + 1) * self.bucket).tolist())
-        now = timerValues.getCurrentWatermarkInMs()
-        for end in ends:
-            self.handle.registerTimer(max(int(end), now + 1))
+            first = int(ms.min()) if first is None else min(first, int(ms.min()))
+        if first is not None:
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
         yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -51,6 +50,7 @@ class Windows(StatefulProcessor):
             rest = waiting[len(final) :]
             if rest:
                 self.waiting.put(rest)
+                self._wake(rest[0][0], now)
             else:
                 self.waiting.clear()
             x = np.array([v for (v,) in self.kept.get()] if self.kept.exists() else [], float)
@@ -71,6 +71,10 @@ class Windows(StatefulProcessor):
                 state.clear()
         yield self._rows(key, out)
 
+    def _wake(self, ms: int, now: int) -> None:
+        """One timer for the earliest sample that waits: it releases all that is final, and leaves one for the next."""
+        self.handle.registerTimer(max((ms // self.bucket + 1) * self.bucket, now + 1))
+
     def _rows(self, key, out: list) -> pd.DataFrame:
         return pd.DataFrame({self.key: pd.Series([key[0]] * len(out), dtype=object), **{c: pd.Series([r[k] for r in out], dtype=t) for k, (c, t) in enumerate((("window_id", "int64"), ("mean", float), ("rms", float), ("peak", float)))}})
 
