@@ -76,3 +76,27 @@ def test_a_key_has_one_timer_a_batch():
     f = pd.DataFrame({"ts": pd.to_datetime(s, unit="s"), "n": range(5), "v": 1.0})
     list(w.handleInputRows(("a",), iter([f[:2], f[2:]]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
     assert len(held) == 5 and timers == [20_000]
+
+
+def test_nearest_rows_hold_bounded_arrays(spark, monkeypatch):
+    """Arrays of a task stay within CHUNK numbers for any pivots and classes, and cells are passed over by their boxes."""
+    from echoloom.ml import nearest as N
+
+    rng = np.random.default_rng(2)
+    f = pd.DataFrame({"visitor": range(900)})
+    visitors = pd.DataFrame({"id": f["visitor"], "label": rng.choice(["a", "b"], 900), "x": list(rng.normal(size=(900, 3)))})
+    residents = visitors.rename(columns={c: f"r_{c}" for c in ("id", "label", "x")})
+    want = N._least(visitors, residents)
+    sizes, real = [], N._apart
+    monkeypatch.setattr(N, "_apart", lambda a, b: sizes.append(len(a) * len(b)) or real(a, b))
+    monkeypatch.setattr(N, "CHUNK", 9_000)
+    got = N._least(visitors, residents)
+    assert max(sizes) <= 9_000 and got.equals(want)
+
+
+def test_binned_information_shuffles_counts_only(spark):
+    from echoloom.operators import discrimination as D
+
+    t = spark.range(2000).selectExpr("concat('f', id % 2) AS feature", "cast(id % 3 = 0 AS int) AS side", "cast(id % 97 AS double) AS value")
+    plan = D.binned_mutual_information(t, ["feature"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
