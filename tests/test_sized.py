@@ -100,3 +100,26 @@ def test_binned_information_shuffles_counts_only(spark):
     t = spark.range(2000).selectExpr("concat('f', id % 2) AS feature", "cast(id % 3 = 0 AS int) AS side", "cast(id % 97 AS double) AS value")
     plan = D.binned_mutual_information(t, ["feature"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_group_draw_orders_few_groups(spark, monkeypatch):
+    from echoloom.operators import splits as SP
+
+    t = spark.range(6000).selectExpr("id % 2 AS label", "id DIV 3 AS g", "id")
+    seen = []
+    monkeypatch.setattr(SP, "first_rows", lambda df, *a: seen.append(df.count()) or first_rows(df, *a))
+    got = SP.group_draw(t, "label", "g", 50)
+    order = lambda g: hashlib.md5(f"{g}|42".encode()).hexdigest()
+    for label in (0, 1):
+        mine = {}
+        for i in range(6000):
+            if i % 2 == label:
+                mine[i // 3] = mine.get(i // 3, 0) + 1
+        want, n = set(), 0
+        for g in sorted(mine, key=order):
+            if n >= 50:
+                break
+            want.add(g)
+            n += mine[g]
+        assert {r["g"] for r in got.where(F.col("label") == label).select("g").distinct().collect()} == want
+    assert seen
