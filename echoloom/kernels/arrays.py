@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -57,12 +58,18 @@ def hyperbola(x: np.ndarray, xs: float, z: float, v: float, xr: float) -> np.nda
     return (np.hypot(x - xs, z) - math.hypot(xr - xs, z)) / v
 
 
+@lru_cache(maxsize=16)
+def _grid(x: tuple[float, ...], xr: float, v: float, xb: tuple[float, float], zb: tuple[float, float], nx: int, nz: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sources of a grid and the delays they give at the channels: the same for all windows with the same channels."""
+    gx, gz = (g.ravel() for g in np.meshgrid(np.linspace(*xb, nx), np.linspace(*zb, nz), indexing="ij"))
+    return gx, gz, (np.hypot(np.array(x) - gx[:, None], gz[:, None]) - np.hypot(xr - gx, gz)[:, None]) / v
+
+
 def coarse_start(x, t, xr, v, xb, zb, nx: int = 120, nz: int = 80) -> tuple[float, float]:
     """Best of a grid of sources, all at once."""
-    gx, gz = np.meshgrid(np.linspace(*xb, nx), np.linspace(*zb, nz), indexing="ij")
-    pred = (np.hypot(x - gx[..., None], gz[..., None]) - np.hypot(xr - gx, gz)[..., None]) / v
+    gx, gz, pred = _grid(tuple(map(float, x)), float(xr), v, tuple(xb), tuple(zb), nx, nz)
     k = int(np.argmin(((pred - t) ** 2).mean(axis=-1)))
-    return float(gx.flat[k]), float(gz.flat[k])
+    return float(gx[k]), float(gz[k])
 
 
 def _weights(r: np.ndarray, loss: str) -> np.ndarray:
@@ -129,9 +136,17 @@ def consensus(x, t, xr, v, xb, zb, rounds: int, limit: float, seed: int, grid: t
     """The channels that agree, within `limit`, with the source that most channels agree with, among the sources of
     `rounds` random samples of four channels. All samples go through the grid and the damped steps together."""
     picks = np.argsort(np.random.default_rng(seed).random((rounds, len(x))), axis=1)[:, :4]
-    gx, gz = (g.ravel() for g in np.meshgrid(np.linspace(*xb, grid[0]), np.linspace(*zb, grid[1]), indexing="ij"))
-    off = ((np.hypot(x - gx[:, None], gz[:, None]) - np.hypot(xr - gx, gz)[:, None]) / v - t) ** 2
-    start = np.array([off[:, pick].sum(axis=1).argmin() for pick in picks])
+    gx, gz, pred = _grid(tuple(map(float, x)), float(xr), v, tuple(xb), tuple(zb), *grid)
+    # a channel's misfits lie together, and a sample's are added in place
+    off, total = np.ascontiguousarray(((pred - t) ** 2).T), np.empty(len(gx))
+
+    def nearest(pick: np.ndarray) -> int:
+        np.add(off[pick[0]], off[pick[1]], out=total)
+        for k in pick[2:]:
+            np.add(total, off[k], out=total)
+        return int(total.argmin())
+
+    start = np.array([nearest(pick) for pick in picks])
     place = np.column_stack([gx[start], gz[start]])
     low, high = np.array([xb[0], zb[0]]), np.array([xb[1], zb[1]])
     px, pt = x[picks], t[picks]
@@ -142,16 +157,17 @@ def consensus(x, t, xr, v, xb, zb, rounds: int, limit: float, seed: int, grid: t
         return (far - near) / v - ct, np.maximum(far, 1e-12), np.maximum(near, 1e-12)
 
     damp = np.full(rounds, 1e-3)
+    r, far, near = misfit(place, px, pt)
     for _ in range(steps):
-        r, far, near = misfit(place, px, pt)
         slope = np.stack([(place[:, :1] - px) / far - (place[:, :1] - xr) / near, place[:, 1:] / far - place[:, 1:] / near], axis=2) / v
         normal = np.einsum("rci,rcj->rij", slope, slope)
         diagonal = np.maximum(np.einsum("rii->ri", normal), 1e-30)
         normal = normal + np.einsum("ri,ij->rij", (damp[:, None] + 1e-9) * diagonal, np.eye(2))
         move = np.linalg.solve(normal, -np.einsum("rci,rc->ri", slope, r)[..., None])[..., 0]
         tried = np.clip(place + move, low, high)
-        better = (misfit(tried, px, pt)[0] ** 2).sum(axis=1) <= (r**2).sum(axis=1)
-        place = np.where(better[:, None], tried, place)
+        there = misfit(tried, px, pt)
+        better = (there[0] ** 2).sum(axis=1) <= (r**2).sum(axis=1)
+        place, r, far, near = (np.where(better[:, None], a, b) for a, b in zip((tried, *there), (place, r, far, near), strict=True))
         damp = np.where(better, np.maximum(damp / 5, 1e-12), damp * 5)
     r = np.abs(misfit(place, x[None, :], t[None, :])[0])
     agree = r <= limit

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..kernels import arrays as A
 from ..kernels import filters
@@ -90,16 +92,7 @@ _FIELDS = [x.split()[0] for x in RESULT.split(", ")]
 def locate_windows(frames: DataFrame, window: str, order: str, channels: str, rate: float, config: LocateConfig = LocateConfig()) -> DataFrame:
     """frames: window key, frame order, array of channel values -> one result per window. A window is one task's group,
     bounded by the window's length; a failing window gives a rejected row with its reason."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
-        try:
-            r = locate(np.vstack(f[channels].to_numpy()), rate, config)
-        except Exception as e:  # the row carries it
-            r = {"valid_channels": 0, "rmse_tdoa": float("inf"), "confidence": 0.0, "status": "rejected", "reason": f"{type(e).__name__}: {e}", "fit_model": config.model, "ref_idx": -1}
-        return pd.DataFrame([{window: f[window].iloc[0], **r}]).reindex(columns=[window, *_FIELDS])
-
-    return frames.select(window, order, channels).groupBy(window).applyInPandas(run, f"{window} {dict(frames.dtypes)[window]}, {RESULT}")
+    return sweep(frames, window, order, channels, rate, {"": config}).drop("config")
 
 
 def grid_errors(points: DataFrame, key: str, x: Column, t: Column, xr: Column, velocity: float, xs: list[float], zs: list[float]) -> DataFrame:
@@ -114,9 +107,20 @@ def grid_errors(points: DataFrame, key: str, x: Column, t: Column, xr: Column, v
 
 
 def sweep(frames: DataFrame, window: str, order: str, channels: str, rate: float, configs: dict[str, LocateConfig]) -> DataFrame:
-    """The same windows under several configurations (method, model, loss, thresholds, velocity)."""
-    out = None
-    for name, c in configs.items():
-        part = locate_windows(frames, window, order, channels, rate, c).withColumn("config", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The same windows under several configurations (method, model, loss, thresholds, velocity): a window's frames are made
+    and brought together once, for all of them."""
+
+    def run(f: pa.Table) -> pa.Table:
+        f = f.sort_by(order)
+        key, rows = f.column(window)[0].as_py(), []
+        for name, config in configs.items():
+            try:
+                r = locate(np.array(f.column(channels).to_pylist(), float), rate, config)
+            except Exception as e:  # the row carries it
+                r = {"valid_channels": 0, "rmse_tdoa": float("inf"), "confidence": 0.0, "status": "rejected", "reason": f"{type(e).__name__}: {e}", "fit_model": config.model, "ref_idx": -1}
+            rows.append({window: key, **{c: None if r.get(c) != r.get(c) else r.get(c) for c in _FIELDS}, "config": name})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    result = T.StructType([T.StructField(window, frames.schema[window].dataType), *T._parse_datatype_string(RESULT).fields, T.StructField("config", T.StringType())])
+    schema = to_arrow_schema(result)
+    return frames.select(window, order, channels).groupBy(window).applyInArrow(run, result)
