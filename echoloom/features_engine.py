@@ -29,7 +29,10 @@ def record_features(records: DataFrame, plans: dict[str, K.BandPlan], key: str,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [K.record_features(x, r, plans) for x, r in zip(f[signal], f[rate], strict=True)]
+            rows = K.stacked_records(list(f[signal]), list(f[rate]), plans)
+            for e in rows:
+                if isinstance(e, Exception):
+                    raise e
             yield pd.concat([f[[key]].reset_index(drop=True), pd.DataFrame(rows, columns=columns)], axis=1)
 
     return records.select(key, signal, rate).mapInPandas(run, schema_of(plans, f"{key} {dict(records.dtypes)[key]}"))
@@ -140,18 +143,26 @@ def event_features(events: DataFrame, plans: dict[str, K.BandPlan], modes_ms: di
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, x, r, a in zip(f[key], f[signal], f[rate], f[arrival], strict=True):
-                rows = []
+            cuts, failed = [], {}  # record, mode and window; failures of records
+            for k, (x, r, a) in enumerate(zip(f[signal], f[rate], f[arrival], strict=True)):
                 try:
                     for mode, (lo, hi) in modes_ms.items():
                         i, j = int(a) + round(lo * r / 1000), int(a) + round(hi * r / 1000)
                         i0, i1 = max(0, i), min(len(x), j)
-                        if i1 <= i0 or complete_only and (i0, i1) != (i, j):
-                            continue
-                        rows.append({key: name, "window_mode": mode, "window_start_ms": lo, "window_end_ms": hi, "window_n_samples": i1 - i0, "status": "ok", "message": None, **K.record_features(x[i0:i1], r, plans)})
+                        if i1 > i0 and (not complete_only or (i0, i1) == (i, j)):
+                            cuts.append((k, mode, x[i0:i1]))
                 except Exception as e:  # the row carries it
-                    rows = [{key: name, "status": "failed", "message": f"{type(e).__name__}: {e}"}]
-                if rows:
-                    yield pd.DataFrame(rows).reindex(columns=[*fixed, *columns]).astype({"window_n_samples": "Int32"})
+                    failed[k] = e
+            names, rates, rows = list(f[key]), list(f[rate]), []
+            made = K.stacked_records([x for _, _, x in cuts], [rates[k] for k, _, _ in cuts], plans)
+            for (k, _, _), row in zip(cuts, made, strict=True):
+                if isinstance(row, Exception):
+                    failed.setdefault(k, row)
+            for (k, mode, x), row in zip(cuts, made, strict=True):
+                if k not in failed:
+                    rows.append({key: names[k], "window_mode": mode, "window_start_ms": modes_ms[mode][0], "window_end_ms": modes_ms[mode][1], "window_n_samples": len(x), "status": "ok", "message": None, **row})
+            rows += [{key: names[k], "status": "failed", "message": f"{type(e).__name__}: {e}"} for k, e in failed.items()]
+            if rows:
+                yield pd.DataFrame(rows).reindex(columns=[*fixed, *columns]).astype({"window_n_samples": "Int32"})
 
     return events.select(key, signal, rate, arrival).mapInPandas(run, schema_of(plans, head))

@@ -237,3 +237,30 @@ def test_local_kurtosis_equals_the_direct_one():
     assert np.allclose(features.sliding_sums(x, 40), views.sum(axis=1), rtol=1e-9)
     assert features.largest_local_kurtosis(x, 40) == pytest.approx(float(features.moments(views)[1].max()), rel=1e-6)
     assert features.largest_local_kurtosis(np.zeros(100), 10) == 0.0
+
+
+def test_stacked_records_are_those_alone(monkeypatch):
+    """Records of equal length share their filters and transforms; one that fails leaves the others."""
+    rng = np.random.default_rng(6)
+    plans = features.plan_bands({"b": (100.0, 30_000.0)}, 64_000.0, {"b": ("classic", "time", "background", "ridge", "residual")})
+    signals = [rng.normal(size=n) for n in (300, 256, 300, 300, 256, 1)]
+    signals[2] = np.array(["x"] * 300)
+    want = []
+    for x in signals:
+        try:
+            want.append(features.record_features(x, 64_000.0, plans))
+        except Exception as e:
+            want.append(repr(e))
+    for samples in (1 << 16, 600):
+        monkeypatch.setattr(features, "TOGETHER_SAMPLES", samples)
+        got = features.stacked_records(signals, [64_000.0] * 6, plans)
+        for a, b in zip(got, want, strict=True):
+            if isinstance(b, str):
+                assert repr(a) == b
+            else:
+                assert list(a) == list(b) and np.allclose(list(a.values()), list(b.values()), rtol=1e-8, atol=1e-9, equal_nan=True)
+    assert isinstance(want[2], str)
+    filtered, plain = [], features.filters.band_filter
+    monkeypatch.setattr(features.filters, "band_filter", lambda x, *a: filtered.append(np.ndim(x)) or plain(x, *a))
+    features.stacked_records(signals[:2] + signals[3:5], [64_000.0] * 4, {"b": plans["b"]})
+    assert filtered and set(filtered) == {2}
