@@ -236,3 +236,39 @@ def test_stages_take_their_sums_from_one_pass(spark, monkeypatch):
     ):
         got, want = row(got), row(want)
         assert set(got) == {"a", "b"} and all(got[f] == pytest.approx(want[f]) for f in got)
+
+
+def test_rank_areas_leave_a_row_a_partition_and_group(spark, monkeypatch):
+    """Areas come from sums of pairs of each partition; no table of all scanned values is written."""
+    from echoloom.operators import discrimination as D
+    from echoloom.operators import ordered as O
+
+    rng = np.random.default_rng(4)
+    f = pd.DataFrame({"g": rng.choice(["a", "b"], 4000), "side": rng.integers(0, 2, 4000), "value": rng.integers(0, 900, 4000) / 8.0})
+    written, plain = {}, O.materialize
+    monkeypatch.setattr(O, "materialize", lambda df, name: written.setdefault(name, plain(df, name)))
+    for by, groups in ((["g"], f.groupby("g")), ([], [((), f)])):
+        written.clear()
+        got = {tuple(r[c] for c in by): r for r in D.rank_auc(spark.createDataFrame(f), by).collect()}
+        for name, part in groups:
+            a, b = (part.loc[part["side"] == s, "value"].to_numpy() for s in (1, 0))
+            want = ((a[:, None] > b[None]) + 0.5 * (a[:, None] == b[None])).mean()
+            r = got[(name,) if by else ()]
+            assert r["auc"] == pytest.approx(want, abs=1e-12) and (r["n_pos"], r["n_neg"]) == (len(a), len(b))
+        assert "ordered-scanned" not in written
+        assert written["paired-parts"].count() <= int(spark.conf.get("spark.sql.shuffle.partitions")) + 2
+
+
+def test_separation_comes_from_moments(spark):
+    from echoloom.ml import subset as SB
+
+    rng = np.random.default_rng(12)
+    f = pd.DataFrame(rng.normal(size=(900, 2)), columns=list("ab")).assign(y=rng.integers(0, 2, 900))
+    f["a"] += f["y"]
+    t, moments = SB.prepared(spark.createDataFrame(f), "y", ["a", "b"])
+    fits = {k: SB.discriminant(moments, [0, 1], k) for k in range(5)}
+    rows = t.toPandas()
+    s = np.array([r[["a", "b"]].to_numpy(float) @ fits[int(r["_fold"])][0] - fits[int(r["_fold"])][1] for _, r in rows.iterrows()])
+    one, other = s[rows["y"] == 1], s[rows["y"] == 0]
+    want = abs(one.mean() - other.mean()) / np.sqrt((one.var() + other.var()) / 2)
+    assert SB.separation(moments, [0, 1], fits) == pytest.approx(want)
