@@ -272,3 +272,15 @@ def test_separation_comes_from_moments(spark):
     one, other = s[rows["y"] == 1], s[rows["y"] == 0]
     want = abs(one.mean() - other.mean()) / np.sqrt((one.var() + other.var()) / 2)
     assert SB.separation(moments, [0, 1], fits) == pytest.approx(want)
+
+
+def test_elimination_orders_no_scores(spark, monkeypatch):
+    from echoloom.ml import models as ML
+    from echoloom.operators import metrics as M
+
+    rng = np.random.default_rng(1)
+    f = pd.DataFrame(rng.normal(size=(200, 2)), columns=list("ab")).assign(g=np.arange(200))
+    f["label"] = (f["a"] > 0).astype(int)
+    monkeypatch.setattr(M, "rank_auc", lambda *a: pytest.fail("an area was made"))
+    rows = ML.eliminate(spark.createDataFrame(f), ["a", "b"], "g", 2, 2)
+    assert [r["n"] for r in rows] == [2] and rows[0]["dropped"] == "b" and rows[0]["f1"] > 0.9
