@@ -414,6 +414,55 @@ def test_ranks_keep_rows_of_repeated_keys(spark):
     assert sorted(got["a"].dropna()) == [1.0, 2.0, 3.5, 3.5] and len(got) == 5
 
 
+def most_read(spark, run):
+    """Most shuffled rows that one task read while run() ran."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    old = {s.stageId() for s in stages()}
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for s in stages():
+        if s.stageId() not in old:
+            tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
+            read = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+            most = max([most, *(m.get().shuffleReadMetrics().recordsRead() for m in read if m.isDefined())])
+    return most
+
+
+@pytest.mark.parametrize("wide_joins", [4, 0])
+def test_no_task_of_ranks_holds_the_rows_of_a_value(spark, monkeypatch, wide_joins):
+    """One value and the missing one have most rows; ranks are too many to be broadcast."""
+    for name, n in {"BROADCAST_RANKS": 10, "WIDE_JOINS": wide_joins, "JOIN_CELLS": 2000, "COMMON_ROWS": 500}.items():
+        monkeypatch.setattr(C, name, n, raising=False)
+    rng = np.random.default_rng(5)
+    a = np.where(rng.random(20_000) < 0.5, 7.0, rng.integers(0, 200, 20_000))
+    b = np.where(rng.random(20_000) < 0.5, np.nan, rng.integers(0, 150, 20_000))
+    f = pd.DataFrame({"k": np.arange(20_000), "a": a, "b": b, "c": a % 3})
+    df, got = spark.createDataFrame(f), None
+
+    def run():
+        nonlocal got
+        got = C.with_ranks(df, ["a", "b", "c"], ["k"]).toPandas()
+
+    # as on large tables: partitions aren't merged to one task, and Spark doesn't broadcast the ranks unasked
+    as_large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, v in as_large.items():
+        spark.conf.set(name, v)
+    try:
+        assert most_read(spark, run) < 6000
+    finally:
+        for name in as_large:
+            spark.conf.unset(name)
+    got = got.sort_values("k", ignore_index=True)
+    for c in "abc":
+        assert np.array_equal(got[c], f[c].rank(), equal_nan=True)
+
+
 def test_describe_and_medians_equal_pandas(spark):
     rng = np.random.default_rng(22)
     f = pd.DataFrame({"a": rng.normal(size=301), "b": rng.integers(0, 4, 301) * 1.0, "c": [np.nan] * 300 + [5.0], "none": [np.nan] * 301})
