@@ -294,9 +294,9 @@ def mrmr_ranking(spark, sf_dir):
 
 @query()
 def bootstrap_stability(spark, sf_dir):
-    """#117, #142."""
+    """#117, #142: ranks over 200 rounds."""
     s = sided(spark, sf_dir).withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    return SL.bootstrap_stability(s, "key", 20, 2)
+    return SL.bootstrap_stability(s, "key", 200, 2)
 
 
 @query()
